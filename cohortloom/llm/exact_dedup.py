@@ -1,23 +1,25 @@
 """Exact duplicates by deterministic block naming.
 
-Each text, lower-cased in A-Z, is cut into blocks of fixed size. Equal blocks get one integer name: the distinct blocks
-are dealt by content, sorted and numbered. Then each document's adjacent names are paired, the distinct pairs sorted and
-numbered in turn, until every document is one name. Equal names mean equal texts of as many blocks; no hash decides it.
-Distinct blocks and pairs are pre-aggregated before they are shuffled, so a text with a third of all rows costs its
-naming once; the joins that carry names back can be split by adaptive execution.
+Each text, lower-cased in A-Z, is cut into blocks of fixed size, and every block gets an integer name; then each
+document's adjacent names are paired and the pairs named in turn, until every document is one name. A name is a 64-bit
+hash and a rank: at each level the distinct (hash, content) rows are sorted out by hash, and of contents that share a
+hash, each gets its rank in sorted order. So equal names mean equal contents, whatever the hash does, and names do not
+depend on partitions. Distinct contents are pre-aggregated before they are shuffled: a text with a third of all rows
+costs its naming once, and no row goes back to a document by a join, as documents compute their names themselves.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import materialize, whole_text
 
 BLOCK_CHARS = 4096
+#: Contents that share their hash with another; 10^11 blocks are expected to have some hundreds.
+MAX_CLASHES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,50 +28,70 @@ def normalized(text: str = "text") -> Column:
     return F.translate(whole_text(text), UPPER, LOWER)
 
 
-def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with the columns `by` replaced by an integer name: distinct values are sorted within their partition and numbered."""
-    keys = [f"named_{c}" for c in by]
-    names = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True))).distinct().sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
-    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]
-    return rows.join(names, reduce(and_, same)).select(*(c for c in rows.columns if c not in by), "name")
+def blocks(text: Column, size: int) -> Column:
+    """The text in blocks of `size` characters, the last shorter; an empty text is one empty block."""
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0))
 
 
-def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, tag, text_sha256, copies, n_blocks, name): a row for each different (doc_id, text).
+def ranks(contents: DataFrame, hashed: Callable[[Column], Column]) -> dict[str, int]:
+    """Ranks, over 0, of the contents that share their hash with a smaller one; contents has the column `content`."""
+    named = contents.select(hashed(F.col("content")).alias("h"), "content")
+    shared = named.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").limit(MAX_CLASHES + 1).collect()
+    if not shared:
+        return {}
+    if len(shared) > MAX_CLASHES:
+        raise ValueError(f"over {MAX_CLASHES} hashes have several contents")
+    hashes = [r["h"] for r in shared]
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("content")) - 1
+    return {r["content"]: r["rank"] for r in named.where(F.col("h").isin(hashes)).distinct().withColumn("rank", rank).where("rank > 0").collect()}
 
-    (n_blocks, name) is the text's identity. tag, the text's XXH64, only keeps apart rows of one doc_id; copies counts
-    repeated rows.
-    """
-    text = docs.select(F.col("doc_id").cast("long"), normalized().alias("text"))
-    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), 0)
-    rows = text.select(
-        "doc_id", F.xxhash64("text").alias("tag"), F.sha2("text", 256).alias("text_sha256"),
-        F.posexplode(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(parts)).alias("pos", "block"))
-    rows = rows.withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
-    now = materialize(_named(rows, ["block"]).groupBy("doc_id", "tag", "pos").agg(F.max("name").alias("name"), F.count("*").alias("copies"), F.max("text_sha256").alias("text_sha256")))
-    ends = now.groupBy(F.col("doc_id").alias("end_id"), F.col("tag").alias("end_tag")).agg((F.max("pos") + 1).alias("n_blocks"))
-    now = materialize(now.join(ends, F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("tag") == F.col("end_tag"))).drop("end_id", "end_tag"))
-    done = now.where("n_blocks = 1").drop("pos")
-    now, width = now.where("n_blocks > 1").withColumn("left", F.col("n_blocks")), 1
-    longest = now.agg(F.max("n_blocks")).first()[0] or 1
-    while width < longest:
-        pairs = now.groupBy("doc_id", "tag", "n_blocks", F.expr("pos div 2").cast("int").alias("pos")).agg(
-            F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("x"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("y"),
-            F.max("copies").alias("copies"), F.max("text_sha256").alias("text_sha256"), F.max(F.expr("(left + 1) div 2")).alias("left"))
-        named = materialize(_named(pairs, ["x", "y"]))
-        done = done.unionByName(named.where("left = 1").drop("pos", "left"))
-        now, width = named.where("left > 1"), width * 2
-    return done
+
+def name(content: Column, hashed: Callable[[Column], Column], clashes: dict[str, int]) -> Column:
+    rank = F.lit(0)
+    if clashes:
+        known = F.create_map(*[F.lit(x) for kv in clashes.items() for x in kv])
+        rank = F.coalesce(F.try_element_at(known, content), F.lit(0))
+    return F.struct(hashed(content).cast("long").alias("h"), rank.cast("int").alias("r"))
+
+
+def _pair(names: Column, i: Column) -> Column:
+    x, y = F.get(names, 2 * i), F.get(names, 2 * i + 1)
+    return F.concat_ws(" ", x["h"], x["r"], y["h"], y["r"])
+
+
+def _pairs(n: Column) -> Column:
+    return F.sequence(F.lit(0), ((n + 1) / 2).cast("int") - 1)
+
+
+def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(doc_id, text_sha256, n_blocks, h, r) for every row: (n_blocks, h, r) is the identity of its text."""
+    text = docs.select(F.col("doc_id").cast("long"), normalized().alias("text")).select("doc_id", "text", blocks(F.col("text"), block_chars).alias("blocks"))
+    clashes = ranks(text.select(F.explode("blocks").alias("content")), hashed)
+    now = materialize(text.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size("blocks").alias("n_blocks"), F.transform("blocks", lambda b: name(b, hashed, clashes)).alias("names")))
+    done, longest = now.where("n_blocks = 1"), now.agg(F.max("n_blocks")).first()[0] or 1
+    now, size = now.where("n_blocks > 1"), F.size("names")
+    while longest > 1:
+        pairs = now.select(F.explode(F.filter(_pairs(size), lambda i: 2 * i + 1 < size)).alias("i"), "names").select(_pair(F.col("names"), F.col("i")).alias("content"))
+        clashes = ranks(pairs, hashed)
+        joined = F.transform(_pairs(size), lambda i: F.when(2 * i + 1 < size, name(_pair(F.col("names"), i), hashed, clashes)).otherwise(F.get("names", 2 * i)))
+        now, longest = materialize(now.withColumn("names", joined)), (longest + 1) // 2
+        done, now = done.unionByName(now.where(size == 1)), now.where(size > 1)
+    return done.select("doc_id", "text_sha256", "n_blocks", F.col("names")[0]["h"].alias("h"), F.col("names")[0]["r"].alias("r"))
 
 
 def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs (doc_id, text; other columns are ignored).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id of each
-    group is kept; of repeated rows with that id, one. Rows with a null doc_id are kept only in a group without other ids.
-    An empty table gives an empty one.
+    group is kept; of repeated rows with that id, one. Rows with a null doc_id are kept, one of them, only in a group
+    without other ids. An empty table gives an empty one.
     """
-    docs = materialize(identities(docs, block_chars))
-    groups = docs.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = docs.join(groups, ["n_blocks", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    rows = identities(docs, block_chars)
+    # equal rows are one with a count, so that the join below meets each (text, doc_id) once
+    rows = materialize(rows.groupBy("doc_id", "text_sha256", "n_blocks", "h", "r").agg(F.count("*").alias("copies")))
+    groups = rows.groupBy(F.col("n_blocks").alias("g_n"), F.col("h").alias("g_h"), F.col("r").alias("g_r")).agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = materialize(groups.where("group_size > 1"))  # a shuffle of its own on either side lets skewed groups be split
+    same = (F.col("n_blocks") == F.col("g_n")) & (F.col("h") == F.col("g_h")) & (F.col("r") == F.col("g_r"))
+    joined = rows.join(groups, same, "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return joined.select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
