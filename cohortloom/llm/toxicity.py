@@ -24,7 +24,7 @@ from cohortloom.llm.common import labelled_sample, map_text, materialize
 #: Bounds of what is fitted: labelled rows of each class, characters of a row, stems, stem lengths.
 PER_CLASS, MAX_CHARS, MAX_STEMS, STEMS = 3000, 40_000, 2000, range(3, 13)
 #: Evidence (log-likelihood ratio) and log-odds that make a stem.
-LEAST_EVIDENCE, LEAST_ODDS = 18.0, 3.0
+LEAST_EVIDENCE, LEAST_ODDS, ROUNDS = 30.0, 3.0, 8
 INSULT, THREAT, TARGET, NOT, SAID, OTHER = "insult", "threat", "target", "not", "said", "other"
 #: Words of the closed classes in English, German, French and Spanish, and first insults.
 WORDS = {
@@ -135,36 +135,54 @@ def model_of(stems: dict[str, float]) -> ToxicityModel:
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Beginnings of words that mark label 1 in (text, y), with their log-odds, at most MAX_STEMS."""
+    """Beginnings of words that mark label 1 in (text, y), with their log-odds, at most MAX_STEMS.
+
+    Stems are taken in rounds, those of at least half the best evidence first; the next round looks only at texts that
+    hold none of them, so that what merely stands beside an insult, or in copies of one text, is no evidence.
+    """
+    texts = materialize(sample.groupBy("text").agg(F.max("y").alias("y")))
+    n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    stems: dict[str, float] = {}
+    for _ in range(ROUNDS if len(n) == 2 else 0):
+        found = _stem_round(texts, stems, n)
+        if not found or len(stems) >= MAX_STEMS:
+            break
+        stems |= found
+    return stems
+
+
+def _stem_round(texts: DataFrame, stems: dict[str, float], n: dict[int, int]) -> dict[str, float]:
+    taken = dict(stems)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 words = {w.strip("'’") for w in WORD.findall(text.lower())}
-                counts[int(y)].update({w[:n] for w in words for n in STEMS if n <= len(w)})
+                begins = {w[:k] for w in words for k in STEMS if k <= len(w)}
+                if begins.isdisjoint(taken):
+                    counts[int(y)].update(begins)
             names = counts[0].keys() | counts[1].keys()
             yield pd.DataFrame([(s, counts[1][s], counts[0][s]) for s in names], columns=["stem", "bad", "good"])
 
-    seen = sample.groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in seen}
-    if len(n) < 2:
-        return {}
-    counts = sample.select("text", "y").mapInPandas(run, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    share = F.lit(n[1] / (n[0] + n[1]))
-    both = F.col("bad") + F.col("good")
+    counts = texts.mapInPandas(run, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    share, both = F.lit(n[1] / (n[0] + n[1])), F.col("bad") + F.col("good")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (both * p))).otherwise(0.0)
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("good") + 0.5) / (n[0] + 1))
     scored = counts.where("bad >= 4").select("stem", odds.alias("odds"), (2 * (part(F.col("bad"), share) + part(F.col("good"), 1 - share))).alias("evidence"))
     rows = scored.where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("evidence"), F.desc(F.length("stem")), "stem").limit(MAX_STEMS).collect()
-    stems: dict[str, float] = {}
+    found: dict[str, float] = {}
     covered: set[str] = set()
     for r in rows:
         s = r["stem"]
-        if s not in covered and not any(s[:k] in stems for k in STEMS):
-            stems[s] = float(r["odds"])
+        if r["evidence"] >= rows[0]["evidence"] / 2 and s not in covered and not any(s[:k] in found for k in STEMS):
+            # a longer stem of nearly the same evidence, if it is surer
+            longer = [t for t in rows if t["stem"].startswith(s) and t["evidence"] >= 0.95 * r["evidence"]]
+            best = max(longer, key=lambda t: (t["odds"], len(t["stem"])))
+            s = best["stem"]
+            found[s] = float(best["odds"])
             covered.update(s[:k] for k in range(1, len(s)))
-    return stems
+    return found
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
