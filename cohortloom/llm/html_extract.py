@@ -163,7 +163,8 @@ def labelled_page(seed: int) -> str:
         return " ".join(word() for _ in range(r.randint(1, 4)))
 
     def links(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{word()}">{short()}</a></li>' for _ in range(n)) + "</ul>"
+        names = [r.choice([word(), short(), r.choice("aeiouyäñé")]) + r.choice(["", "", "", ",", ".", ":", "!"]) for _ in range(n)]
+        return "<ul>" + "".join(f'<li><a href="/{word()}">{x}</a></li>' for x in names) + "</ul>"
 
     def some(*made: str, chance: float = 0.35) -> str:
         return "".join(x for x in made if r.random() < chance)
