@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import materialize, whole_text
 
-SHARDS, ATOMS, CELL_ROWS = 40, 1 << 15, 100_000
+SHARDS, ATOMS, CELL_ROWS = 40, 1 << 15, 4096
 
 
 def needed(prefix: list[int], capacity: int) -> list[int]:
