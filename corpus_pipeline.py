@@ -38,8 +38,8 @@ def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays; rows without an id stay."""
-    dropped = simhash.near_duplicates(docs, shingle=5).where("component_id <> doc_id").select("doc_id").distinct()
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays; rows without an id stay."""
+    dropped = simhash.similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
 
 
