@@ -45,14 +45,22 @@ def fit_candidate(train: DataFrame, kind: str, seed: int = 0, label: str = "y_tr
 
     train: label (double from 0) and a vector column. Class weights are inverse to frequency; features are scaled on train alone.
     """
-    counts = {float(r[label]): r["count"] for r in train.groupBy(label).count().collect()}
+    base = train.select(F.col(label).cast("double").alias("label"), F.col(features)).persist()
+    try:
+        return _fit(base, kind, seed, features, params)
+    finally:
+        base.unpersist()
+
+
+def _fit(base: DataFrame, kind: str, seed: int, features: str, params: dict) -> Fitted:
+    counts = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}
     top = min((-c, v) for v, c in counts.items())[1]
     share = counts.get(1.0, 0) / sum(counts.values())
     if kind == "majority" or len(counts) == 1:
         return _constant(kind, 1.0 if top == 1.0 else 0.0, top)
     if kind == "prevalence":
         return _constant(kind, share, top)
-    data = train.select(F.col(label).cast("double").alias("label"), F.col(features), _weights(label, counts).alias("w"))
+    data = base.withColumn("w", _weights("label", counts))
     scaler = StandardScaler(inputCol=features, outputCol="_scaled", withMean=True, withStd=True)
     k = int(max(counts)) + 1
     if kind == "logistic":
@@ -64,7 +72,7 @@ def fit_candidate(train: DataFrame, kind: str, seed: int = 0, label: str = "y_tr
         if k > 2:
             est = OneVsRest(classifier=est, featuresCol="_scaled", weightCol="w")
     elif kind == "small_mlp":
-        size = len(train.select(vector_to_array(features).alias("x")).first()["x"])
+        size = len(base.select(vector_to_array(features).alias("x")).first()["x"])
         est = MultilayerPerceptronClassifier(featuresCol="_scaled", layers=[size, 32, k], seed=seed, **({"maxIter": 60} | params))
     else:
         raise ValueError(f"no candidate {kind}")
