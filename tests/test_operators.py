@@ -161,3 +161,30 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("windows"), "start", "event_type", "n") == rows(windowed_counts(events, "2 hours"), "start", "event_type", "n")
+
+
+def test_attention_gradient_and_training(spark):
+    import numpy as np
+
+    from cohortloom.operators import mil
+
+    r = np.random.default_rng(1)
+    bags = [(f"b{i}", [float(a) for a in r.normal(size=3) + ([3.0, 0, 0] if i % 2 and k == 0 else [0, 0, 0])]) for i in range(16) for k in range(1 + i % 4)]
+    cells, y = spark.createDataFrame(bags, "subject_id string, x array<double>"), spark.createDataFrame([(f"b{i}", float(i % 2) if i < 15 else None) for i in range(16)], "subject_id string, y double")
+    model = mil.GatedAttention.start(3, 2, seed=4)
+    model.c = np.array([0.3, -0.2, 0.1])
+
+    def loss(m):
+        p = {x["subject_id"]: x["y_prob"] for x in mil.predict(cells, m).collect()}
+        return -np.mean([np.log(p[f"b{i}"] if i % 2 else 1 - p[f"b{i}"]) for i in range(15)])
+
+    g, flat = mil.gradient(cells, y, model), model.flat()
+    for k in (0, 7, 12, 14, 16, 17):
+        step = np.zeros_like(flat)
+        step[k] = 1e-5
+        assert math.isclose(g[k], (loss(model.with_flat(flat + step)) - loss(model.with_flat(flat - step))) / 2e-5, abs_tol=1e-6)
+    assert np.allclose(g, mil.gradient(cells.repartition(7), y, model))
+    fitted = mil.fit(cells, y, 3, hidden=2, rounds=12, rate=0.3)
+    p = {x["subject_id"]: x["y_prob"] for x in mil.predict(cells, fitted).collect()}
+    assert np.mean([(p[f"b{i}"] >= 0.5) == bool(i % 2) for i in range(15)]) > 0.8
+    assert mil.dropout_report(cells, fitted, 3, 0.3).count() == 16
