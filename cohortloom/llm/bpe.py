@@ -2,7 +2,8 @@
 
 Long texts are split beforehand where no match of the pattern can reach across: before a space that follows a character
 other than white space and comes before one other than white space. Parts are encoded one by one, so memory and time
-stay in proportion to the text.
+stay in proportion to the text. A long run of white space is one match but for its last character, if something follows;
+the library's pattern matcher overflows on such runs, so they are cut out and given to the merges directly.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import map_text
 
-LONG_TEXT, PART = 1 << 18, 1 << 16
+LONG_TEXT, PART = 1 << 15, 1 << 16
 #: A space between two characters other than white space: every match that includes it begins with it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space as the pattern's \s has it.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def encoding(rank_file: str, pattern: str):
@@ -47,7 +50,13 @@ def parts(text: str) -> Iterator[str]:
 def encode(enc, text: str) -> list[int]:
     if len(text) <= LONG_TEXT:
         return enc.encode_ordinary(text)
-    return [i for p in parts(text) for i in enc.encode_ordinary(p)]
+    out, at = [], 0
+    for run in RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += [i for p in parts(text[at : run.start()]) for i in enc.encode_ordinary(p)]
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + [i for p in parts(text[at:]) for i in enc.encode_ordinary(p)]
 
 
 def decode(enc, ids: list[int]) -> bytes:

@@ -407,6 +407,15 @@ def test_safe_boundaries_change_no_id(monkeypatch):
         assert bpe.encode(enc, text) == enc.encode_ordinary(text) and "".join(bpe.parts(text)) == text
 
 
+def test_long_runs_of_white_space(monkeypatch):
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    for text in ("a" + " " * 5000 + "b", "\n" * 4096, "x " + "\t" * 4100 + "\u3000y", " " * 4500 + "\n", "\x1c" * 5000, "é" + "\xa0" * 6000 + "1 2", " " * 4096 + "'s"):
+        want = enc.encode_ordinary(text)
+        monkeypatch.setattr(bpe, "LONG_TEXT", 0)
+        assert bpe.encode(enc, text) == want
+    assert enc.decode_bytes(bpe.encode(enc, " " * 1_000_000 + "b" + "\n" * 300_000)) == b" " * 1_000_000 + b"b" + b"\n" * 300_000
+
+
 # 10 sharding
 
 
