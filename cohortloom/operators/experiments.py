@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.draws import draw
-from cohortloom.operators import calibration, cohorts, matrix, metrics, models, splits
+from cohortloom.operators import calibration, cohorts, matrix, metrics, models, resampling, splits
 
 
 def prepare(expr: DataFrame, cells: DataFrame, n_genes: int, train: float = 0.7, val: float = 0.15, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,6 +49,22 @@ def compare(results: DataFrame, a: str, b: str) -> DataFrame:
     return calibration.pairs_summary(x.select("seed", "fold", F.col("auroc").alias("a")).join(y.select("seed", "fold", F.col("auroc").alias("b")), ["seed", "fold"]))
 
 
+def develop(rows: DataFrame, kinds: list[str], folds: int, seeds: list[int], baseline: str = "prevalence") -> tuple[DataFrame, DataFrame]:
+    """(candidates, against_baseline): repeated cross-validation, candidates ranked by their mean over repeats, each paired with the baseline.
+
+    Folds and seeds are few, so their metrics are gathered once and reused.
+    """
+    results = cross_validate(rows, kinds, folds, seeds)
+    kept = rows.sparkSession.createDataFrame(results.collect(), results.schema)
+    ranked = None
+    for kind in kinds:
+        own = kept.where(F.col("candidate") == kind)
+        one = resampling.seed_summary(own.select("seed", F.col("auroc").alias("metric"))).withColumn("candidate", F.lit(kind))
+        pair = compare(kept, kind, baseline).withColumn("candidate", F.lit(kind))
+        ranked = (one, pair) if ranked is None else (ranked[0].unionByName(one), ranked[1].unionByName(pair))
+    return models.final_rank(ranked[0].withColumnRenamed("mean", "metric")), ranked[1]
+
+
 def frozen_evaluation(development: DataFrame, test: DataFrame, kind: str, seed: int = 0, how: str = "youden") -> DataFrame:
     """One row of test metrics. Calibrator and threshold come from out-of-fold predictions of the development rows alone."""
     oof = models.out_of_fold(development, kind, seed).select("y_true", "y_prob")

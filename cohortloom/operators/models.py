@@ -25,6 +25,7 @@ class Fitted:
 
     name: str
     predict: Callable[[DataFrame], DataFrame]
+    model: object = None
 
 
 def _constant(name: str, prob: float, pred: float) -> Fitted:
@@ -83,7 +84,7 @@ def _fit(base: DataFrame, kind: str, seed: int, features: str, params: dict) ->
         prob = F.element_at(vector_to_array("probability"), 2) if "probability" in out.columns else F.col("prediction")
         return out.withColumns({"y_prob": prob.cast("double"), "y_pred": F.col("prediction")}).select(*df.columns, "y_prob", "y_pred")
 
-    return Fitted(kind, predict)
+    return Fitted(kind, predict, model)
 
 
 def out_of_fold(rows: DataFrame, kind: str, seed: int = 0, **params) -> DataFrame:

@@ -53,6 +53,11 @@ def e7_compare_candidates(spark, d):
     return E.compare(results, "logistic", "prevalence")
 
 
+@query()
+def e8_repeated_development(spark, d):
+    return E.develop(_subjects(spark, d).select("subject_id", "y_true", "features"), ["prevalence", "logistic"], 2, [1, 2])[0]
+
+
 @query()
 def e4_frozen_evaluation(spark, d):
     rows = _subjects(spark, d)

@@ -134,3 +134,36 @@ def export_cells(cells: DataFrame, path: str, policy: str) -> dict:
 
 def load_cells(spark: SparkSession, path: str) -> DataFrame:
     return verify_frame(spark, f"{path}/cells", ["cell_id"], read_json(f"{path}/dataset_metadata.json")["cells"])
+
+
+def write_bundle(model, path: str, artifact: DataFrame, spark: SparkSession) -> dict:
+    """A fitted pipeline with the preprocessing artifact it belongs to, bound by checksums; the manifest is written last."""
+    model.write().save(f"{path}/model")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/model").where("length > 0")
+    marks = sorted(r[0] for r in files.select(F.sha2("content", 256)).collect())  # a pipeline's few files
+    manifest = {"model": digest(marks), "artifact": write_frame(artifact, f"{path}/artifact", ["gene"])}
+    write_json(f"{path}/manifest.json", manifest, exclusive=True)
+    return manifest
+
+
+def load_bundle(spark: SparkSession, path: str):
+    """(model, artifact), if neither was changed since."""
+    from pyspark.ml import PipelineModel
+
+    manifest = read_json(f"{path}/manifest.json")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/model").where("length > 0")
+    if digest(sorted(r[0] for r in files.select(F.sha2("content", 256)).collect())) != manifest["model"]:
+        raise ContractError(f"{path}/model was changed")
+    return PipelineModel.load(f"{path}/model"), verify_frame(spark, f"{path}/artifact", ["gene"], manifest["artifact"])
+
+
+def write_report(path: str | Path, title: str, sections: dict[str, DataFrame]) -> None:
+    """A markdown report of small tables; each may have at most 1,000 rows."""
+    out = [f"# {title}", ""]
+    for name, df in sections.items():
+        rows = df.limit(1001).collect()
+        if len(rows) > 1000:
+            raise ContractError(f"{name} is too long for a report")
+        out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows] + [""]
+    write_atomic(path, "\n".join(out).encode())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.cohorts import ContractError
 from cohortloom.operators.texts import modules_from_gmt
-from cohortloom.sources import artifacts, geo, matrixmarket
+from cohortloom.sources import artifacts, catalog, geo, matrixmarket
 
 
 def test_matrixmarket(spark, tmp_path):
@@ -108,3 +108,43 @@ def test_publication_and_guard(tmp_path):
     guard.close(got[0], "completed")
     with pytest.raises(ContractError):
         guard.close(got[0], "failed")
+
+
+def test_catalog_reads_what_is_there(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n2 3 2\n1 1 5\n2 3 1\n")
+    (tmp_path / "b.tsv").write_text("A\nB\nC\n")
+    (tmp_path / "g.tsv").write_text("e1\tG1\ne2\tG2\n")
+    at = {"kind": "single_cell", "matrix": str(tmp_path / "m.mtx"), "barcodes": str(tmp_path / "b.tsv"), "genes": str(tmp_path / "g.tsv"), "n_barcodes": 3, "n_genes": 2, "species": "mouse"}
+    out = catalog.load_all(spark, {"x": at, "gone": at | {"matrix": str(tmp_path / "none.mtx")}}, mode="mouse_only")
+    expr, cells = out["x"]
+    assert list(out) == ["x"] and sorted(map(tuple, expr.collect())) == [("A", "G1", 5.0), ("C", "G2", 1.0)] and cells.count() == 3
+    with pytest.raises(ContractError):
+        catalog.load_all(spark, {"x": at})
+    with pytest.raises(ContractError):
+        catalog.load_all(spark, {"gone": at | {"matrix": str(tmp_path / "none.mtx")}}, mode="mouse_only")
+    with pytest.raises(ContractError):
+        catalog.require_real_subjects(spark.createDataFrame([("Unknown ",)], "subject_id string"))
+    sums = catalog.checksums(spark, [at["matrix"], str(tmp_path / "none")])
+    assert len(sums[at["matrix"]]) == 64 and sums[str(tmp_path / "none")] is None
+    with pytest.raises(ContractError):
+        catalog.Entry("a", "x", "rat", "open").validate()
+
+
+def test_bundles_and_reports(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    from cohortloom.operators import models
+
+    rows = spark.range(40).select(F.col("id").alias("subject_id"), (F.col("id") % 2).cast("double").alias("y_true"), array_to_vector(F.array((F.col("id") % 2).cast("double"), F.rand(1))).alias("features"))
+    fitted = models.fit_candidate(rows, "logistic")
+    artifact = spark.createDataFrame([("g1", 0.5)], "gene string, mean double")
+    artifacts.write_bundle(fitted.model, str(tmp_path / "b"), artifact, spark)
+    model, again = artifacts.load_bundle(spark, str(tmp_path / "b"))
+    assert again.count() == 1 and model.transform(rows).where("prediction = y_true").count() == 40
+    part = next((tmp_path / "b/model").rglob("part-*"))
+    part.with_name(f".{part.name}.crc").unlink()
+    part.write_text("changed")
+    with pytest.raises(ContractError):
+        artifacts.load_bundle(spark, str(tmp_path / "b"))
+    artifacts.write_report(tmp_path / "r.md", "Report", {"panel": artifact})
+    assert "| g1 | 0.5 |" in (tmp_path / "r.md").read_text()
