@@ -3,7 +3,7 @@
 A block's vectors are quantised: each dimension's range over the block is cut into 2^bits cells, and a cell bounds the
 products of everything in it. The cells of a block are scanned for all queries of a wave; a query then reads exact
 vectors in the order of their bounds until no unread one can enter its k best. Blocks hold a fixed number of vectors,
-a wave a bounded number of queries, broadcast to all tasks; every task keeps the k best of each query over its blocks,
+a wave a bounded number of queries (some 32 MB at 64 dimensions), broadcast to all tasks; every task keeps the k best of each query over its blocks,
 and only those are shuffled.
 """
 
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import materialize
 
-BLOCK_ROWS, CELL_BITS, WAVE, READ = 4096, 8, 8192, 32
+BLOCK_ROWS, CELL_BITS, WAVE, READ = 4096, 8, 65536, 32
+#: Queries whose bounds of a block are in memory at once, and waves whose results are written together.
+QUERY_ROWS, WAVES_AT_ONCE = 1024, 8
 
 
 class Cells:
@@ -89,8 +91,12 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, wave: int = WAVE,
             rows = waiting.pop(d)
             if d in sets:
                 ids, matrix, best = sets[d]
-                block = np.array([v for _, v in rows], dtype=np.int64)
-                block_best(Cells(block), np.array([i for i, _ in rows], dtype=np.int64), ids, matrix, best, k)
+                cells, own = Cells(np.array([v for _, v in rows], dtype=np.int64)), np.array([i for i, _ in rows], dtype=np.int64)
+                for at in range(0, len(ids), QUERY_ROWS):
+                    to = at + QUERY_ROWS
+                    part = best[at:to]
+                    block_best(cells, own, ids[at:to], matrix[at:to], part, k)
+                    best[at:to] = part
 
         for batch in batches:
             if sets is None:
@@ -114,5 +120,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, wave: int = WAVE,
         first = F.when(F.col("row") == 0, F.col("queries"))
         scanned = rows.join(F.broadcast(packed.where(F.col("wave") == w)), "wave").select("vec_id", "v", first.alias("queries")).mapInPandas(run, "query_id long, vec_id long, score long")
         found = scanned if found is None else found.unionAll(scanned)
+        if w % WAVES_AT_ONCE == WAVES_AT_ONCE - 1 and w < waves - 1:
+            found = materialize(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
