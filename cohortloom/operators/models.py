@@ -65,7 +65,7 @@ def _fit(base: DataFrame, kind: str, seed: int, features: str, params: dict) ->
     scaler = StandardScaler(inputCol=features, outputCol="_scaled", withMean=True, withStd=True)
     k = int(max(counts)) + 1
     if kind == "logistic":
-        est = LogisticRegression(featuresCol="_scaled", weightCol="w", **({"regParam": 0.1, "maxIter": 100} | params))
+        est = LogisticRegression(featuresCol="_scaled", weightCol="w", **({"regParam": 0.1, "maxIter": 30, "tol": 1e-4} | params))
     elif kind == "random_forest":
         est = RandomForestClassifier(featuresCol="_scaled", weightCol="w", seed=seed, **({"numTrees": 50} | params))
     elif kind == "gradient_boosting":
