@@ -12,10 +12,10 @@ def _half_even(x: Column) -> Column:
     return F.bround(x, 0).cast("long")
 
 
-def train_val_test(subjects: DataFrame, train: float, val: float, seed: int) -> DataFrame:
+def train_val_test(subjects: DataFrame, train: float, val: float, seed: int, min_val: int = 1) -> DataFrame:
     """(subject_id, label, split): classes of at least 3 subjects split by themselves, smaller ones pooled.
 
-    A null label is a class of its own. A class gives at least one subject to train and val and one is left for test.
+    A null label is a class of its own. A class gives at least one subject to train and min_val to val, and one is left for test.
     The last subject of a class may hold any share of the rows; the windows go over subjects, a row each.
     """
     n = subjects.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("n"))
@@ -25,7 +25,7 @@ def train_val_test(subjects: DataFrame, train: float, val: float, seed: int) ->
     ranked = strata.select("*", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(draw(seed, "split", "subject_id"), "subject_id")).alias("k"))
     pool = F.col("stratum") == "~pool"
     n_train = F.when(pool, _half_even(F.col("n") * train)).otherwise(F.least(F.greatest(F.lit(1), _half_even(F.col("n") * train)), F.col("n") - 2))
-    n_val = F.when(pool, F.least(_half_even(F.col("n") * val), F.col("n") - F.col("n_train"))).otherwise(F.least(F.greatest(F.lit(1), _half_even(F.col("n") * val)), F.col("n") - F.col("n_train") - 1))
+    n_val = F.when(pool, F.least(_half_even(F.col("n") * val), F.col("n") - F.col("n_train"))).otherwise(F.least(F.greatest(F.lit(min_val), _half_even(F.col("n") * val)), F.col("n") - F.col("n_train") - 1))
     placed = ranked.withColumn("n_train", n_train).withColumn("n_val", n_val)
     return placed.select("subject_id", "label", F.when(F.col("k") <= F.col("n_train"), "train").when(F.col("k") <= F.col("n_train") + F.col("n_val"), "val").otherwise("test").alias("split"))
 

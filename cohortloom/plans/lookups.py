@@ -178,3 +178,45 @@ def u5_attention_training(spark, d):
 def c9_dropout_uncertainty(spark, d):
     bags, _ = _bags(spark, d)
     return mil.dropout_report(bags, mil.GatedAttention.start(8, 4), 3, 0.25)
+
+
+@query("select o.sample_id, coalesce(m.smoke_type, 'cigarette') as smoke_type, coalesce(m.known, true) as smoke_type_known, coalesce(m.subject_id, o.sample_id) as subject_id, true as is_pseudo_bulk from (select distinct 'x' || (l_orderkey % 500) as sample_id from lineitem) o left join (select 'x' || c_custkey as sample_id, lower(c_mktsegment) as smoke_type, c_custkey % 2 = 0 as known, 'p' || c_nationkey as subject_id from customer where c_custkey % 3 = 0) m using (sample_id)")
+def s17_matrix_with_sidecar(spark, d):
+    from cohortloom.sources.geo import with_sidecar
+
+    long = table(spark, d, "lineitem").select(F.concat(F.lit("x"), (F.col("l_orderkey") % 500).cast("string")).alias("sample_id"))
+    side = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("sample_id"), F.lower("c_mktsegment").alias("smoke_type"), (F.col("c_custkey") % 2 == 0).alias("smoke_type_known"), F.concat(F.lit("p"), F.col("c_nationkey").cast("string")).alias("subject_id"))
+    return with_sidecar(long, side, "cigarette")
+
+
+@query("with e as (select o_custkey % 30 as sample_id, 'S' || (l_partkey % 25) as symbol, avg(l_quantity) as value from lineitem join orders on l_orderkey = o_orderkey where l_partkey % 25 < 20 group by 1, 2), m as (select r::bigint as sample_id, ['Never smoker','current smoker','ex'][(r % 3 + 1)::int] as status from range(0, 30) a(r)) select sample_id, symbol, round(value, 6) as value, case when status = 'Never smoker' then 'unexposed' when status = 'current smoker' then 'cigarette' else 'unknown' end as smoke_type, status <> 'ex' as known from e join m using (sample_id)")
+def s9_microarray(spark, d):
+    """Probe means per symbol, with the samples' smoking status."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    long = lines.select((F.col("o_custkey") % 30).alias("sample_id"), F.col("l_partkey").alias("probe"), F.col("l_quantity").alias("value"))
+    k = F.col("p_partkey") % 25
+    probes = table(spark, d, "part").where(k < 20).select(F.col("p_partkey").alias("probe"), F.concat(F.lit("S"), k.cast("string")).alias("symbol"), F.col("p_partkey").alias("line_no"))
+    status = F.element_at(F.array(*map(F.lit, ("Never smoker", "current smoker", "ex"))), (F.col("id") % 3 + 1).cast("int"))
+    samples = spark.range(30).select(F.col("id").alias("sample_id"), labels.smoke_status(status).alias("smoke_type"))
+    return _rounded(M.mean_by_symbol(long, probes).join(samples, "sample_id").withColumn("known", F.col("smoke_type") != "unknown"))
+
+
+@query()
+def x5_shift_report(spark, d):
+    """Energy distance, MMD and centroid distance of two sources' subjects in one row."""
+    from cohortloom.operators import shift
+    from cohortloom.plans.shift import _points
+
+    p = _points(spark, d)
+    c = shift.centroid_distances(expr(spark, d).join(cells(spark, d).select("cell_id", "source"), "cell_id")).where("a = 'src0' and b = 'src1'")
+    return shift.energy_distance(p, "src0", "src1").crossJoin(shift.mmd(p, "src0", "src1")).crossJoin(c)
+
+
+@query(sql(CELLS, VOTES, GRID, PER, then="select 'class' as level, label::varchar as name, round(f1, 6) as value from pc union all select 'all', 'macro_f1', round(avg(f1), 6) from pc union all select 'all', 'balanced_accuracy', round(avg(case when support > 0 then recall end), 6) from pc"))
+def u7_evaluation_report(spark, d):
+    per = metrics.per_class(metrics.confusion(_votes(spark, d), _classes(spark)))
+    whole = metrics.classification_summary(per)
+    out = per.select(F.lit("class").alias("level"), F.col("label").cast("string").alias("name"), F.col("f1").alias("value"))
+    for name in ("macro_f1", "balanced_accuracy"):
+        out = out.unionByName(whole.select(F.lit("all").alias("level"), F.lit(name).alias("name"), F.col(name).alias("value")))
+    return _rounded(out)

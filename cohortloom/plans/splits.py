@@ -114,3 +114,23 @@ def r10_oof_problems(spark, d):
 def p13_subset_by_subjects(spark, d):
     c = cells(spark, d).select("cell_id", "subject_id")
     return c.withColumn("split", F.when(F.col("subject_id").isin("s3", "s7"), "test").otherwise("train"))
+
+
+R4 = """st as (select *, case when count(*) over (partition by label) >= 3 then coalesce(label::varchar, '~null') else '~pool' end as stratum from sub),
+rk as (select *, count(*) over (partition by stratum) as n, row_number() over (partition by stratum order by md5('42|split|' || subject_id), subject_id) as k from st)"""
+
+
+@query(sql(SUB, R4, then="select subject_id, label, case when k <= (case when stratum = '~pool' then round_even(n * 0.7::double, 0)::bigint else least(greatest(1, round_even(n * 0.7::double, 0)::bigint), n - 2) end) then 'train' else 'test' end as split from rk"))
+def r4_train_test(spark, d):
+    return S.train_val_test(_sub(spark, d), 0.7, 0.0, 42, min_val=0)
+
+
+@query("select c as cell_id, 's' || (c // 20) as subject_id, ('0x' || substr(md5('5|label|s' || (c // 20)), 1, 8))::bigint % 3 as label, 'src' || (c // 20 % 2) as source, round(('0x' || substr(md5('5|value|' || c || '|' || g), 1, 8))::bigint / 4294967296.0::double, 9) as value, 'g' || g as gene from range(0, 640) a(c), range(0, 15) b(g)")
+def s32_synthetic_context(spark, d):
+    """Cells, subjects, labels and values that depend on their names alone."""
+    from cohortloom.functions.draws import draw_u32, draw_unit
+
+    subject = F.concat(F.lit("s"), F.floor(F.col("cell_id") / 20).cast("string"))
+    c = spark.range(640).select(F.col("id").alias("cell_id")).withColumn("subject_id", subject)
+    c = c.select("cell_id", "subject_id", (draw_u32(5, "label", "subject_id") % 3).alias("label"), F.concat(F.lit("src"), (F.floor(F.col("cell_id") / 20) % 2).cast("string")).alias("source"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("g"))
+    return c.select("cell_id", "subject_id", "label", "source", F.round(draw_unit(5, "value", "cell_id", "g"), 9).alias("value"), F.concat(F.lit("g"), F.col("g").cast("string")).alias("gene"))
