@@ -71,14 +71,17 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     nodes = nodes.join(linked, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("source", "previous").alias("parent_turn"))
     # threads: a turn that replies to the one before it goes on with its thread; a reply to an earlier turn begins one
     chain = nodes.join(turns, ["conv_id", "turn"]).select("conv_id", "turn", "parent_turn", F.coalesce("parent_turn", "turn").alias("up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).alias("depth"))
-    chain = materialize(chain)
-    while chain.where("up <> turn").limit(1).count():  # pointer jumping: the way to the root halves
-        above = chain.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        jumped = materialize(chain.join(above, ["conv_id", "up"]).select("conv_id", "turn", "parent_turn", F.col("up2").alias("next"), (F.col("depth") + F.when(F.col("up") == F.col("turn"), 0).otherwise(F.col("depth2"))).cast("int").alias("depth"), (F.col("up2") != F.col("up")).alias("moved")))
-        done = jumped.where("moved").limit(1).count() == 0
-        chain = jumped.select("conv_id", "turn", "parent_turn", F.col("next").alias("up"), "depth")
-        if done:
-            break
-    threads = chain.select("conv_id", "turn", "parent_turn", F.col("up").alias("thread"), "depth")
+    threads = _roots(materialize(chain)).select("conv_id", "turn", "parent_turn", F.col("up").alias("thread"), "depth")
     return rows.join(threads, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", F.col("unquoted").alias("text"), "parent_turn", F.size("quoted").alias("quotes"), F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def _roots(chain: DataFrame) -> DataFrame:
+    """chain with `up` moved to the root and `depth` the way to it, by pointer jumping: each round halves the way, and takes only rows that are not there."""
+    done, active = chain.where("up = turn"), chain.where("up <> turn")
+    while active.limit(1).count():
+        above = done.unionByName(active).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        jumped = materialize(active.join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t"))).select(
+            "conv_id", "turn", "parent_turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("up2") != F.col("up")).alias("moved")))
+        done, active = done.unionByName(jumped.where("not moved").drop("moved")), jumped.where("moved").drop("moved")
+    return done
