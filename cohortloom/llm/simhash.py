@@ -9,7 +9,8 @@ compared with all at that anchor. With 4 bits and one block that is the home anc
 
 order 1 uses one block a table (12 key bits, 16 rows a fingerprint), order 2 the product code of two blocks (24 key bits,
 29 rows); both find every pair. Work goes over distinct fingerprints. Anchors with many rows are dealt out as a grid of
-cells, so no task holds more than a cell's inner rows, and a cell gives a forest of its closest links, not all pairs.
+cells, so no task holds more than a cell's inner rows, and a row gives links to its closest rows and to each group of linked
+rows it joins, not all pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ GOLAY = 0b110001110101
 CELL_INNER, CELL_ROWS = 8192, 65536
 #: Distinct fingerprints beyond which two blocks make the key.
 ORDER_2_FROM = 50_000_000
+#: Closest rows that a document is held against at each anchor, where shingles decide.
+PARTNERS = 4
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -123,7 +126,7 @@ def anchors(points: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFr
         table = cosets(3 + outer)
         for batch in batches:
             for part in range(0, len(batch), 2048):
-                fp, node = batch["fp"].to_numpy()[part : part + 2048], batch["node"].to_numpy()[part : part + 2048]
+                kind, fp, node = (batch[c].to_numpy()[part : part + 2048] for c in ("print", "fp", "node"))
                 near = [_spread((fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1), table) for first, width in BLOCKS]
                 for k, chosen in enumerate(combinations(range(3), order)):
                     rows, key, weight = near[chosen[0]]
@@ -137,96 +140,84 @@ def anchors(points: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFr
                         both = over[left] + np.maximum(weight2[at] - 3, 0)
                         left, at, over = left[both <= outer], at[both <= outer], both[both <= outer]
                         rows, key = rows[left], key[left] * 4096 + key2[at]
-                    yield pd.DataFrame({"key": key + (k << 24), "inner": over <= inner, "fp": fp[rows], "node": node[rows]})
-
-    return points.select("fp", "node").mapInPandas(run, "key long, inner boolean, fp long, node long")
-
-
-def _cell_links(inner: tuple, others: tuple, threshold: int) -> dict[tuple[int, int], int]:
-    """Pairs within the threshold, with their distances, enough of them to join what all pairs join.
-
-    Each other row is linked to its closest inner row, and an inner row, for each inner row that is closest to
-    others it meets, to the closest of those.
-    """
-    found: dict[tuple[int, int], int] = {}
-    (a, na), step = inner, max(1, 4_000_000 // max(1, len(inner[0])))
-    for at in range(0, len(others[0]), step):
-        b, nb = others[0][at : at + step], others[1][at : at + step]
-        apart = np.bitwise_count(b[:, None] ^ a[None, :])
-        apart[nb[:, None] == na[None, :]] = 255
-        some = np.flatnonzero((apart <= threshold).any(axis=1))
-        if not len(some):
-            continue
-        apart, nb = apart[some], nb[some]
-        first = apart.argmin(axis=1)
-        for i, f in enumerate(first.tolist()):
-            found[int(nb[i]), int(na[f])] = int(apart[i, f])
-        for f in np.unique(first).tolist():
-            mine = np.flatnonzero(first == f)
-            least = apart[mine]
-            close = least.argmin(axis=0)
-            for h in np.flatnonzero(least.min(axis=0) <= threshold).tolist():
-                found[int(nb[mine[close[h]]]), int(na[h])] = int(least[close[h], h])
-    return found
-
-
-def _forest(found: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
-    """The closest links that join what all of them join."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    kept = []
-    for (x, y), apart in sorted(found.items(), key=lambda i: (i[1], i[0])):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            kept.append((x, y, apart))
-    return kept
-
-
-def _comparing(threshold: int):
+                    yield pd.DataFrame({"key": key + (k << 24) + (kind[rows] << 26), "inner": over <= inner, "fp": fp[rows], "node": node[rows]})
+
+    return points.select("print", "fp", "node").mapInPandas(run, "key long, inner boolean, fp long, node long")
+
+
+class _Cell:
+    """The inner rows of a cell and the groups that links have made of them; others are shown to it in batches."""
+
+    def __init__(self, threshold: int, partners: int):
+        self.threshold, self.partners, self.found = threshold, partners, {}
+        self.fp, self.node, self.group = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, fp: np.ndarray, node: np.ndarray) -> None:
+        start = len(self.fp)
+        self.fp, self.node = np.concatenate([self.fp, fp]), np.concatenate([self.node, node])
+        self.group = np.concatenate([self.group, np.arange(start, start + len(fp))])
+
+    def show(self, fp: np.ndarray, node: np.ndarray) -> None:
+        """Link each row to its closest inner rows, and to one of each group within the threshold that it is not in yet."""
+        step = max(1, 4_000_000 // max(1, len(self.fp)))
+        for at in range(0, len(fp), step):
+            apart = np.bitwise_count(fp[at : at + step, None] ^ self.fp[None, :])
+            apart[node[at : at + step, None] == self.node[None, :]] = 255
+            for i in np.flatnonzero((apart <= self.threshold).any(axis=1)).tolist():
+                near = np.flatnonzero(apart[i] <= self.threshold)
+                near = near[np.argsort(apart[i, near], kind="stable")]
+                kept = near[: self.partners].tolist()
+                groups, first = np.unique(self.group[near], return_index=True)
+                if len(groups) > 1:
+                    kept += near[first].tolist()
+                    self.group[np.isin(self.group, groups)] = groups[0]
+                me = int(node[at + i])
+                for h in kept:
+                    other = int(self.node[h])
+                    self.found[max(me, other), min(me, other)] = int(apart[i, h])
+
+    def links(self) -> pd.DataFrame:
+        out, self.found = [(a, b, w) for (a, b), w in self.found.items()], {}
+        return pd.DataFrame(out, columns=["a", "b", "apart"], dtype="int64")
+
+
+def _comparing(threshold: int, partners: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by cell, inner rows first; the others are streamed past the cell's inner rows."""
-        cell, own, found = None, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), {}
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame(_forest(found), columns=["a", "b", "apart"], dtype="int64")
-
+        name, cell = None, _Cell(threshold, partners)
         for batch in batches:
             ids = batch[["key", "s", "r"]].to_numpy()
             inner, fp, node = batch["inner"].to_numpy(bool), batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy()
             cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if tuple(ids[lo]) != cell:
-                    if found:
-                        yield out()
-                    cell, own, found = tuple(ids[lo]), (fp[:0], node[:0]), {}
-                mine, f, n = inner[lo:hi], fp[lo:hi], node[lo:hi]
-                own = (np.concatenate([own[0], f[mine]]), np.concatenate([own[1], n[mine]]))
-                if len(own[0]):
-                    found |= _cell_links(own, (f, n), threshold)
-                    if len(found) > 200_000:
-                        found = {(x, y): w for x, y, w in _forest(found)}
-        if found:
-            yield out()
+                if tuple(ids[lo]) != name:
+                    if cell.found:
+                        yield cell.links()
+                    name, cell = tuple(ids[lo]), _Cell(threshold, partners)
+                mine = inner[lo:hi]
+                cell.add(fp[lo:hi][mine], node[lo:hi][mine])
+                if len(cell.fp):
+                    cell.show(fp[lo:hi], node[lo:hi])
+                if len(cell.found) > 100_000:
+                    yield cell.links()
+        if cell.found:
+            yield cell.links()
 
     return compare
 
 
-def links(points: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFrame:
+def links(points: DataFrame, order: int, threshold: int = THRESHOLD, partners: int = 1) -> DataFrame:
     """(a, b, apart): nodes of fingerprints within the threshold, enough of them to connect all that are connected.
 
-    points: (fp, node), one row a distinct fingerprint.
+    At each anchor a row is linked to its `partners` closest rows besides.
+
+    points: (print, fp, node), one row a distinct fingerprint; only those of one print are compared.
     """
     rows = anchors(points, order, threshold)
     sizes = rows.groupBy("key").agg(F.count_if("inner").alias("inner"), F.count("*").alias("all"))
     heavy = sizes.where((F.col("inner") > CELL_INNER) | (F.col("all") > CELL_ROWS)).select(
         "key", F.greatest(F.lit(1), F.ceil(F.col("inner") / CELL_INNER)).cast("int").alias("k"), F.ceil(F.col("all") / CELL_ROWS).cast("int").alias("m"))
-    if order == 1:  # no more keys than 3 x 4,096
+    if order == 1:  # no more keys than 3 x 4,096 a print
         heavy = F.broadcast(heavy)
     rows = rows.join(heavy, "key", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "m": F.coalesce("m", F.lit(1))})
     # in a grid, an inner row also goes to the other rows' cells, to meet inner rows there
@@ -235,7 +226,7 @@ def links(points: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFram
     rows = rows.withColumn("s", F.when(F.col("inner"), F.array(F.pmod("pick", "k").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.withColumn("r", F.when(F.col("inner"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(F.pmod(F.shiftright("pick", 20), F.col("m")).cast("int"))))
     rows = rows.select("key", F.explode("s").alias("s"), "r", "inner", "fp", "node").select("key", "s", F.explode("r").alias("r"), "inner", "fp", "node")
-    return rows.repartition("key", "s", "r").sortWithinPartitions("key", "s", "r", F.desc("inner")).mapInPandas(_comparing(threshold), "a long, b long, apart long")
+    return rows.repartition("key", "s", "r").sortWithinPartitions("key", "s", "r", F.desc("inner")).mapInPandas(_comparing(threshold, partners), "a long, b long, apart long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, order: int | None = None) -> DataFrame:
@@ -246,34 +237,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, order: int | None = None)
     becomes a component's id unless its component has no other. Memory: a cell of an anchor in a task.
     """
     prints = materialize(fingerprints(docs, shingle).withColumnRenamed("fp0", "fp"))
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
+    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null").select(F.lit(0).cast("long").alias("print"), "fp", "node"))
     roots = components(links(points, _order(points) if order is None else order).select("a", "b"))
     found = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(found, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def furthest(similarity: float, prints: int) -> int:
+    """Bits in which the prints of a pair of that Jaccard similarity differ at most, but for one pair in some 10,000: 4 standard deviations."""
+    p, n = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), prints * BITS
+    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
+
+
 def _order(points: DataFrame) -> int:
     return 1 if points.count() < ORDER_2_FROM else 2
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 4, threshold: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 6, threshold: int = 8) -> DataFrame:
     """(doc_id, component_id) of documents that are near another: candidates by fingerprints, decided by their shingles.
 
     Documents are candidates where any of `prints` fingerprints differ in at most `threshold` bits; links whose sets of shingles
-    have a Jaccard similarity of at least `similarity` count. At 8 bits and 4 fingerprints a pair at similarity 0.9 is
-    missed about once in 300, one at exactly 0.8 about once in 5. Of a fingerprint's candidates the closest links that
-    join them are looked at. Rows without doc_id or words take no part; rows of one doc_id stand or fall together.
+    have a Jaccard similarity of at least `similarity` count. At 8 bits and 6 fingerprints a pair at similarity 0.9 is
+    missed about once in 5,000, one at exactly 0.8 about once in 13. At each anchor a document is held against its closest
+    rows and one of each further group, so pairs within large groups are decided through others of the group.
+    Rows without doc_id or words take no part; rows of one doc_id stand or fall together.
     """
     texts = docs.where("doc_id is not null")
     found = materialize(fingerprints(texts, shingle, prints).distinct())
-    pairs = None
-    for k in range(prints):
-        own = found.select("doc_id", F.col(f"fp{k}").alias("fp")).where("fp <> 0")
-        points = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
-        same = own.join(points, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        part = links(points, _order(points), threshold).select("a", "b").unionAll(same)
-        pairs = part if pairs is None else pairs.unionAll(part)
-    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("print"), F.col(f"fp{k}").alias("fp")) for k in range(prints))))
+    own = found.select("doc_id", each.alias("p")).select("doc_id", "p.print", "p.fp").where("fp <> 0")
+    points = materialize(own.groupBy("print", "fp").agg(F.min("doc_id").alias("node")))
+    same = own.join(points, ["print", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    pairs = links(points, _order(points), threshold, PARTNERS).select("a", "b").unionAll(same)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # all fingerprints together tell dissimilar candidates before their shingles are looked at
+    all_bits = lambda name, k: found.groupBy(F.col("doc_id").alias(name)).agg(*(F.min(f"fp{j}").alias(f"{k}{j}") for j in range(prints)))
+    apart = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}"))) for j in range(1, prints)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    pairs = materialize(pairs.join(all_bits("a", "x"), "a").join(all_bits("b", "y"), "b").where(apart <= furthest(similarity, prints)).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
 
     def make():
