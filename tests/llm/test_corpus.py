@@ -137,7 +137,7 @@ def test_no_link_is_lost(spark, order, threshold):
                 q ^= 1 << bit
             points.append(q)
     points = sorted(set(points))
-    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, k) for k, p in enumerate(points)], "fp long, node long")
+    df = spark.createDataFrame([(0, p - (1 << 64) if p >> 63 else p, k) for k, p in enumerate(points)], "print long, fp long, node long")
     got = dict(map(tuple, components.components(simhash.links(df, order, threshold).select("a", "b")).collect()))
     want = brute_components(range(len(points)), lambda a, b: (points[a] ^ points[b]).bit_count() <= threshold)
     assert {k: got.get(k, k) for k in want} == want
@@ -150,7 +150,7 @@ def test_hot_anchors_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", 16)
     r = random.Random(9)
     points = sorted({r.getrandbits(5) | r.getrandbits(3) << 30 | 1 << 62 for _ in range(300)} | {r.getrandbits(64) >> 1 for _ in range(50)})
-    df = spark.createDataFrame([(p, k) for k, p in enumerate(points)], "fp long, node long")
+    df = spark.createDataFrame([(0, p, k) for k, p in enumerate(points)], "print long, fp long, node long")
     got = dict(map(tuple, components.components(simhash.links(df, 1).select("a", "b")).collect()))
     want = brute_components(range(len(points)), lambda a, b: (points[a] ^ points[b]).bit_count() <= 4)
     assert {k: got.get(k, k) for k in want} == want
@@ -207,6 +207,54 @@ def test_quotations_link_replies(spark):
     assert chat.link_quotations(df.limit(0)).count() == 0
 
 
+def brute_chat(messages):
+    """{(conv, turn): (parent, thread, depth, text, quotes)} by reading conversations one by one."""
+    norm = lambda t: " ".join(t.split()).lower()
+    parsed = {}
+    for conv, turn, text in messages:
+        runs = []
+        for line in text.split("\n"):
+            marks = line.lstrip(" \t")
+            depth, rest = 0, marks
+            while rest.startswith(">"):
+                depth, rest = depth + 1, rest[1:]
+                rest = rest[1:] if rest[:1] in (" ", "\t") else rest
+            body = rest if depth else line
+            if runs and runs[-1][0] == depth:
+                runs[-1][1].append(body)
+            else:
+                runs.append([depth, [body]])
+        own = "\n".join("\n".join(b) for d, b in runs if d == 0).strip(" ")
+        parsed[conv, turn] = (own, [(d, norm("\n".join(b))) for d, b in runs if d and norm("\n".join(b))])
+    out = {}
+    for conv in {c for c, *_ in messages}:
+        turns = sorted(t for c, t in parsed if c == conv)
+        for k, t in enumerate(turns):
+            quoted = {q for d, q in parsed[conv, t][1] if d == 1}
+            wrote = lambda e: {norm(p) for p in [parsed[conv, e][0], *parsed[conv, e][0].split("\n")]}
+            sources = [e for e in turns[:k] if wrote(e) & quoted]
+            parent = max(sources) if sources else turns[k - 1] if k else None
+            up = out[conv, parent] if parent is not None else None
+            out[conv, t] = (parent, up[1] if up else t, up[2] + 1 if up else 0, parsed[conv, t][0], len(parsed[conv, t][1]))
+    return out
+
+
+def test_quotations_against_reading_one_by_one(spark):
+    r, messages = random.Random(12), []
+    for conv in range(25):
+        said = []
+        for turn in range(r.randint(1, 9)):
+            lines = [f"line {r.randrange(60)} of talk" for _ in range(r.randint(1, 3))]
+            if said and r.random() < 0.6:
+                quote = r.choice([r.choice(said), r.choice(r.choice(said).split("\n")).upper(), "never said"])
+                lines = [r.choice(["> ", ">", " >  "]) + x for x in quote.split("\n")] + ([">> deeper"] if r.random() < 0.3 else []) + lines
+            said.append("\n".join(x for x in lines if ">" not in x))
+            messages.append((conv, turn * 2, "\n".join(lines)))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id long, turn long, role string, text string")
+    got = {(x["conv_id"], x["turn"]): (x["parent_turn"], x["thread"], x["depth"], x["text"], x["quotes"]) for x in chat.link_quotations(df).collect()}
+    assert got == brute_chat(messages)
+
+
 def test_long_conversations_are_linked_in_blocks(spark):
     n = chat.TURNS_A_BLOCK + 50
     df = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"), F.lit("same").alias("text"))
