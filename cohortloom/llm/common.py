@@ -41,14 +41,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """At most per_class labelled rows of each class, in crc32 order of their ids, joined to their texts: (doc_id, text, y).
 
     The bound makes the broadcast of ids safe. Rows over max_chars characters are left out of the sample, which
-    concerns fitting alone; scoring takes every row. A doc_id that is labelled twice counts once, with its largest label.
+    concerns fitting alone; scoring takes every row. A doc_id that is labelled twice counts once, with its largest label;
+    one that several rows have counts with its smallest text.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep)
     rows = rows.groupBy("doc_id").agg(F.max(label).alias("y"))
     order = (F.crc32(F.concat(F.lit("sample "), F.col("doc_id").cast("string")).cast("binary")), F.col("doc_id"))
     ids = rows.where("y = 1").orderBy(*order).limit(per_class).unionAll(rows.where("y = 0").orderBy(*order).limit(per_class))
     texts = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= max_chars)
-    return texts.join(F.broadcast(ids), "doc_id")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def map_text(df: DataFrame, make: Callable, added: str, text: str = "text", drop_text: bool = False) -> DataFrame:
