@@ -35,7 +35,7 @@ GOLAY = 0b110001110101
 CELL_INNER, CELL_ROWS = 8192, 65536
 #: Distinct fingerprints beyond which two blocks make the key.
 ORDER_2_FROM = 50_000_000
-#: Closest rows that a document is held against at each anchor, where shingles decide.
+#: Closest rows that a document is held against at each anchor in the first of two passes, where shingles decide.
 PARTNERS = 4
 
 
@@ -118,7 +118,8 @@ def _spread(values: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray, n
 
 
 def anchors(points: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, inner, fp, node): a row for each anchor that a fingerprint is compared at; inner is true within the smaller radius."""
+    """(key, inner, fp, node) and group, if points has it: a row for each anchor that a fingerprint is compared at; inner is true within the smaller radius."""
+    carried = _carried(points)
     budget = order * threshold // 3
     inner, outer = budget // 2, budget - budget // 2
 
@@ -126,7 +127,8 @@ def anchors(points: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFr
         table = cosets(3 + outer)
         for batch in batches:
             for part in range(0, len(batch), 2048):
-                kind, fp, node = (batch[c].to_numpy()[part : part + 2048] for c in ("print", "fp", "node"))
+                own = {c: batch[c].to_numpy()[part : part + 2048] for c in ("print", *carried)}
+                kind, fp = own.pop("print"), own["fp"]
                 near = [_spread((fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1), table) for first, width in BLOCKS]
                 for k, chosen in enumerate(combinations(range(3), order)):
                     rows, key, weight = near[chosen[0]]
@@ -140,54 +142,72 @@ def anchors(points: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFr
                         both = over[left] + np.maximum(weight2[at] - 3, 0)
                         left, at, over = left[both <= outer], at[both <= outer], both[both <= outer]
                         rows, key = rows[left], key[left] * 4096 + key2[at]
-                    yield pd.DataFrame({"key": key + (k << 24) + (kind[rows] << 26), "inner": over <= inner, "fp": fp[rows], "node": node[rows]})
+                    yield pd.DataFrame({"key": key + (k << 24) + (kind[rows] << 26), "inner": over <= inner, **{c: x[rows] for c, x in own.items()}})
 
-    return points.select("print", "fp", "node").mapInPandas(run, "key long, inner boolean, fp long, node long")
+    return points.select("print", *carried).mapInPandas(run, "key long, inner boolean, " + ", ".join(f"{c} long" for c in carried))
+
+
+def _carried(points: DataFrame) -> list[str]:
+    return [c for c in ("fp", "node", "group") if c in points.columns]
 
 
 class _Cell:
-    """The inner rows of a cell and the groups that links have made of them; others are shown to it in batches."""
+    """The inner rows of a cell and the groups that links have made of them; others are shown to it in batches.
+
+    Rows of one `own` value are not compared. Without a number of partners every pair within the threshold is found.
+    """
 
-    def __init__(self, threshold: int, partners: int):
+    def __init__(self, threshold: int, partners: int | None):
         self.threshold, self.partners, self.found = threshold, partners, {}
-        self.fp, self.node, self.group = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fp, self.node, self.own, self.group = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
 
-    def add(self, fp: np.ndarray, node: np.ndarray) -> None:
+    def add(self, fp: np.ndarray, node: np.ndarray, own: np.ndarray) -> None:
         start = len(self.fp)
-        self.fp, self.node = np.concatenate([self.fp, fp]), np.concatenate([self.node, node])
+        self.fp, self.node, self.own = np.concatenate([self.fp, fp]), np.concatenate([self.node, node]), np.concatenate([self.own, own])
         self.group = np.concatenate([self.group, np.arange(start, start + len(fp))])
 
-    def show(self, fp: np.ndarray, node: np.ndarray) -> None:
-        """Link each row to its closest inner rows, and to one of each group within the threshold that it is not in yet."""
+    def show(self, fp: np.ndarray, node: np.ndarray, own: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Links of the rows to inner rows, as many as there are or enough to go on with."""
         step = max(1, 4_000_000 // max(1, len(self.fp)))
         for at in range(0, len(fp), step):
             apart = np.bitwise_count(fp[at : at + step, None] ^ self.fp[None, :])
-            apart[node[at : at + step, None] == self.node[None, :]] = 255
-            for i in np.flatnonzero((apart <= self.threshold).any(axis=1)).tolist():
-                near = np.flatnonzero(apart[i] <= self.threshold)
-                near = near[np.argsort(apart[i, near], kind="stable")]
-                kept = near[: self.partners].tolist()
-                groups, first = np.unique(self.group[near], return_index=True)
-                if len(groups) > 1:
-                    kept += near[first].tolist()
-                    self.group[np.isin(self.group, groups)] = groups[0]
-                me = int(node[at + i])
-                for h in kept:
-                    other = int(self.node[h])
-                    self.found[max(me, other), min(me, other)] = int(apart[i, h])
+            apart[own[at : at + step, None] == self.own[None, :]] = 255
+            if self.partners is None:
+                i, h = np.nonzero(apart <= self.threshold)
+                me, other = node[at + i], self.node[h]
+                yield pd.DataFrame({"a": np.maximum(me, other), "b": np.minimum(me, other), "apart": apart[i, h].astype(np.int64)}).drop_duplicates()
+            else:
+                self._closest(apart, node[at : at + step])
+                if len(self.found) > 100_000:
+                    yield self.links()
+
+    def _closest(self, apart: np.ndarray, node: np.ndarray) -> None:
+        """Link each row to its closest inner rows, and to one of each group within the threshold that it is not in yet."""
+        for i in np.flatnonzero((apart <= self.threshold).any(axis=1)).tolist():
+            near = np.flatnonzero(apart[i] <= self.threshold)
+            near = near[np.argsort(apart[i, near], kind="stable")]
+            kept = near[: self.partners].tolist()
+            groups, first = np.unique(self.group[near], return_index=True)
+            if len(groups) > 1:
+                kept += near[first].tolist()
+                self.group[np.isin(self.group, groups)] = groups[0]
+            me = int(node[i])
+            for h in kept:
+                other = int(self.node[h])
+                self.found[max(me, other), min(me, other)] = int(apart[i, h])
 
     def links(self) -> pd.DataFrame:
         out, self.found = [(a, b, w) for (a, b), w in self.found.items()], {}
         return pd.DataFrame(out, columns=["a", "b", "apart"], dtype="int64")
 
 
-def _comparing(threshold: int, partners: int):
+def _comparing(threshold: int, partners: int | None, own_column: str):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by cell, inner rows first; the others are streamed past the cell's inner rows."""
         name, cell = None, _Cell(threshold, partners)
         for batch in batches:
             ids = batch[["key", "s", "r"]].to_numpy()
-            inner, fp, node = batch["inner"].to_numpy(bool), batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy()
+            inner, fp, node, own = batch["inner"].to_numpy(bool), batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy(), batch[own_column].to_numpy()
             cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if tuple(ids[lo]) != name:
@@ -195,24 +215,24 @@ def _comparing(threshold: int, partners: int):
                         yield cell.links()
                     name, cell = tuple(ids[lo]), _Cell(threshold, partners)
                 mine = inner[lo:hi]
-                cell.add(fp[lo:hi][mine], node[lo:hi][mine])
+                cell.add(fp[lo:hi][mine], node[lo:hi][mine], own[lo:hi][mine])
                 if len(cell.fp):
-                    cell.show(fp[lo:hi], node[lo:hi])
-                if len(cell.found) > 100_000:
-                    yield cell.links()
+                    yield from cell.show(fp[lo:hi], node[lo:hi], own[lo:hi])
         if cell.found:
             yield cell.links()
 
     return compare
 
 
-def links(points: DataFrame, order: int, threshold: int = THRESHOLD, partners: int = 1) -> DataFrame:
+def links(points: DataFrame, order: int, threshold: int = THRESHOLD, partners: int | None = 1) -> DataFrame:
     """(a, b, apart): nodes of fingerprints within the threshold, enough of them to connect all that are connected.
 
-    At each anchor a row is linked to its `partners` closest rows besides.
+    At each anchor a row is linked to its `partners` closest rows besides; without a number to all, where points has a
+    column group to all of other groups.
 
-    points: (print, fp, node), one row a distinct fingerprint; only those of one print are compared.
+    points: (print, fp, node), one row a distinct fingerprint (of each group); only those of one print are compared.
     """
+    carried = _carried(points)
     rows = anchors(points, order, threshold)
     sizes = rows.groupBy("key").agg(F.count_if("inner").alias("inner"), F.count("*").alias("all"))
     heavy = sizes.where((F.col("inner") > CELL_INNER) | (F.col("all") > CELL_ROWS)).select(
@@ -225,8 +245,8 @@ def links(points: DataFrame, order: int, threshold: int = THRESHOLD, partners: i
     rows = rows.withColumn("inner", F.explode(also)).withColumn("pick", F.xxhash64("fp"))
     rows = rows.withColumn("s", F.when(F.col("inner"), F.array(F.pmod("pick", "k").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.withColumn("r", F.when(F.col("inner"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array(F.pmod(F.shiftright("pick", 20), F.col("m")).cast("int"))))
-    rows = rows.select("key", F.explode("s").alias("s"), "r", "inner", "fp", "node").select("key", "s", F.explode("r").alias("r"), "inner", "fp", "node")
-    return rows.repartition("key", "s", "r").sortWithinPartitions("key", "s", "r", F.desc("inner")).mapInPandas(_comparing(threshold, partners), "a long, b long, apart long")
+    rows = rows.select("key", F.explode("s").alias("s"), "r", "inner", *carried).select("key", "s", F.explode("r").alias("r"), "inner", *carried)
+    return rows.repartition("key", "s", "r").sortWithinPartitions("key", "s", "r", F.desc("inner")).mapInPandas(_comparing(threshold, partners, carried[-1]), "a long, b long, apart long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, order: int | None = None) -> DataFrame:
@@ -258,8 +278,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Documents are candidates where any of `prints` fingerprints differ in at most `threshold` bits; links whose sets of shingles
     have a Jaccard similarity of at least `similarity` count. At 8 bits and 6 fingerprints a pair at similarity 0.9 is
-    missed about once in 5,000, one at exactly 0.8 about once in 13. At each anchor a document is held against its closest
-    rows and one of each further group, so pairs within large groups are decided through others of the group.
+    missed about once in 5,000, one at exactly 0.8 about once in 13. A first pass holds a document, at each anchor, against its
+    closest rows and one of each further group, which joins most of a large group without its pairs; a second pass holds
+    it against every candidate of another component, so no candidate goes unseen. Documents of one fingerprint and one
+    component are one row in the second pass.
     Rows without doc_id or words take no part; rows of one doc_id stand or fall together.
     """
     texts = docs.where("doc_id is not null")
@@ -268,20 +290,28 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     own = found.select("doc_id", each.alias("p")).select("doc_id", "p.print", "p.fp").where("fp <> 0")
     points = materialize(own.groupBy("print", "fp").agg(F.min("doc_id").alias("node")))
     same = own.join(points, ["print", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    pairs = links(points, _order(points), threshold, PARTNERS).select("a", "b").unionAll(same)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     # all fingerprints together tell dissimilar candidates before their shingles are looked at
     all_bits = lambda name, k: found.groupBy(F.col("doc_id").alias(name)).agg(*(F.min(f"fp{j}").alias(f"{k}{j}") for j in range(prints)))
     apart = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}"))) for j in range(1, prints)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-    pairs = materialize(pairs.join(all_bits("a", "x"), "a").join(all_bits("b", "y"), "b").where(apart <= furthest(similarity, prints)).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
 
     def make():
         return lambda texts: {"shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]}
 
-    near = texts.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = map_text(near, make, "shingles array<long>", drop_text=True)
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    close = pairs.join(a, "a").join(b, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared))
-    return components(close.select("a", "b")).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
+    def decided(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs.join(all_bits("a", "x"), "a").join(all_bits("b", "y"), "b").where(apart <= furthest(similarity, prints)).select("a", "b"))
+        wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+        near = texts.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(wanted, "doc_id", "left_semi")
+        sets = map_text(near, make, "shingles array<long>", drop_text=True)
+        a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        return materialize(pairs.join(a, "a").join(b, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+    close = decided(links(points, _order(points), threshold, PARTNERS).select("a", "b").unionAll(same))
+    # what the closest rows have not joined is held against every candidate of other components
+    roots = components(close).withColumnsRenamed({"node": "doc_id", "root": "group"})
+    grouped = own.join(roots, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
+    grouped = materialize(grouped.groupBy("print", "fp", "group").agg(F.min("doc_id").alias("node")))
+    rest = decided(links(grouped, _order(grouped), threshold, None).select("a", "b"))
+    return components(close.unionAll(rest)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})

@@ -156,6 +156,19 @@ def test_hot_anchors_are_dealt_out(spark, monkeypatch):
     assert {k: got.get(k, k) for k in want} == want
 
 
+@pytest.mark.parametrize("order", [1, 2])
+def test_every_pair_of_different_groups_is_found(spark, order, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_INNER", 8)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    r = random.Random(order)
+    points = sorted({r.getrandbits(7) | r.getrandbits(4) << 40 for _ in range(120)} | {r.getrandbits(64) >> 1 for _ in range(30)})
+    groups = [k % 7 if k % 3 else 1000 + k for k in range(len(points))]
+    df = spark.createDataFrame([(0, p, k, g) for k, (p, g) in enumerate(zip(points, groups, strict=True))], "print long, fp long, node long, group long")
+    got = {(x["a"], x["b"]) for x in simhash.links(df, order, 8, None).collect()}
+    assert got == {(a, b) for a in range(len(points)) for b in range(a) if groups[a] != groups[b] and (points[a] ^ points[b]).bit_count() <= 8}
+    assert simhash.links(df.limit(0), order, 8, None).count() == 0
+
+
 def test_fingerprint_by_definition():
     xxhash = pytest.importorskip("xxhash")
     for text in some_texts(2, 10):
