@@ -76,12 +76,13 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, prints: int = 1) -> DataFrame:
-    """(doc_id, fp0, fp1, ...): fingerprints as signed longs, each of hashes of its own."""
+def fingerprints(docs: DataFrame, shingle: int = 4, prints: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, fp0, fp1, ...): fingerprints as signed longs, each of hashes of its own; of sets of shingles, repeats count once."""
 
     def make():
         def work(texts: list[str]) -> dict:
             found = [shingle_hashes(t, shingle) for t in texts]
+            found = [np.unique(h) for h in found] if sets else found
             return {f"fp{k}": np.array([majority_bits(remixed(h, k)) for h in found], dtype=np.uint64).view(np.int64) for k in range(prints)}
 
         return work
@@ -285,7 +286,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Rows without doc_id or words take no part; rows of one doc_id stand or fall together.
     """
     texts = docs.where("doc_id is not null")
-    found = materialize(fingerprints(texts, shingle, prints).distinct())
+    found = materialize(fingerprints(texts, shingle, prints, sets=True).distinct())
     each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("print"), F.col(f"fp{k}").alias("fp")) for k in range(prints))))
     own = found.select("doc_id", each.alias("p")).select("doc_id", "p.print", "p.fp").where("fp <> 0")
     points = materialize(own.groupBy("print", "fp").agg(F.min("doc_id").alias("node")))

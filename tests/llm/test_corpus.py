@@ -204,6 +204,30 @@ def test_similar_documents_have_similar_shingles(spark):
     assert simhash.similar_documents(docs_of(spark, [])).count() == 0
 
 
+def brute_similar(texts, similarity=0.8):
+    """{doc_id: component_id} of texts with a neighbour, by the Jaccard similarity of their sets of five words."""
+    sets = {}
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        if words:
+            sets[k] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    near = lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    roots = brute_components(sets, near)
+    sizes = collections.Counter(roots.values())
+    return {k: root for k, root in roots.items() if sizes[root] > 1}
+
+
+def test_repeated_lines_count_once(spark):
+    r = random.Random(5)
+    texts = []
+    for k in range(24):
+        body, line = (" ".join(f"w{r.randrange(5000)}" for _ in range(n)) for n in (300, 24))
+        texts += [f"{body}\n{line}", body + f"\n{line}" * (5, 10, 30)[k % 3]]
+    want = brute_similar(texts)
+    assert len(want) == len(texts)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == want
+
+
 # 3 chat
 
 
