@@ -161,8 +161,12 @@ def e6_ablation_arms(spark, d):
     return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("label"), arm.alias("arm")).agg(F.count("*").alias("n"))
 
 
+#: Length of the embeddings.
+DIMENSIONS = 64
+
+
 def _bags(spark, d):
-    c = table(spark, d, "embeddings").select(F.concat(F.lit("b"), F.floor(F.col("vec_id") / 5).cast("string")).alias("subject_id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 8).alias("x"), "label")
+    c = table(spark, d, "embeddings").select(F.concat(F.lit("b"), F.floor(F.col("vec_id") / 5).cast("string")).alias("subject_id"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("x"), "label")
     y = c.groupBy("subject_id").agg((F.max("label") >= 8).cast("double").alias("y"))
     return c.select("subject_id", "x"), y
 
@@ -171,13 +175,13 @@ def _bags(spark, d):
 def u5_attention_training(spark, d):
     """A few rounds of distributed training of gated attention, and its predictions."""
     bags, y = _bags(spark, d)
-    return mil.predict(bags, mil.fit(bags, y, 8, hidden=4, rounds=2))
+    return mil.predict(bags, mil.fit(bags, y, DIMENSIONS, hidden=4, rounds=2))
 
 
 @query()
 def c9_dropout_uncertainty(spark, d):
     bags, _ = _bags(spark, d)
-    return mil.dropout_report(bags, mil.GatedAttention.start(8, 4), 3, 0.25)
+    return mil.dropout_report(bags, mil.GatedAttention.start(DIMENSIONS, 4), 3, 0.25)
 
 
 @query("select o.sample_id, coalesce(m.smoke_type, 'cigarette') as smoke_type, coalesce(m.known, true) as smoke_type_known, coalesce(m.subject_id, o.sample_id) as subject_id, true as is_pseudo_bulk from (select distinct 'x' || (l_orderkey % 500) as sample_id from lineitem) o left join (select 'x' || c_custkey as sample_id, lower(c_mktsegment) as smoke_type, c_custkey % 2 = 0 as known, 'p' || c_nationkey as subject_id from customer where c_custkey % 3 = 0) m using (sample_id)")

@@ -188,3 +188,14 @@ def test_attention_gradient_and_training(spark):
     p = {x["subject_id"]: x["y_prob"] for x in mil.predict(cells, fitted).collect()}
     assert np.mean([(p[f"b{i}"] >= 0.5) == bool(i % 2) for i in range(15)]) > 0.8
     assert mil.dropout_report(cells, fitted, 3, 0.3).count() == 16
+
+
+def test_bags_hold_whole_vectors(spark):
+    from cohortloom.plans import lookups
+    from cohortloom.plans.views import table
+
+    data = "/root/testdata/sf0.001"
+    bags, _ = lookups._bags(spark, data)
+    whole = table(spark, data, "embeddings").selectExpr("sum(aggregate(embedding, 0D, (s, x) -> s + x * 8)) as total", "min(size(embedding)) as n").first()
+    got = bags.selectExpr("sum(aggregate(x, 0D, (s, x) -> s + x)) as total", "min(size(x)) as n", "max(size(x)) as most").first()
+    assert got["n"] == got["most"] == whole["n"] == lookups.DIMENSIONS and got["total"] == pytest.approx(whole["total"])
