@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import map_text, materialize, whole_text
 from cohortloom.llm.components import components
+from cohortloom.llm.shingles import shingle_hashes, similar_documents  # noqa: F401
 
 BITS, THRESHOLD = 64, 4
 #: First bit and width of each block.
@@ -35,23 +36,6 @@ GOLAY = 0b110001110101
 CELL_INNER, CELL_ROWS = 8192, 65536
 #: Distinct fingerprints beyond which two blocks make the key.
 ORDER_2_FROM = 50_000_000
-#: Closest rows that a document is held against at each anchor in the first of two passes, where shingles decide.
-PARTNERS = 4
-
-
-def shingle_hashes(text: str, shingle: int) -> np.ndarray:
-    """XXH64 (seed 42) of the space-joined runs of `shingle` words, A-Z lower-cased; of all words, if they are fewer."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    joined, width = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: len(words) - width].tolist()]
-    ends = (ends[width - 1 :] - 1).tolist()
-    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(ends))
-
 
 def majority_bits(hashes: np.ndarray) -> int:
     """A bit is 1 if over half of the hashes have it."""
@@ -66,29 +50,13 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return majority_bits(shingle_hashes(text, shingle))
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further hash of each shingle, from its first: a finaliser of shifts and products; k = 0 leaves it."""
-    if not k:
-        return hashes
-    x = hashes ^ np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4, prints: int = 1, sets: bool = False) -> DataFrame:
-    """(doc_id, fp0, fp1, ...): fingerprints as signed longs, each of hashes of its own; of sets of shingles, repeats count once."""
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed longs."""
 
     def make():
-        def work(texts: list[str]) -> dict:
-            found = [shingle_hashes(t, shingle) for t in texts]
-            found = [np.unique(h) for h in found] if sets else found
-            return {f"fp{k}": np.array([majority_bits(remixed(h, k)) for h in found], dtype=np.uint64).view(np.int64) for k in range(prints)}
+        return lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)}
 
-        return work
-
-    added = ", ".join(f"fp{k} long" for k in range(prints))
-    return map_text(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), make, added, drop_text=True)
+    return map_text(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), make, "fp long", drop_text=True)
 
 
 def _syndromes(values: np.ndarray) -> np.ndarray:
@@ -257,62 +225,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, order: int | None = None)
     without words have fingerprint zero, linked like any other. Repeated rows give repeated rows. A null doc_id never
     becomes a component's id unless its component has no other. Memory: a cell of an anchor in a task.
     """
-    prints = materialize(fingerprints(docs, shingle).withColumnRenamed("fp0", "fp"))
+    prints = materialize(fingerprints(docs, shingle))
     points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null").select(F.lit(0).cast("long").alias("print"), "fp", "node"))
     roots = components(links(points, _order(points) if order is None else order).select("a", "b"))
     found = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(found, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def furthest(similarity: float, prints: int) -> int:
-    """Bits in which the prints of a pair of that Jaccard similarity differ at most, but for one pair in some 10,000: 4 standard deviations."""
-    p, n = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), prints * BITS
-    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
-
-
 def _order(points: DataFrame) -> int:
     return 1 if points.count() < ORDER_2_FROM else 2
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 6, threshold: int = 8) -> DataFrame:
-    """(doc_id, component_id) of documents that are near another: candidates by fingerprints, decided by their shingles.
-
-    Documents are candidates where any of `prints` fingerprints differ in at most `threshold` bits; links whose sets of shingles
-    have a Jaccard similarity of at least `similarity` count. At 8 bits and 6 fingerprints a pair at similarity 0.9 is
-    missed about once in 5,000, one at exactly 0.8 about once in 13. A first pass holds a document, at each anchor, against its
-    closest rows and one of each further group, which joins most of a large group without its pairs; a second pass holds
-    it against every candidate of another component, so no candidate goes unseen. Documents of one fingerprint and one
-    component are one row in the second pass.
-    Rows without doc_id or words take no part; rows of one doc_id stand or fall together.
-    """
-    texts = docs.where("doc_id is not null")
-    found = materialize(fingerprints(texts, shingle, prints, sets=True).distinct())
-    each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("print"), F.col(f"fp{k}").alias("fp")) for k in range(prints))))
-    own = found.select("doc_id", each.alias("p")).select("doc_id", "p.print", "p.fp").where("fp <> 0")
-    points = materialize(own.groupBy("print", "fp").agg(F.min("doc_id").alias("node")))
-    same = own.join(points, ["print", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    # all fingerprints together tell dissimilar candidates before their shingles are looked at
-    all_bits = lambda name, k: found.groupBy(F.col("doc_id").alias(name)).agg(*(F.min(f"fp{j}").alias(f"{k}{j}") for j in range(prints)))
-    apart = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}"))) for j in range(1, prints)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-
-    def make():
-        return lambda texts: {"shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]}
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(all_bits("a", "x"), "a").join(all_bits("b", "y"), "b").where(apart <= furthest(similarity, prints)).select("a", "b"))
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        near = texts.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(wanted, "doc_id", "left_semi")
-        sets = map_text(near, make, "shingles array<long>", drop_text=True)
-        a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        shared = F.size(F.array_intersect("x", "y"))
-        return materialize(pairs.join(a, "a").join(b, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-
-    close = decided(links(points, _order(points), threshold, PARTNERS).select("a", "b").unionAll(same))
-    # what the closest rows have not joined is held against every candidate of other components
-    roots = components(close).withColumnsRenamed({"node": "doc_id", "root": "group"})
-    grouped = own.join(roots, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
-    grouped = materialize(grouped.groupBy("print", "fp", "group").agg(F.min("doc_id").alias("node")))
-    rest = decided(links(grouped, _order(grouped), threshold, None).select("a", "b"))
-    return components(close.unionAll(rest)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})

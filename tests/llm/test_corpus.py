@@ -228,6 +228,40 @@ def test_repeated_lines_count_once(spark):
     assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == want
 
 
+def test_pairs_at_the_similarity_are_found(spark):
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts = []
+    for n in [4] * 60 + [8] * 20 + [40, 80, 160, 320, 600] * 12:  # shingles of the shorter; a quarter more follow in the longer: 0.8
+        short = [word() for _ in range(n + 4)]
+        texts += [" ".join(short), " ".join(short + [word() for _ in range(n // 4)])]
+    texts += ["a b c", "a b c", "a b", "", None]
+    want = brute_similar(texts)
+    assert len(want) == len(texts) - 3
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == want
+
+
+def test_every_member_is_held_against_other_components(spark, monkeypatch):
+    from cohortloom.llm import shingles
+
+    monkeypatch.setattr(shingles, "SIDE", 8)  # bands are dealt out to many cells
+    r = random.Random(7)
+    texts = []
+    for _ in range(6):  # chains of which only neighbours are similar, and copies of single members
+        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        chain = [" ".join(words[20 * k : 20 * k + 200]) for k in range(8)]
+        texts += [*chain, *chain[2:5], chain[3].upper().lower() + "\n" + chain[3]]
+    for _ in range(30):  # members of one template, near the bound to each other
+        filled = texts[0].split()
+        filled[r.randrange(10, 190)] = f"f{r.randrange(10**6)}"
+        filled[r.randrange(10, 190)] = f"f{r.randrange(10**6)}"
+        texts.append(" ".join(filled))
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[k] for k in order]
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == brute_similar(texts)
+
+
 # 3 chat
 
 
