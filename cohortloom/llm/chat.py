@@ -1,9 +1,9 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with quote marks are parsed into levels. Runs of one level are passages; their hash, after white space
-and case are normalised, is joined to the hashes of the paragraphs and lines of the messages of the same conversation. The
-latest earlier message that wrote an outermost quoted passage is what a message replies to; without one, it replies to the
-turn before. Messages come out without quotes, in reply order: by thread, then by turn. Within a thread no reply precedes what it replies to.
+and case are normalised, is joined to the hashes of the messages of the same conversation, their paragraphs, lines and runs of
+lines. Of the outermost level that some earlier message wrote a passage of, the latest such message is what a message
+replies to; without one, it replies to the turn before. Messages come out without quotes, in reply order: by thread, then by turn. Within a thread no reply precedes what it replies to.
 """
 
 from __future__ import annotations
@@ -26,6 +26,16 @@ def normalized(passage: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(passage, r"\s+", " ")))
 
 
+def _lines(text: Column) -> Column:
+    """The lines that are not blank, normalised."""
+    return F.filter(F.transform(F.split(text, "\n"), normalized), lambda x: x != "")
+
+
+def _sequence(lines: Column) -> Column:
+    """A name for lines in this order; its line break keeps it apart from passages."""
+    return F.concat(F.lit("lines\n"), F.sha2(F.concat_ws("\n", lines), 256)).alias("passage")
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """messages with `unquoted` text and `quoted`: array of (level, text) of the quoted runs, in order."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
@@ -63,11 +73,19 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     nodes = placed.withColumn("inside", inside).join(before, ["conv_id", "block"]).select("conv_id", "turn", F.coalesce("inside", "across").alias("previous"))
     # quoted passages against what earlier messages wrote
     quoting = rows.where(F.size("quoted") > 0)
-    quotes = quoting.select("conv_id", "turn", F.explode("quoted").alias("q")).where("q.level = 1").select("conv_id", "turn", F.xxhash64(normalized(F.col("q.text"))).alias("hash"), normalized(F.col("q.text")).alias("passage")).distinct()
-    wrote = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select(
-        "conv_id", F.col("turn").alias("source"), F.explode(F.array_distinct(F.concat(F.array("unquoted"), F.split("unquoted", "\n"), F.split("unquoted", r"\n\s*\n")))).alias("passage"))
-    wrote = wrote.select("conv_id", "source", normalized(F.col("passage")).alias("passage")).where("passage <> ''").select("conv_id", "source", F.xxhash64("passage").alias("hash"), "passage").distinct()
-    linked = quotes.join(wrote, ["conv_id", "hash", "passage"]).where("source < turn").groupBy("conv_id", "turn").agg(F.max("source").alias("source"))
+    passage = quoting.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.text").alias("text"), _lines(F.col("q.text")).alias("lines"))
+    quotes = passage.select("conv_id", "turn", "level", normalized(F.col("text")).alias("passage")).unionAll(passage.select("conv_id", "turn", "level", _sequence(F.col("lines")))).distinct()
+    lengths = passage.groupBy("conv_id").agg(F.collect_set(F.size("lines")).alias("lengths"))
+    said = rows.join(lengths, "conv_id").select("conv_id", F.col("turn").alias("source"), "unquoted", "lengths", _lines(F.col("unquoted")).alias("lines"))
+    whole = said.select("conv_id", "source", F.explode(F.array_distinct(F.concat(F.array("unquoted"), F.split("unquoted", "\n"), F.split("unquoted", r"\n\s*\n")))).alias("passage"))
+    whole = whole.select("conv_id", "source", normalized(F.col("passage")).alias("passage")).where("passage <> ''")
+    # every run of as many lines as some passage of the conversation has
+    runs = said.select("conv_id", "source", "lines", F.explode("lengths").alias("n")).where(F.size("lines") >= F.col("n"))
+    runs = runs.select("conv_id", "source", "lines", "n", F.explode(F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1)).alias("at"))
+    wrote = whole.unionAll(runs.select("conv_id", "source", _sequence(F.slice("lines", F.col("at"), F.col("n"))))).distinct()
+    hashed = lambda df: df.withColumn("hash", F.xxhash64("passage"))
+    linked = hashed(quotes).join(hashed(wrote), ["conv_id", "hash", "passage"]).where("source < turn")
+    linked = linked.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "source"))["source"].alias("source"))
     nodes = nodes.join(linked, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("source", "previous").alias("parent_turn"))
     # threads: a turn that replies to the one before it goes on with its thread; a reply to an earlier turn begins one
     chain = nodes.join(turns, ["conv_id", "turn"]).select("conv_id", "turn", "parent_turn", F.coalesce("parent_turn", "turn").alias("up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).alias("depth"))

@@ -326,6 +326,29 @@ def test_quotations_against_reading_one_by_one(spark):
     assert got == brute_chat(messages)
 
 
+def test_parts_of_paragraphs_and_deeper_levels_are_linked(spark):
+    r, messages, want = random.Random(13), [], {}
+    for conv in range(30):
+        said = []  # the own lines of each turn, in order
+        for turn in range(8):
+            own = [f"line {r.randrange(10**6)}" for _ in range(5)]
+            quote, depth = [], r.choice([1, 1, 2, 3])
+            if turn > 1:
+                source = r.randrange(turn)
+                at, n = r.randrange(4), r.randrange(2, 5)
+                quote = said[source][at : at + n]
+                want[conv, turn] = source
+            between = "> never said\n" if r.random() < 0.5 else ""  # parts the own lines, as replies between quotes do
+            text = "".join(">" * depth + f" {x.upper()}\n" for x in quote) + "\n".join(own[:2]) + "\n" + between + "\n".join(own[2:])
+            said.append(own)
+            messages.append((conv, turn, "user", text))
+    messages += [(99, 0, "user", "a\nb"), (99, 1, "user", "c\nd"), (99, 2, "user", ">> c\n>> d\n> a\n> b\nx"), (99, 3, "user", "> b\n> a\ny")]
+    want |= {(99, 2): 0, (99, 3): 2}
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    got = {(x["conv_id"], x["turn"]): x["parent_turn"] for x in chat.link_quotations(df).collect()}
+    assert {k: got[k] for k in want} == want
+
+
 def test_long_conversations_are_linked_in_blocks(spark):
     n = chat.TURNS_A_BLOCK + 50
     df = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"), F.lit("same").alias("text"))
