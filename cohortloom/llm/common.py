@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +17,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session, as in tests, may do without one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
-    The files outlive executors. A folder of its own is made only where none is configured, as in tests.
-    """
+
+#: Folders of the tables that materialize() wrote and nothing has deleted, by the frame that reads them, and in order.
+_FOLDERS: WeakKeyDictionary = WeakKeyDictionary()
+_WRITTEN: list[str] = []
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: df as a written table in the shared folder, which outlives executors."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    _WRITTEN.append(path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of materialize() that no frame in use reads any more."""
+    for df in frames:
+        path = _FOLDERS.pop(df)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def written() -> int:
+    """A mark for discard_since()."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, mark: int, but: int = 0) -> None:
+    """Delete every table written since the mark, but for the last so many: for a caller that needs only what they led to."""
+    gone = _WRITTEN[mark : len(_WRITTEN) - but]
+    del _WRITTEN[mark : len(_WRITTEN) - but]
+    for path in gone:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id: str, modulus: int) -> Column:

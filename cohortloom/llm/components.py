@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import materialize
+from cohortloom.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, mark = None, _mark(now)
     while mark != before and mark[0]:
-        now = materialize(_star(_star(now, large=True), large=False))
+        last, now = now, materialize(_star(_star(now, large=True), large=False))
         before, mark = mark, _mark(now)
+        discard(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,30 +1,14 @@
-"""Near duplicates by their sets of shingles: candidates by minima of hashes, decided by the sets themselves.
-
-Of `BANDS` x `ROWS` orders of all shingles, each of a hash of its own, a text keeps its least shingle. Two texts agree in one
-order with a chance that is their Jaccard similarity, however few shingles they have and however often a line is repeated;
-they are candidates where they agree in all orders of a band. Texts of equal sets are one node; nothing else is merged
-before it is decided.
-"""
+"""Sets of word shingles and their sketches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import comb
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from cohortloom.llm.common import map_text, materialize, whole_text
-from cohortloom.llm.components import components
 
-#: At similarity 0.8 a pair shares no band about once in 330,000: (1 - 0.8^5)^32.
+#: A text keeps its least shingle in BANDS x ROWS orders of all shingles. At similarity 0.8 a pair agrees in no whole band about once in 330,000: (1 - 0.8^5)^32.
 BANDS, ROWS = 32, 5
-#: Nodes of a side of a cell.
-SIDE = 4096
-#: Closest nodes that a node is held against in each cell in the first of two passes.
-PARTNERS = 4
-#: Chance that the minima hide a candidate of just the similarity sought.
+#: Chance that the minima of a pair of just the similarity sought agree too seldom.
 HIDDEN = 1e-6
 
 
@@ -42,13 +26,14 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(ends))
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
+def orders() -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd factors of the further hashes that order the shingles."""
     r = np.random.default_rng(5)
     return tuple(r.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def minima(shingles: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The least of each further hash of the shingles."""
+    """16 bits of the least of each further hash of the shingles."""
     masks, odd = factors
     out = np.full(len(odd), 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), 256):
@@ -57,38 +42,21 @@ def minima(shingles: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.n
         x ^= x >> np.uint64(32)
         x *= odd
         out = np.minimum(out, x.min(axis=0))
-    return out
-
-
-def _digest(values: np.ndarray, seed: int) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(values.tobytes(), seed)
-
+    return out.astype("<u2")
 
-def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, size, bands, least): node names the set of shingles, bands are the keys of the bands as bytes, least 16 bits of each minimum; without texts without words."""
 
-    def make():
-        factors = _factors()
-
-        def work(texts: list[str]) -> dict:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            least = [minima(s, factors) for s in sets]
-            bands = [np.array([_digest(m[k * ROWS : (k + 1) * ROWS], k) for k in range(BANDS)], "<u8") for m in least]
-            node = np.array([_digest(s, 0) for s in sets], np.uint64).view(np.int64)
-            return {"node": node, "size": [len(s) for s in sets], "bands": [b.view("<i8") for b in bands], "least": [m.astype("<u2").tobytes() for m in least]}
-
-        return work
-
-    docs = texts.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return map_text(docs, make, "node long, size int, bands array<long>, least binary", drop_text=True).where("size > 0")
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """(texts, BANDS): a name for each band of the minima (texts, BANDS x ROWS); bands of different places never mean the same."""
+    x = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), x.shape[:2]).copy()
+    for r in range(ROWS):
+        out = (out ^ x[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
 def fewest(similarity: float) -> int:
     """Minima in which a pair of that similarity agrees at least, but for a chance of HIDDEN."""
-    from math import comb
-
     n, below = BANDS * ROWS, 0.0
     for k in range(n + 1):
         below += comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
@@ -97,125 +65,39 @@ def fewest(similarity: float) -> int:
     return n
 
 
-def _linked(agree: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """Of each left node the closest right ones, and one of each group that it is not in yet; joins the groups."""
-    for i in np.flatnonzero((agree >= least).any(axis=1)).tolist():
-        near = np.flatnonzero(agree[i] >= least)
-        near = near[np.argsort(-agree[i, near], kind="stable")]
-        kept = near[:PARTNERS].tolist()
-        groups, first = np.unique(group[right[near]], return_index=True)
-        both = np.union1d(groups, group[left[i]])
-        if len(both) > 1:
-            kept += near[first].tolist()
-            group[np.isin(group, both)] = both[0]
-        for j in dict.fromkeys(kept):
-            yield left[i], right[j]
-
-
-def _comparing(similarity: float, every: bool):
-    least = fewest(similarity)
-
-    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
-        """(a, b) of a cell, each pair in the first band that both share."""
-        node, size, own, pick = (cell[c].to_numpy() for c in ("node", "size", "group", "pick"))
-        key, u, v = (int(cell[c].iloc[0]) for c in ("key", "u", "v"))
-        bands = np.array(cell["bands"].tolist(), np.int64)
-        minimum = np.frombuffer(b"".join(cell["least"]), "<u2").reshape(len(cell), -1)
-        at = int(np.flatnonzero(bands[0] == key)[0])
-        left, right = np.flatnonzero(pick == u), np.flatnonzero(pick == v)
-        group, out = np.arange(len(cell)), []
-        step = max(1, 1_000_000 // max(1, len(right)))
-        for lo in range(0, len(left), step):
-            mine = left[lo : lo + step]
-            wanted = node[mine][:, None] > node[right] if u == v else node[mine][:, None] != node[right]
-            wanted &= np.minimum(size[mine][:, None], size[right]) >= similarity * np.maximum(size[mine][:, None], size[right])
-            for k in range(at):
-                wanted &= bands[mine, k][:, None] != bands[right, k]
-            if every:
-                wanted &= own[mine][:, None] != own[right]
-            agree = np.zeros(wanted.shape, np.int16)
-            i, j = np.nonzero(wanted)
-            for some in range(0, len(i), 200_000):
-                a, b = i[some : some + 200_000], j[some : some + 200_000]
-                agree[a, b] = (minimum[mine[a]] == minimum[right[b]]).sum(axis=1)
-            if every:
-                a, b = np.nonzero(agree >= least)
-                out.append(np.stack([node[mine[a]], node[right[b]]], axis=1))
-            else:
-                out += [np.array([[node[a], node[b]]]) for a, b in _linked(agree, mine, right, group, least)]
-        found = np.concatenate([np.zeros((0, 2), np.int64), *out])
-        return pd.DataFrame({"a": found.max(axis=1), "b": found.min(axis=1)} if len(found) else {"a": [], "b": []}, dtype="int64")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by cell; a cell is at most some 2 x SIDE rows."""
-        kept, name = [], None
-        for batch in batches:
-            ids = batch[["key", "u", "v"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if tuple(ids[lo]) != name:
-                    if kept:
-                        yield pairs(pd.concat(kept))
-                    kept, name = [], tuple(ids[lo])
-                kept.append(batch.iloc[lo:hi])
-        if kept:
-            yield pairs(pd.concat(kept))
-
-    return compare
-
-
-def candidates(nodes: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(a, b), a > b: pairs of nodes (node, size, bands, least, group) that share a band and may be similar.
-
-    every: all pairs of different groups; else the closest, and enough to connect all that are connected. Bands with many nodes are
-    dealt out as a triangle of cells.
-    """
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(shared, "key").withColumn("k", F.ceil(F.col("n") / SIDE).cast("int")).withColumn("pick", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    cells = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("node", "key", "pick", F.least("pick", "other").alias("u"), F.greatest("pick", "other").alias("v"))
-    rows = cells.join(nodes, "node").select("key", "u", "v", "pick", "node", "size", "group", "bands", "least")
-    return rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInPandas(_comparing(similarity, every), "a long, b long")
-
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, block: int = 1024) -> np.ndarray:
+    """(left, right): how many shingles the sets of each pair share, exactly; left and right are places in sets.
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of documents that are near another: sets of shingles of a Jaccard similarity of at least `similarity`.
-
-    A pair at exactly 0.8 is overlooked about once in 250,000 (by calculation): it shares no band, or its minima agree too seldom (fewest()); above
-    that less often. A first pass holds a node, in each band, against its closest nodes and one of each further group, which joins most of a large group without its
-    pairs; a second pass holds it against every candidate of another component. Only equal sets are one node.
-    Rows without doc_id or words take no part; rows of one doc_id stand or fall together.
+    What many sets of the right side hold is multiplied out, the rest is counted along lists of who holds it.
     """
-    texts = docs.where("doc_id is not null")
-    found = materialize(sketches(texts, shingle))
-    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("size", "bands", "least"))))
-    same = found.select("doc_id", "node").join(nodes.select("node", "rep"), "node").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    def make():
-        def work(texts: list[str]) -> dict:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            return {"node": np.array([_digest(s, 0) for s in sets], np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s in sets]}
-
-        return work
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        """The pairs of nodes (a, b) that are similar."""
-        pairs = materialize(pairs.distinct())
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("of"))
-        near = texts.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(wanted, "doc_id")
-        sets = map_text(near, make, "node long, shingles array<long>", drop_text=True).where("node = of").dropDuplicates(["node"])
-        a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return materialize(pairs.join(a, "a").join(b, "b").where(_enough(F.col("x"), F.col("y"), similarity)).select("a", "b"))
-
-    close = decided(candidates(nodes.withColumn("group", F.col("node")), similarity, every=False))
-    # what the closest nodes have not joined is held against every candidate of other components
-    grouped = materialize(nodes.join(components(close).withColumnsRenamed({"root": "group"}), "node", "left").withColumn("group", F.coalesce("group", "node")))
-    rest = decided(candidates(grouped, similarity, every=True))
-    rep = lambda c: nodes.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"))
-    linked = close.unionAll(rest).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    return components(linked.unionAll(same)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
-
-
-def _enough(x: Column, y: Column, similarity: float) -> Column:
-    shared = F.size(F.array_intersect(x, y))
-    return shared >= similarity * (F.size(x) + F.size(y) - shared)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    names, ids = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True)
+    side = np.full((2, len(sets)), -1)
+    side[0, left], side[1, right] = np.arange(len(left)), np.arange(len(right))
+    l_id, l_at = ids[side[0, owner] >= 0], side[0, owner][side[0, owner] >= 0]
+    r_id, r_at = ids[side[1, owner] >= 0], side[1, owner][side[1, owner] >= 0]
+    order = np.argsort(r_id, kind="stable")
+    r_id, r_at = r_id[order], r_at[order]
+    held = np.bincount(r_id, minlength=len(names))
+    common = np.flatnonzero(held > max(8, len(right) / 16))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), block):
+        place = np.full(len(names), -1)
+        place[common[lo : lo + block]] = np.arange(len(common[lo : lo + block]))
+        tables = []
+        for i, at, n in ((l_id, l_at, len(left)), (r_id, r_at, len(right))):
+            table, has = np.zeros((n, len(common[lo : lo + block])), np.float32), place[i] >= 0
+            table[at[has], place[i][has]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    begins, rare = np.concatenate([[0], np.cumsum(held)]), np.ones(len(names), bool)
+    rare[common] = False
+    few = rare[l_id] & (held[l_id] > 0)
+    l_id, l_at = l_id[few], l_at[few]
+    flat = out.reshape(-1)
+    for lo in range(0, len(l_id), 1 << 15):
+        i, at = l_id[lo : lo + (1 << 15)], l_at[lo : lo + (1 << 15)]
+        n = held[i]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[i], n)
+        np.add.at(flat, np.repeat(at, n) * len(right) + r_at[places], np.float32(1))
+    return out

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import map_text, materialize, whole_text
 from cohortloom.llm.components import components
-from cohortloom.llm.shingles import shingle_hashes, similar_documents  # noqa: F401
+from cohortloom.llm.shingles import shingle_hashes
 
 BITS, THRESHOLD = 64, 4
 #: First bit and width of each block.

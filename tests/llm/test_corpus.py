@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, chat, components, crf, exact_dedup, html_extract, packing, quality, sharding, simhash, toxicity, vafile
+from cohortloom.llm import bpe, chat, components, crf, exact_dedup, html_extract, packing, quality, sharding, similar, simhash, toxicity, vafile
 from cohortloom.llm.common import fold
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -199,9 +199,9 @@ def test_similar_documents_have_similar_shingles(spark):
         w[150] = "other"
         texts.append(" ".join(w))
     texts += ["", None, "w1"]
-    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in similar.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()}
     assert got == {k: k for k in range(8)} | {12 + k: k for k in range(8)}
-    assert simhash.similar_documents(docs_of(spark, [])).count() == 0
+    assert similar.similar_documents(docs_of(spark, [])).count() == 0
 
 
 def brute_similar(texts, similarity=0.8):
@@ -225,7 +225,7 @@ def test_repeated_lines_count_once(spark):
         texts += [f"{body}\n{line}", body + f"\n{line}" * (5, 10, 30)[k % 3]]
     want = brute_similar(texts)
     assert len(want) == len(texts)
-    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == want
+    assert {x["doc_id"]: x["component_id"] for x in similar.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == want
 
 
 def test_pairs_at_the_similarity_are_found(spark):
@@ -238,13 +238,12 @@ def test_pairs_at_the_similarity_are_found(spark):
     texts += ["a b c", "a b c", "a b", "", None]
     want = brute_similar(texts)
     assert len(want) == len(texts) - 3
-    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == want
+    assert {x["doc_id"]: x["component_id"] for x in similar.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == want
 
 
 def test_every_member_is_held_against_other_components(spark, monkeypatch):
-    from cohortloom.llm import shingles
-
-    monkeypatch.setattr(shingles, "SIDE", 8)  # bands are dealt out to many cells
+    monkeypatch.setattr(similar, "SIDE", 8)
+    monkeypatch.setattr(similar, "BLOCK", 8)  # bands are dealt out to many cells
     r = random.Random(7)
     texts = []
     for _ in range(6):  # chains of which only neighbours are similar, and copies of single members
@@ -259,7 +258,7 @@ def test_every_member_is_held_against_other_components(spark, monkeypatch):
     order = list(range(len(texts)))
     r.shuffle(order)
     texts = [texts[k] for k in order]
-    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == brute_similar(texts)
+    assert {x["doc_id"]: x["component_id"] for x in similar.similar_documents(docs_of(spark, list(enumerate(texts)))).collect()} == brute_similar(texts)
 
 
 # 3 chat
