@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import exact_dedup, packing, quality, simhash, toxicity
-from cohortloom.llm.common import fold, materialize, table
+from cohortloom.llm import exact_dedup, packing, quality, similar, toxicity
+from cohortloom.llm.common import discard, discard_since, fold, materialize, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,7 +37,7 @@ def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays; rows without an id stay."""
-    dropped = simhash.similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    dropped = similar.similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
 
 
@@ -55,17 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each one's rows are written, in the folder of spark.checkpoint.dir, and read again."""
+    """Apply the stages to documents; each one's rows are written, in the folder of spark.checkpoint.dir, and read again.
+
+    What a stage wrote on its way, and its own input, is deleted when its rows are written.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _reread(spark, docs)
-    return docs
-
-
-def _reread(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    materialize(spark.range(1))  # sets the shared folder where none is configured
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    return spark.read.parquet(path)
+        mark = written()
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made
+        made = materialize(made)
+        discard_since(spark, mark, but=1)
+        if k:
+            discard(docs)
+        docs = made
