@@ -101,11 +101,13 @@ def map_text(df: DataFrame, make: Callable, added: str, text: str = "text", drop
     """df with the columns of the DDL string `added`, computed from the whole texts in Arrow batches.
 
     make() is called once a task and returns a function from a list of texts to a dict of lists, one for each new
-    column. Nulls in other columns pass through untouched; the text itself is dropped if drop_text.
+    column. Nulls in other columns pass through untouched; the text itself is dropped if drop_text. A column of df that
+    has the name of an added one is replaced (text is read first).
     """
     new = StructType.fromDDL(added)
-    kept = [f for f in df.schema.fields if not (drop_text and f.name == text)]
     names = [f.name for f in new.fields]
+    lower = {n.lower() for n in names}
+    kept = [f for f in df.schema.fields if not (drop_text and f.name == text) and f.name.lower() not in lower]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -120,14 +120,18 @@ def viterbi(chain: Chain, e: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights (constant first) of a ridge logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1e-2, prior: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
+    """Weights (constant first) of a ridge logistic regression, by Newton steps; ridge may be given for each weight, and what they are drawn to."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    penalty = np.eye(x.shape[1]) * ridge
-    penalty[0, 0] = 1e-6
+    penalty = np.diag(np.broadcast_to(ridge, x.shape[1]).astype(float))
+    if np.ndim(ridge) == 0:
+        penalty[0, 0] = 1e-6
+    prior = np.zeros(x.shape[1]) if prior is None else prior
+    w = prior.astype(float)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
-        w -= np.clip(step, -5, 5)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ (w - prior))
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
     return w

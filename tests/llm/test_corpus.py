@@ -69,13 +69,55 @@ def test_components_of_chains_stars_and_nothing(spark):
 # 1 toxicity
 
 
+def scored(m, text):
+    return m.score(m.clauses(text))
+
+
 def test_grammar_scores_clauses_not_words():
-    m = toxicity.model_of({})
-    weight = lambda t: sum(w for *_, w in m.clauses(t))
-    assert weight("you are an idiot") > weight("an idiot") > weight("he said an idiot") > 0
-    assert weight("not an idiot") < weight("an idiot") and weight("not at all, ever so often an idiot") == weight("an idiot")
-    assert weight("I will kill you") > 0 == weight("kill the process") == weight("nice day") == weight("")
-    assert len(m.clauses("You idiot. Fine day. Stupid fool!")) == 2
+    m = toxicity.model_of({"grumf": 4.0}, {"zork": 4.0})
+    for x in ("an idiot", "grumfen"):  # fixed and learned
+        alone, aimed, denied, told = (scored(m, t) for t in (x, f"you are {x}", f"you are not {x}", f"he said you are {x}"))
+        assert aimed >= 0.7 > alone > max(denied, told) and scored(m, f"{x}, you") == aimed
+    assert scored(m, "not at all, ever so often an idiot") == scored(m, "an idiot") < scored(m, "an idiot and a moron")
+    for x in ("I will kill you", "ich werde dich töten", "je vais te tuer", "I will zork them", "they zork you"):
+        assert scored(m, x) >= 0.7, x
+    for x in ("kill the process", "I will kill time", "I will not kill you", "she said I will kill you", "nice day", "", "will you zork"):
+        assert scored(m, x) < 0.3, x
+    assert scored(m, "You are nice. Idiot.") < scored(m, "You are an idiot.")
+    assert len(m.clauses("You idiot. Fine day. Stupid fool!")) == 2 and all(w > 0 for *_, w, _ in m.clauses("You idiot. Stupid fool!"))
+
+
+def test_closed_words_stay_what_they_are():
+    m = toxicity.model_of({"not": 5.0, "you": 5.0})
+    assert m.read("not") == (toxicity.NOT, 1.0) and m.read("you") == (toxicity.TARGET, 1.0) and m.read("notched")[0] == toxicity.INSULT
+
+
+def test_weights_and_threats_are_learned(spark):
+    r, rows = random.Random(4), []
+    filler = lambda n: " ".join(f"w{r.randrange(200)}" for _ in range(n))
+    for k in range(300):
+        bad = k % 3 == 0
+        what = r.choice([f"you are grumf{k % 5}", f"I will zork{k % 5} you"]) if bad else r.choice(["you are fine", "I will see you", "nothing"])
+        rows.append((k, f"{filler(12)}. {what}. {filler(9)}", int(bad)))
+    docs, labels = docs_of(spark, [(k, t) for k, t, _ in rows]), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    m = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    assert any(s.startswith("zork") for s in m.threats) and any(s.startswith("grumf") for s in m.stems) and not any(s.startswith("zork") for s in m.stems)
+    assert scored(m, "you are grumf1") >= 0.7 > scored(m, "you are not grumf1") and scored(m, "he said you are grumf1") < 0.7
+    assert scored(m, "I will zork1 you") >= 0.7 > scored(m, "I will not zork1 you") and scored(m, "zork1 the process") < 0.3
+
+
+def test_no_pattern_weighs_what_it_does_not_mean():
+    x = np.array([[1.0, 0, 0, 0, 0]] * 50 + [[0, 0, 1.0, 0, 0]] * 50 + [[0.0] * 5] * 100)  # as if what is denied were toxic too
+    w = toxicity.fit_weights(x, np.array([1.0] * 100 + [0.0] * 100))
+    assert w[3] <= 0.3 * w[1] and w[4] <= 0.5 * w[1] and w[0] + w[1] + w[2] >= 1 and w[0] + w[5] >= 1
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "you idiot", 9.0, "x"), (2, None, None, None)], "doc_id long, text string, score double, clauses string")
+    out = toxicity.score_toxicity(df, toxicity.model_of({}))
+    assert sorted(out.columns) == ["clauses", "doc_id", "score", "text"] and {r["doc_id"]: r["score"] >= 0.7 for r in out.collect()} == {1: True, 2: False}
+    good = quality.score_quality(df, quality.QualityModel(None, (0.0, 1.0), 0.5))
+    assert sorted(good.columns) == ["clauses", "doc_id", "score", "text"] and {r["score"] for r in good.collect()} == {0.5}
 
 
 def test_composition_equals_running_one_after_the_other():
@@ -114,7 +156,7 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     docs = docs_of(spark, [(k, t) for k, t, _ in made])
     flip = lambda k, y: 1 - y if zlib.crc32(str(k).encode()) % 3 == 1 else y
     fits = [toxicity.fit_toxicity(docs, spark.createDataFrame([(k, f(k, y)) for k, _, y in made], "doc_id long, toxic int"), fold("doc_id", 3) != 1) for f in (lambda k, y: y, flip)]
-    assert fits[0].stems == fits[1].stems and np.allclose(fits[0].curve, fits[1].curve)
+    assert fits[0].stems == fits[1].stems and np.allclose(fits[0].weights, fits[1].weights)
 
 
 # 2 SimHash
