@@ -313,58 +313,98 @@ def test_quotations_link_replies(spark):
     assert len(out) == len(m)
     by = {(x["conv_id"], x["turn"]): x for x in out}
     assert [by[1, k]["parent_turn"] for k in range(5)] == [None, 0, 0, 1, 3]
-    assert [by[1, k]["depth"] for k in range(5)] == [0, 1, 1, 2, 3] and {by[1, k]["thread"] for k in range(5)} == {0}
+    assert [by[1, k]["depth"] for k in range(5)] == [0, 1, 1, 2, 3] and [by[1, k]["thread"] for k in range(5)] == [0, 0, 2, 3, 3]
+    assert [by[1, k]["position"] for k in range(5)] == [0, 1, 4, 2, 3]
     assert by[1, 2]["text"] == "I meant lists." and by[1, 2]["quotes"] == 2 and by[2, 9]["parent_turn"] == 5 and by[2, 5]["text"] == ""
     assert by[None, 1]["parent_turn"] is None and by[3, None]["text"] == ""
     assert chat.link_quotations(df.limit(0)).count() == 0
 
 
 def brute_chat(messages):
-    """{(conv, turn): (parent, thread, depth, text, quotes)} by reading conversations one by one."""
+    """{(conv, turn): (parent, thread, depth, position, text, quotes)} by reading conversations one by one."""
     norm = lambda t: " ".join(t.split()).lower()
-    parsed = {}
+    lines_of = lambda t: [norm(x) for x in t.split("\n") if x.strip()]
+    parsed, out = {}, {}
     for conv, turn, text in messages:
-        runs = []
+        found = []
         for line in text.split("\n"):
-            marks = line.lstrip(" \t")
-            depth, rest = 0, marks
+            depth, rest = 0, line.lstrip(" \t")
             while rest.startswith(">"):
                 depth, rest = depth + 1, rest[1:]
                 rest = rest[1:] if rest[:1] in (" ", "\t") else rest
-            body = rest if depth else line
-            if runs and runs[-1][0] == depth:
-                runs[-1][1].append(body)
+            if found and found[-1][0] == depth:
+                found[-1][1].append(rest if depth else line)
             else:
-                runs.append([depth, [body]])
-        own = "\n".join("\n".join(b) for d, b in runs if d == 0).strip(" ")
-        parsed[conv, turn] = (own, [(d, norm("\n".join(b))) for d, b in runs if d and norm("\n".join(b))])
-    out = {}
+                found.append([depth, [rest if depth else line]])
+        own = "\n".join("\n".join(b) for d, b in found if d == 0).strip(" ")
+        parsed[conv, turn] = (own, [(d, "\n".join(b)) for d, b in found if d and norm("\n".join(b))])
+
+    def wrote(own, quote):
+        runs, want = lines_of(own), lines_of(quote)
+        as_text = {norm(p) for p in [own, *own.split("\n"), *own.split("\n\n")]} - {""}
+        return norm(quote) in as_text or any(runs[i : i + len(want)] == want for i in range(len(runs) - len(want) + 1))
+
     for conv in {c for c, *_ in messages}:
-        turns = sorted(t for c, t in parsed if c == conv)
+        turns, children = sorted(t for c, t in parsed if c == conv), collections.defaultdict(list)
         for k, t in enumerate(turns):
-            quoted = {q for d, q in parsed[conv, t][1] if d == 1}
-            wrote = lambda e: {norm(p) for p in [parsed[conv, e][0], *parsed[conv, e][0].split("\n")]}
-            sources = [e for e in turns[:k] if wrote(e) & quoted]
-            parent = max(sources) if sources else turns[k - 1] if k else None
+            sources = [(-d, e) for d, q in parsed[conv, t][1] for e in turns[:k] if wrote(parsed[conv, e][0], q)]
+            before = turns[k - 1] if k else None
+            parent = max(sources)[1] if sources else before
+            children[parent].append(t)
             up = out[conv, parent] if parent is not None else None
-            out[conv, t] = (parent, up[1] if up else t, up[2] + 1 if up else 0, parsed[conv, t][0], len(parsed[conv, t][1]))
-    return out
+            thread = t if parent is None or parent != before else up[1]
+            out[conv, t] = [parent, thread, up[2] + 1 if up else 0, None, parsed[conv, t][0], len(parsed[conv, t][1])]
+        stack, n = [turns[0]], 0
+        while stack:
+            t = stack.pop()
+            out[conv, t][3], n = n, n + 1
+            stack += sorted(children[t], reverse=True)
+    return {k: tuple(v) for k, v in out.items()}
+
 
+def linked(df):
+    return {(x["conv_id"], x["turn"]): (x["parent_turn"], x["thread"], x["depth"], x["position"], x["text"], x["quotes"]) for x in chat.link_quotations(df).collect()}
 
-def test_quotations_against_reading_one_by_one(spark):
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_quotations_against_reading_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "TURNS_A_BLOCK", block)
     r, messages = random.Random(12), []
-    for conv in range(25):
+    for conv in range(30):
         said = []
-        for turn in range(r.randint(1, 9)):
-            lines = [f"line {r.randrange(60)} of talk" for _ in range(r.randint(1, 3))]
-            if said and r.random() < 0.6:
-                quote = r.choice([r.choice(said), r.choice(r.choice(said).split("\n")).upper(), "never said"])
-                lines = [r.choice(["> ", ">", " >  "]) + x for x in quote.split("\n")] + ([">> deeper"] if r.random() < 0.3 else []) + lines
+        for turn in range(r.randint(1, 14)):
+            lines = [f"line {r.randrange(90)} of talk" for _ in range(r.randint(1, 4))]
+            if r.random() < 0.4:
+                lines.insert(1, "")
+            if said and r.random() < 0.7:
+                source = r.choice(said).split("\n")
+                at = r.randrange(len(source))
+                quote = r.choice([source, source[at : at + r.randint(1, 3)], [source[at].upper()], ["never said"]])
+                mark = r.choice(["> ", ">", " >  ", ">> ", "> > >"])
+                lines = [mark + x for x in quote] + ([">>>> deeper"] if r.random() < 0.3 else []) + lines
             said.append("\n".join(x for x in lines if ">" not in x))
             messages.append((conv, turn * 2, "\n".join(lines)))
     df = spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id long, turn long, role string, text string")
-    got = {(x["conv_id"], x["turn"]): (x["parent_turn"], x["thread"], x["depth"], x["text"], x["quotes"]) for x in chat.link_quotations(df).collect()}
-    assert got == brute_chat(messages)
+    want = brute_chat(messages)
+    assert linked(df) == want and sum(w[0] is not None and w[1] == k[1] for k, w in want.items()) > 20  # threads are opened
+
+
+def test_quotes_of_deeper_levels_alone_are_linked(spark):
+    m = [(1, 0, "first topic"), (1, 1, "other"), (1, 2, "more"), (1, 3, ">> first topic\nback to it"), (1, 4, "> first topic\n>> more\nsaid again"), (1, 5, "> line two.\n> second para.\nyes"), (2, 0, "line one.\nline two.\n\nsecond para."), (2, 1, "hm"), (2, 2, "> line two.\n> second para.\nyes")]
+    got = linked(spark.createDataFrame([(c, t, "user", x) for c, t, x in m], "conv_id long, turn long, role string, text string"))
+    assert [got[1, t][0] for t in range(6)] == [None, 0, 1, 0, 0, 4] and got[2, 2][0] == 0
+    assert [got[1, t][3] for t in range(6)] == [0, 1, 2, 3, 4, 5] and [got[1, t][1] for t in range(6)] == [0, 0, 0, 3, 4, 4]
+
+
+def test_long_messages_and_common_passages_take_linear_time(spark):
+    import time
+
+    lines = [f"line {k}" for k in range(100_000)]
+    long = spark.createDataFrame([(1, 0, "user", "\n".join(lines)), (1, 1, "user", "no"), (1, 2, "user", "\n".join("> " + x for x in lines) + "\nyes")], "conv_id long, turn long, role string, text string")
+    hot = spark.range(6000).select(F.lit(2).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("> ok\nok").alias("text"))
+    began = time.time()
+    got = {(x["conv_id"], x["turn"]): x["parent_turn"] for x in chat.link_quotations(long.unionAll(hot)).collect()}
+    assert got[1, 2] == 0 and all(got[2, t] == t - 1 for t in range(1, 6000)) and time.time() - began < 60
 
 
 def test_parts_of_paragraphs_and_deeper_levels_are_linked(spark):
@@ -410,7 +450,7 @@ def test_field_finds_articles_of_pages_it_has_not_seen(articles):
     for k in range(60):
         page = html_extract.blocks(html_extract.labelled_page(10_000_000 + k))
         marks = crf.viterbi(articles.chain, articles.chain.emissions(html_extract.features(page)))
-        good += sum(m == (b[3] == "1") for m, b in zip(marks, page, strict=True))
+        good += sum(m == (b[1].label == "1") for m, b in zip(marks, page, strict=True))
         total += len(page)
     assert good / total > 0.95
 
