@@ -22,8 +22,6 @@ from cohortloom.llm.common import map_text
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe noembed noframes svg math canvas object".split())
-#: Tags nested deeper than this open nothing (browsers stop at 512).
-DEPTH = 128
 #: What an opening tag closes.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -36,21 +34,61 @@ FOR = "content article post entry main body story text page markdown prose".spli
 TAGS = "head title nav header footer aside form article main section div ul ol li table td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption button label select textarea noscript dialog details dl body".split()
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int, str | None]]:
-    """(text, path, linked characters, label) of each leaf block, in page order; path holds (tag, words of class, id and role)."""
-    out, stack, parts, linked, anchors = [], [], [], 0, 0
+AGAINST_TAGS, FOR_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "head", "dialog", "noscript", "button")), frozenset(("article", "main"))
+TAG_BIT, AGAINST_BIT, FOR_BIT = ({w: 1 << k for k, w in enumerate(x)} for x in (TAGS, AGAINST, FOR))
+
+
+@dataclass(frozen=True)
+class Place:
+    """An open element, with what it and its ancestors have: bits of tags and of words, depths of the last that speak against and for main text.
+
+    path is a number that elements of equal tags and words, with equal ancestors, share. All is taken over from the parent in one step, so
+    nesting may be of any depth.
+    """
+
+    tag: str
+    tags: int
+    against: int
+    good: int
+    depth: int
+    against_at: int
+    good_at: int
+    label: str | None
+    path: int
+
+
+ROOT = Place("", 0, 0, 0, 0, -1, -1, None, 0)
+
+
+def blocks(page: str) -> list[tuple[str, Place, int]]:
+    """(text, innermost open element, linked characters) of each leaf block, in page order."""
+    out, stack, parts, linked, anchors = [], [ROOT], [], 0, 0
+    opened: dict[str, int] = {}
+    paths: dict[tuple, int] = {}
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, tuple((t, w) for t, w, _ in stack), linked, next((y for *_, y in reversed(stack) if y is not None), None)))
+            out.append((text, stack[-1], linked))
         parts, linked = [], 0
 
-    def close(upto: int) -> None:
-        nonlocal stack
-        flush()
-        stack = stack[:upto]
+    def close(name: str) -> None:
+        """Close the innermost element of that name and all in it."""
+        while True:
+            tag = stack.pop().tag
+            opened[tag] -= 1
+            if tag == name:
+                return
+
+    def open_(name: str, words: frozenset, label: str | None) -> None:
+        up = stack[-1]
+        depth, against, good = up.depth + 1, sum(AGAINST_BIT.get(w, 0) for w in words), sum(FOR_BIT.get(w, 0) for w in words)
+        path = paths.setdefault((up.path, name, words), len(paths) + 1)
+        stack.append(Place(
+            name, up.tags | TAG_BIT.get(name, 0), up.against | against, up.good | good, depth, depth if against or name in AGAINST_TAGS else up.against_at,
+            depth if good or name in FOR_TAGS else up.good_at, up.label if label is None else label, path))
+        opened[name] = opened.get(name, 0) + 1
 
     at = 0
     while at < len(page):
@@ -78,69 +116,46 @@ def blocks(page: str) -> list[tuple[str, tuple, int, str | None]]:
             continue
         if name in INLINE or name in RAW:
             continue
+        flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-            else:
-                flush()
             anchors = 0
+            if opened.get(name):
+                close(name)
             continue
-        ends = CLOSES.get(name, ())
-        if name in CLOSE_P and stack and stack[-1][0] == "p":
-            close(len(stack) - 1)
-        elif ends and stack and stack[-1][0] in ends:
-            close(len(stack) - 1)
-        else:
-            flush()
+        last = stack[-1].tag
+        if last and (last in CLOSES.get(name, ()) or (last == "p" and name in CLOSE_P)):
+            close(last)
         if name in VOID:
             continue
         found = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)} if attributes else {}
-        words = frozenset(w.lower() for k, v in found.items() if k != "data-y" for w in PIECES.findall(v))
-        if len(stack) < DEPTH:
-            stack.append((name, words, found.get("data-y")))
+        open_(name, frozenset(w.lower() for k, v in found.items() if k != "data-y" for w in PIECES.findall(v)), found.get("data-y"))
     flush()
     return out
 
 
-N_FEATURES = len(TAGS) * 2 + len(AGAINST) + len(FOR) + 2 + 14
+N_PLACE = len(TAGS) * 2 + len(AGAINST) + len(FOR) + 2
+N_FEATURES = N_PLACE + 14
+
+
+def _place_features(place: Place) -> np.ndarray:
+    bits = lambda mask, n: [mask >> k & 1 for k in range(n)]
+    own = bits(TAG_BIT.get(place.tag, 0), len(TAGS))
+    against, good = place.against_at, place.good_at
+    return np.array(bits(place.tags, len(TAGS)) + own + bits(place.against, len(AGAINST)) + bits(place.good, len(FOR)) + [against > good, good >= 0 and against < 0], float)
 
 
 def features(page: list[tuple]) -> np.ndarray:
     """A row for each block: ancestors' and own tag, class words, text, neighbours."""
     x, n = np.zeros((len(page), N_FEATURES)), len(page)
-    tag_at, against_at, for_at = ({w: k for k, w in enumerate(v)} for v in (TAGS, AGAINST, FOR))
-    total = sum(len(b[0]) for b in page)
-    for k, (text, path, linked, _) in enumerate(page):
-        row, base, words = x[k], 0, text.split()
-        for tag, _ in path:
-            if tag in tag_at:
-                row[tag_at[tag]] = 1
-        base += len(TAGS)
-        if path and path[-1][0] in tag_at:
-            row[base + tag_at[path[-1][0]]] = 1
-        base += len(TAGS)
-        against = deepest = -1
-        for depth, (tag, named) in enumerate(path):
-            for w in named:
-                if w in against_at:
-                    row[base + against_at[w]], against = 1, depth
-                if w in for_at:
-                    row[base + len(AGAINST) + for_at[w]] = 1
-                    deepest = depth
-            if tag in ("nav", "header", "footer", "aside", "form", "head", "dialog", "noscript", "button"):
-                against = depth
-            if tag in ("article", "main"):
-                deepest = depth
-        base += len(AGAINST) + len(FOR)
-        row[base : base + 2] = against > deepest, deepest >= 0 and against < 0
-        base += 2
-        ends = text[-1] in ".!?…:;\"'”"
-        row[base : base + 14] = (
+    total, known = sum(len(b[0]) for b in page), {}
+    for k, (text, place, linked) in enumerate(page):
+        if place.path not in known:
+            known[place.path] = _place_features(place)
+        x[k, :N_PLACE], words, ends = known[place.path], text.split(), text[-1] in ".!?…:;\"'”"
+        x[k, N_PLACE:] = (
             np.log1p(len(text)), np.log1p(len(words)), min(1.0, linked / len(text)), ends, len(words) < 4, sum(c in ",.;" for c in text) / len(text) * 20,
             "©" in text, sum(c.isdigit() for c in text) / len(text), k / max(1, n - 1), len(text) / max(1, total), k == 0, k == n - 1,
-            k > 0 and page[k - 1][1] == path, k < n - 1 and page[k + 1][1] == path)
+            k > 0 and page[k - 1][1].path == place.path, k < n - 1 and page[k + 1][1].path == place.path)
     return x
 
 
@@ -220,14 +235,15 @@ def fit_articles(pages: int = 500, seed: int = 7) -> ArticleModel:
     """Fit the field on so many labelled pages."""
     made = [b for k in range(pages) if (b := blocks(labelled_page(seed * 100_003 + k)))]
     x = np.vstack([features(b) for b in made])
-    y = np.array([block[3] == "1" for b in made for block in b], int)
+    y = np.array([block[1].label == "1" for b in made for block in b], int)
     return ArticleModel(crf.fit(x, y, [len(b) for b in made], rounds=120))
 
 
 def main_text(pages: DataFrame, model: ArticleModel, page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages; n_chars counts code points, other columns are ignored.
 
-    A null or empty page gives an empty text; repeated rows repeat; a page that breaks off is read as far as it goes.
+    A null or empty page gives an empty text; repeated rows and null ids repeat; a page that breaks off is read as far as it
+    goes; pages of any length and depth of tags are read whole; an empty table gives none.
     """
 
     def make():
