@@ -2,8 +2,8 @@
 
 A block's vectors are quantised: each dimension's range over the block is cut into 2^bits cells, and a cell bounds the
 products of everything in it. The cells of a block are scanned for all queries of a wave; a query then reads exact
-vectors in the order of their bounds until no unread one can enter its k best. Blocks hold a fixed number of vectors,
-a wave a bounded number of queries (some 32 MB at 64 dimensions), broadcast to all tasks; every task keeps the k best of each query over its blocks,
+vectors in the order of their bounds until no unread one can enter its k best. Blocks and waves of queries are bounded in
+bytes, whatever the dimension; a wave is broadcast to all tasks. Every task keeps the k best of each query over its blocks,
 and only those are shuffled.
 """
 
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import materialize
 
-BLOCK_ROWS, CELL_BITS, WAVE, READ = 4096, 8, 65536, 32
+#: Bytes of the vectors of a block and of the queries of a wave, and most rows of either.
+BLOCK_BYTES, WAVE_BYTES, BLOCK_ROWS, WAVE = 1 << 24, 1 << 24, 4096, 65536
+CELL_BITS, READ = 8, 32
 #: Queries whose bounds of a block are in memory at once, and waves whose results are written together.
 QUERY_ROWS, WAVES_AT_ONCE = 1024, 8
 
@@ -72,13 +74,20 @@ def integer_vectors(table: DataFrame, id_column: str, vector: str, scale: int =
         F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("long")).alias("v"))
 
 
-def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, wave: int = WAVE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, wave: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over all vectors with another id.
 
     vectors: (vec_id long, v array<long>). Queries: rows that satisfy is_query; a query id that comes in several rows counts with
     its smallest vector. Ties go to the smaller vec_id. Vectors of another dimension than a query's don't meet it. Fewer candidates give
-    fewer rows; no query gives none. Repeated rows are candidates as often as they come.
+    fewer rows; no query gives none, nor does an empty table. Repeated rows are candidates as often as they come, but rows of the query's id are
+    all its own. Products that a long may not hold are an error, not a wrong score. wave and block_rows are from bytes unless given.
     """
+    shape = vectors.agg(F.max(F.size("v")).alias("dims"), F.max(F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double")))).alias("most")).first()
+    dims = max(1, shape["dims"] or 1)
+    if dims * (shape["most"] or 0.0) ** 2 >= 2.0**62:
+        raise ValueError(f"components up to {shape['most']:.3g} in {dims} dimensions: their products do not fit a long")
+    wave = wave or max(1, min(WAVE, WAVE_BYTES // (8 * dims)))
+    block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dims)))
     queries = materialize(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     waves = max(1, -(-queries.count() * 5 // (4 * wave)))
     packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(waves)).alias("wave")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
