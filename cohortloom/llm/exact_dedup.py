@@ -15,11 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import materialize, whole_text
+from cohortloom.llm.common import discard, materialize, whole_text
 
 BLOCK_CHARS = 4096
-#: Contents that share their hash with another; 10^11 blocks are expected to have some hundreds.
-MAX_CLASHES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,25 +31,29 @@ def blocks(text: Column, size: int) -> Column:
     return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0))
 
 
-def ranks(contents: DataFrame, hashed: Callable[[Column], Column]) -> dict[str, int]:
-    """Ranks, over 0, of the contents that share their hash with a smaller one; contents has the column `content`."""
-    named = contents.select(hashed(F.col("content")).alias("h"), "content")
-    shared = named.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").limit(MAX_CLASHES + 1).collect()
-    if not shared:
-        return {}
-    if len(shared) > MAX_CLASHES:
-        raise ValueError(f"over {MAX_CLASHES} hashes have several contents")
-    hashes = [r["h"] for r in shared]
+def clashes(contents: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """(h, content, r): the rank r, over 0, of every content that shares its hash with a smaller one; contents has the column `content`."""
+    named = contents.select(hashed(F.col("content")).cast("long").alias("h"), "content").distinct()
+    shared = named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     rank = F.row_number().over(Window.partitionBy("h").orderBy("content")) - 1
-    return {r["content"]: r["rank"] for r in named.where(F.col("h").isin(hashes)).distinct().withColumn("rank", rank).where("rank > 0").collect()}
+    return named.join(shared, "h", "left_semi").withColumn("r", rank.cast("int")).where("r > 0")
 
 
-def name(content: Column, hashed: Callable[[Column], Column], clashes: dict[str, int]) -> Column:
-    rank = F.lit(0)
-    if clashes:
-        known = F.create_map(*[F.lit(x) for kv in clashes.items() for x in kv])
-        rank = F.coalesce(F.try_element_at(known, content), F.lit(0))
-    return F.struct(hashed(content).cast("long").alias("h"), rank.cast("int").alias("r"))
+def name_all(rows: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """rows with their column contents (array<string>) replaced by names (array<struct<h, r>>).
+
+    Where no hash is shared, as is usual, all ranks are 0. Else ranks come from the table of clashes by a join, however many there are.
+    """
+    found = materialize(clashes(rows.select(F.explode("contents").alias("content")), hashed))
+    if found.isEmpty():
+        discard(found)
+        return rows.withColumn("names", F.transform("contents", lambda c: F.struct(hashed(c).cast("long").alias("h"), F.lit(0).alias("r")))).drop("contents")
+    keyed = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = keyed.select("row", F.posexplode("contents").alias("at", "content")).withColumn("h", hashed(F.col("content")).cast("long"))
+    named = each.join(found, ["h", "content"], "left").select("row", F.struct("at", F.struct("h", F.coalesce("r", F.lit(0)).alias("r")).alias("name")).alias("x"))
+    names = named.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+    empty = F.array().cast("array<struct<h:bigint,r:int>>")
+    return keyed.join(names, "row", "left").withColumn("names", F.coalesce("names", empty)).drop("row", "contents")
 
 
 def _pair(names: Column, i: Column) -> Column:
@@ -59,22 +61,17 @@ def _pair(names: Column, i: Column) -> Column:
     return F.concat_ws(" ", x["h"], x["r"], y["h"], y["r"])
 
 
-def _pairs(n: Column) -> Column:
-    return F.sequence(F.lit(0), ((n + 1) / 2).cast("int") - 1)
-
-
 def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, text_sha256, n_blocks, h, r) for every row: (n_blocks, h, r) is the identity of its text."""
-    text = docs.select(F.col("doc_id").cast("long"), normalized().alias("text")).select("doc_id", "text", blocks(F.col("text"), block_chars).alias("blocks"))
-    clashes = ranks(text.select(F.explode("blocks").alias("content")), hashed)
-    now = materialize(text.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size("blocks").alias("n_blocks"), F.transform("blocks", lambda b: name(b, hashed, clashes)).alias("names")))
+    text = docs.select(F.col("doc_id").cast("long"), normalized().alias("text")).select("doc_id", F.sha2("text", 256).alias("text_sha256"), blocks(F.col("text"), block_chars).alias("contents"))
+    now = materialize(name_all(text.withColumn("n_blocks", F.size("contents")), hashed))
     done, longest = now.where("n_blocks = 1"), now.agg(F.max("n_blocks")).first()[0] or 1
     now, size = now.where("n_blocks > 1"), F.size("names")
     while longest > 1:
-        pairs = now.select(F.explode(F.filter(_pairs(size), lambda i: 2 * i + 1 < size)).alias("i"), "names").select(_pair(F.col("names"), F.col("i")).alias("content"))
-        clashes = ranks(pairs, hashed)
-        joined = F.transform(_pairs(size), lambda i: F.when(2 * i + 1 < size, name(_pair(F.col("names"), i), hashed, clashes)).otherwise(F.get("names", 2 * i)))
-        now, longest = materialize(now.withColumn("names", joined)), (longest + 1) // 2
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(size / 2).cast("int") - 1), lambda i: _pair(F.col("names"), i))
+        odd = F.when(size % 2 == 1, F.slice("names", -1, 1)).otherwise(F.slice("names", 1, 0))
+        rows = now.select("doc_id", "text_sha256", "n_blocks", odd.alias("last"), pairs.alias("contents"))
+        now, longest = materialize(name_all(rows, hashed).withColumn("names", F.concat("names", "last")).drop("last")), (longest + 1) // 2
         done, now = done.unionByName(now.where(size == 1)), now.where(size > 1)
     return done.select("doc_id", "text_sha256", "n_blocks", F.col("names")[0]["h"].alias("h"), F.col("names")[0]["r"].alias("r"))
 
