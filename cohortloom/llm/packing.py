@@ -80,9 +80,11 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, json_file: str, length:
     """Pieces of packed sequences: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens).
 
     docs: doc_id, text (null: empty), and in instruction data a column named by loss_share, the share of a row's tokens
-    that bear loss (by default all). A document is its ids and id 0. The two vocabulary files hold the same merges;
+    that bear loss (by default all; null and NaN count as all, others are brought to 0 to 1). Without it, and with loss_tokens
+    not under length, tokens and segments are the limits that bind. A document is its ids and id 0. The two vocabulary files hold the same merges;
     texts that contain the spelling of a special token go through json_file's tokenizer, as only that knows it.
-    Repeated rows are packed as often as they come. An empty table gives none. sequence_id has the partition in its upper bits.
+    Repeated rows are packed as often as they come, null ids too; ties go to the item that came first. Very long texts are cut over full sequences.
+    Other columns are ignored. An empty table gives none. sequence_id has the partition in its upper bits.
     """
     share = F.col(loss_share).cast("double") if loss_share else F.lit(1.0)
 
@@ -114,5 +116,5 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, json_file: str, length:
         packer.fill(0)
         yield rows()
 
-    columns = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), F.coalesce(share, F.lit(1.0)).alias("loss"))
+    columns = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(share, F.lit(1.0)), F.lit(1.0)))).alias("loss"))
     return columns.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
