@@ -1,9 +1,10 @@
 """Shards of nearly equal size by minimax contiguous partition.
 
 Documents with equal text stay together. Groups are ordered by the hash of their text, and runs of that order make up a
-fixed number of atoms, so what the search looks at is bounded however large the corpus is. The smallest shard capacity
-at which greedy filling needs no more than the given shards is found by binary search; the atoms are cut at it. An atom
-that is larger than a fair share gets a shard of its own, and the rest is cut again for the other shards.
+fixed number of atoms, so what the search looks at is bounded however large the corpus is. Atoms larger than a fair share
+come first in the order, the largest at its head, then the others by hash. Shards are contiguous runs of that order. The
+smallest shard capacity at which greedy filling needs no more than the given shards is found by binary search; as a large
+atom fills a shard by itself, whatever the order, it is one run, and the search is over the others and the shards left.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import materialize, whole_text
 
-SHARDS, ATOMS, CELL_ROWS = 40, 1 << 15, 4096
+SHARDS, ATOMS, CELL_ROWS = 40, 1 << 15, 1024
 
 
 def needed(prefix: list[int], capacity: int) -> list[int]:
@@ -59,7 +60,7 @@ def cut(sizes: list[int], shards: int) -> list[int]:
 
 
 def assign(atoms: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Shard of each (atom, size), in order: oversized atoms alone, first the largest, the rest by cut()."""
+    """Shard of each (atom, size): those over a fair share of what is left come first and alone, the largest at the head, the rest by cut(), in the given order."""
     alone, rest = [], list(atoms)
     while len(alone) < shards - 1 and rest:
         total, large = sum(s for _, s in rest), max(rest, key=lambda x: x[1])
@@ -88,9 +89,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, atoms: int = ATOMS, cell_rows:
     found = assign([(r["atom"], r["size"]) for r in sums], shards)
     plan = spark.createDataFrame([(r["atom"], found[r["atom"]], -(-r["rows"] // cell_rows)) for r in sums], "atom int, shard int, cells int")
     dealt = rows.join(F.broadcast(plan), "atom").withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.col("cells")).cast("int"))
-    cells = dealt.groupBy("shard", "atom", "cell").agg(F.count("*").alias("rows"))
+    # equal rows are one with a count, so that no window holds a row's repeats
+    dealt = dealt.groupBy("atom", "shard", "cell", "doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    cells = dealt.groupBy("shard", "atom", "cell").agg(F.sum("copies").alias("rows"))
     order = Window.partitionBy("shard").orderBy("atom", "cell")
     starts = cells.select("atom", "cell", (F.sum("rows").over(order) - F.col("rows")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("atom", "cell").orderBy("doc_id", "size", "text_crc32"))
-    return dealt.withColumn("rank", rank).join(starts, ["atom", "cell"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    upto = F.sum("copies").over(Window.partitionBy("atom", "cell").orderBy("doc_id", "size", "text_crc32"))
+    placed = dealt.withColumn("upto", upto).join(starts, ["atom", "cell"])
+    slot = F.explode(F.sequence(F.col("start") + F.col("upto") - F.col("copies"), F.col("start") + F.col("upto") - 1))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
