@@ -56,9 +56,9 @@ def _forward_backward(e: np.ndarray, mask: np.ndarray, steps: np.ndarray, start:
     return z, np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None], pairs
 
 
-def fit(x: np.ndarray, y: np.ndarray, lengths: list[int], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3, window: int = 64) -> Chain:
-    """Maximum likelihood with a ridge penalty, by Adam over the whole sample; the same input gives the same model."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+def fit(x: np.ndarray, y: np.ndarray, lengths: list[int], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3, window: int = 64, begin: Chain | None = None) -> Chain:
+    """Maximum likelihood with a ridge penalty, by Adam over the whole sample, from another fit on the same rows if given; the same input gives the same model."""
+    mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 1e-6
     scaled = (x - mean) / scale
     window = max(2, min(window, max(lengths)))
     rows, labels = _padded(x, y.astype(int), lengths, window)
@@ -66,7 +66,7 @@ def fit(x: np.ndarray, y: np.ndarray, lengths: list[int], rounds: int = 150, rat
     seen = np.zeros((2, 2))
     np.add.at(seen, (labels[:, :-1][mask[:, 1:]], labels[:, 1:][mask[:, 1:]]), 1)
     first = np.bincount(labels[:, 0], minlength=2).astype(float)
-    p = np.zeros(1 + x.shape[1] + 4 + 2)
+    p = np.zeros(1 + x.shape[1] + 4 + 2) if begin is None else np.concatenate([begin.weights, begin.steps.ravel(), begin.start])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for k in range(1, rounds + 1):
         w, steps, start = p[:-6], p[-6:-2].reshape(2, 2), p[-2:]

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from cohortloom.llm import crf
 from cohortloom.llm.common import labelled_sample, map_text
 
-#: Bounds of the sample that is fitted: rows of each class, characters of a row.
-PER_CLASS, MAX_CHARS = 1500, 40_000
-REFITS = 2
+#: Bounds of the sample that is fitted: rows of each class, characters and lines of a row. So the driver gets 2 x 1,500 x 200 lines at most, 130 MB.
+PER_CLASS, MAX_CHARS, MAX_LINES = 1500, 40_000, 200
+REFITS, ROUNDS, REFIT_ROUNDS = 2, 100, 40
 #: Frequent words of the four languages (fixed values).
 COMMON = frozenset(
     "the of and to in is it that for was on are as with this be by at from or an a un une le la les des de du et en est que qui pour dans sur par au avec ce se"
@@ -90,13 +91,13 @@ class QualityModel:
         return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log(mean / (1 - mean))))))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> QualityModel:
-    """Fit on a bounded sample: at most per_class rows of each class, each at most max_chars long, and only rows that `keep` admits.
+def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES) -> QualityModel:
+    """Fit on a bounded sample: at most per_class rows of each class, each of at most max_chars characters and max_lines lines, and only rows that `keep` admits.
 
     Features are made in tasks; the driver gets them and fits. A sample with one class, or none, gives a model that scores
     every document alike.
     """
-    sample = labelled_sample(docs, labels, label, keep, per_class, max_chars)
+    sample = labelled_sample(docs, labels, label, keep, per_class, max_chars).where(F.length("text") - F.length(F.replace("text", F.lit("\n"))) < max_lines)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = _classes()
@@ -106,7 +107,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "
 
     rows = sorted((r["doc_id"], bytes(r["x"]), bytes(r["n"]), r["y"]) for r in sample.mapInPandas(run, "doc_id long, x binary, n binary, y int").collect())
     blank = [y for *_, x, _, y in rows if not x]
-    rows = [(np.frombuffer(x, np.float32).reshape(-1, 3 * N_OWN + 3).astype(float), np.frombuffer(n, np.int64), y) for _, x, n, y in rows if x]
+    rows = [(np.frombuffer(x, np.float32).reshape(-1, 3 * N_OWN + 3), np.frombuffer(n, np.int64), y) for _, x, n, y in rows if x]
     classes_seen = {y for *_, y in rows}
     prior = sum(y for *_, y in rows) / max(1, len(rows)) if len(classes_seen) == 1 else 0.5
     empty = float((sum(blank) + prior) / (len(blank) + 1))
@@ -117,7 +118,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "
     doc = np.repeat([y for *_, y in rows], sizes)
     lines, cuts, chain = doc.copy(), np.cumsum([0, *sizes]), None
     for _ in range(1 + REFITS):
-        chain = crf.fit(x, lines, sizes)
+        chain = crf.fit(x, lines, sizes, rounds=ROUNDS if chain is None else REFIT_ROUNDS, begin=chain)
         good = np.concatenate([crf.marginals(chain, chain.emissions(x[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
         lines = np.where(doc == 1, 1, good > 0.5).astype(int)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):  # some line must be bad
@@ -132,7 +133,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs (with a column text) with the column score, from 0 to 1, of every whole text.
 
-    Null texts count as empty; repeated rows and nulls in other columns pass through.
+    Null and empty texts get the share of good ones among such rows of the sample; very long texts are read whole, line by
+    line; repeated rows and nulls in other columns pass through; an empty table gives none. A column of docs that is named
+    score is replaced.
     """
 
     def make():
