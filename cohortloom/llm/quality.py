@@ -22,7 +22,8 @@ from cohortloom.llm.common import labelled_sample, map_text
 
 #: Bounds of the sample that is fitted: rows of each class, characters and lines of a row. So the driver gets 2 x 1,500 x 200 lines at most, 130 MB.
 PER_CLASS, MAX_CHARS, MAX_LINES = 1500, 40_000, 200
-REFITS, ROUNDS, REFIT_ROUNDS = 2, 100, 40
+#: Refits, rounds of the first fit and of others, and lines of a sequence in fitting (scoring takes all lines of a text as one).
+REFITS, ROUNDS, REFIT_ROUNDS, WINDOW = 2, 100, 40, 16
 #: Frequent words of the four languages (fixed values).
 COMMON = frozenset(
     "the of and to in is it that for was on are as with this be by at from or an a un une le la les des de du et en est que qui pour dans sur par au avec ce se"
@@ -118,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "
     doc = np.repeat([y for *_, y in rows], sizes)
     lines, cuts, chain = doc.copy(), np.cumsum([0, *sizes]), None
     for _ in range(1 + REFITS):
-        chain = crf.fit(x, lines, sizes, rounds=ROUNDS if chain is None else REFIT_ROUNDS, begin=chain)
+        chain = crf.fit(x, lines, sizes, rounds=ROUNDS if chain is None else REFIT_ROUNDS, begin=chain, window=WINDOW)
         good = np.concatenate([crf.marginals(chain, chain.emissions(x[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
         lines = np.where(doc == 1, 1, good > 0.5).astype(int)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):  # some line must be bad

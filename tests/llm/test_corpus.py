@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html.parser
 import itertools
 import random
 import zlib
@@ -466,6 +467,93 @@ def test_pages_of_all_kinds(spark, articles):
     assert html_extract.main_text(df.limit(0), articles).count() == 0
 
 
+class Cutter(html.parser.HTMLParser):
+    """Blocks of pages whose tags are all closed, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.parts, self.raw = [], [], 0
+
+    def cut(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.RAW:
+            self.raw += 1
+        elif tag == "br":
+            self.parts.append("\n")
+        elif tag not in html_extract.INLINE:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.RAW:
+            self.raw -= 1
+        elif tag not in html_extract.INLINE:
+            self.cut()
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.parts.append(data)
+
+
+def test_blocks_against_a_parser():
+    r = random.Random(11)
+
+    def made(depth):
+        if depth > 5 or r.random() < 0.3:
+            return r.choice(["some  words", "a &amp; b", "&lt;p&gt; &eacute;&#233;", "x <b>bold</b> y", "<a href='/x?a=1&b=2'>link</a> on", "one<br>two", "<!-- no --> yes", "<script>if (a<b) {}</script>s", " \n\t"])
+        tag = r.choice(["div", "p", "section", "ul", "article", "span", "em"]) if depth else "body"
+        inside = "".join(made(depth + 1 + 5 * (tag == "p")) for _ in range(r.randint(1, 4)))  # a p holds no blocks
+        return f"<{tag} class='c{r.randrange(3)}' data-x=\"a>b\">{inside}</{tag}>"
+
+    for _ in range(200):
+        page, cutter = made(0), Cutter()
+        cutter.feed(page)
+        cutter.close()
+        cutter.cut()
+        assert [b[0] for b in html_extract.blocks(page)] == cutter.out, page
+
+
+def test_depth_changes_nothing(articles):
+    prose = "It was a long day, and nobody had come to the harbour. The boats lay still, as they had for weeks. "
+    inside = f"<div class='menu'><ul><li><a href='/'>Home</a></li></ul></div><article><h1>The harbour</h1><p>{prose * 2}</p><p>{prose}</p></article><aside class='sidebar'><p>Buy boats now</p></aside>"
+    want = articles.text(f"<html><body>{inside}</body></html>")
+    assert "harbour" in want and "Home" not in want and "Buy" not in want
+    for n in (10, 140, 5000):
+        assert articles.text("<html><body>" + "<div>" * n + inside + "</div>" * n + "</body></html>") == want
+        assert articles.text("<html><body>" + "</section>" * n + inside + "</body></html>") == want
+    import time
+
+    began = time.time()
+    html_extract.blocks("<div>x" * 100_000 + "</b></p></div>" * 100_000)
+    assert time.time() - began < 20
+
+
+S = "The council met on Tuesday to talk about the bridge, which has been closed since March. "
+#: Hand-made pages of layouts that the generator does not make, with their main text.
+PAGES = [
+    (f"<html><body><table width=100%><tr><td bgcolor=#eee><a href=1>News</a><br><a href=2>Sport</a></td><td><font size=5>Bridge closed</font><p>{S * 3}<p>{S * 2}</td></tr></table><center>Copyright 1999</center></body></html>", ["Bridge closed", (S * 3).strip(), (S * 2).strip()]),
+    (f"<body><div id=wrap><div id=hd><a href=/>Site</a></div><div id=bd><div class=story><h2>A bridge</h2><p>{S * 2}</p><ul><li>First point, which is long enough.</li><li>Second point, which is too.</li></ul><p>{S}</p></div></div><div id=ft>All rights reserved</div></div></body>", ["A bridge", (S * 2).strip(), "First point, which is long enough.", "Second point, which is too.", S.strip()]),
+    (f"<body><header><nav><a href=a>One</a> <a href=b>Two</a></nav></header><main><article><header><h1>On bridges</h1></header><p>{S}</p><p>{S * 4}</p></article></main><footer><p>Contact us by post.</p></footer></body>", ["On bridges", S.strip(), (S * 4).strip()]),
+    (f"<body><div class='cookie-banner'>We use cookies. <button>OK</button></div><div class='post-body entry-content'><p>{S * 2}</p><blockquote>{S}</blockquote><p>{S * 3}</p></div><div id=comments><h3>2 comments</h3><div class=comment><p>Great bridge, thanks!</p></div></div></body>", [(S * 2).strip(), S.strip(), (S * 3).strip()]),
+    (f"<body><p>{S * 2}</p><p>{S}</p></body>", [(S * 2).strip(), S.strip()]),
+    (f"<body><div class=page><div class=left-nav><a href=x>Archive</a><a href=y>Tags</a></div><section class=body-text><h1>Open again</h1><p>{S}</p><pre>load = 40 t</pre><p>{S * 2}</p></section><div class=related-links><a href=q>More on bridges</a></div></div></body>", ["Open again", S.strip(), "load = 40 t", (S * 2).strip()]),
+    (f"<body><form action=/s><input name=q><button>Search</button></form><div role=main><h1>Report</h1><div>{S * 3}</div><div>{S * 2}</div></div><div class=newsletter-signup><p>Subscribe to our letters.</p></div></body>", ["Report", (S * 3).strip(), (S * 2).strip()]),
+]
+
+
+def test_hand_made_pages(articles):
+    hit = given = wanted = 0
+    for page, want in PAGES:
+        got = articles.text(page).split("\n\n")
+        hit, given, wanted = hit + len(set(got) & set(want)), given + len([g for g in got if g]), wanted + len(want)
+    f1 = 2 * hit / (given + wanted)
+    print(f"block F1 of hand-made pages {f1:.3f}: {hit} of {wanted}, {given} given")
+    assert f1 > 0.85
+
+
 # 5 top-k
 
 
@@ -485,6 +573,12 @@ def test_top_k_against_all_pairs(spark):
     assert vafile.exact_top_k(vafile.integer_vectors(df.limit(0), "vec_id", "embedding"), "vec_id % 50 = 0").count() == 0
 
 
+def test_products_beyond_a_long_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="do not fit"):
+        vafile.exact_top_k(vafile.integer_vectors(df, "vec_id", "embedding"), "vec_id % 50 = 0")
+
+
 def test_bounds_hold_and_spare_reading():
     r = np.random.default_rng(1)
     x, q = r.integers(-300, 300, (500, 16)), r.integers(-300, 300, (20, 16))
@@ -599,6 +693,15 @@ def test_quality_learns_lines(spark, corpus):
     assert {x["score"] for x in quality.score_quality(docs.limit(3).select("doc_id", "text"), none).collect()} == {0.5}
 
 
+def test_sample_is_bounded_in_lines(spark):
+    made = [(k, "\n".join(["The house of the river is old."] * (3 if k % 4 else 400)), k % 2) for k in range(40)]
+    docs, labels = docs_of(spark, [(k, t) for k, t, _ in made]), spark.createDataFrame([(k, y) for k, _, y in made], "doc_id long, quality int")
+    few = quality.fit_quality(docs.where("doc_id % 4 <> 0"), labels, F.lit(True))
+    all_ = quality.fit_quality(docs, labels, F.lit(True))
+    assert np.allclose(few.chain.weights, all_.chain.weights)  # rows of many lines are left out of the fit
+    assert quality.score_quality(docs, all_).count() == 40
+
+
 # 9 BPE
 
 
@@ -677,3 +780,23 @@ def test_a_hot_group_leaves_the_other_shards_even(spark):
         load[x["shard"]] += x["size"]
     rest = sorted(load.values())[:-1]
     assert len(load) == 8 and max(rest) < 1.2 * sum(rest) / 7
+
+
+def test_repeats_of_one_row_are_numbered(spark):
+    df = docs_of(spark, [(1, "same")] * 500 + [(2, "same")] * 3 + [(3, None), (None, None), (4, "x")])
+    out = sharding.shard(df, shards=3, atoms=8).collect()
+    slots = collections.defaultdict(list)
+    for x in out:
+        slots[x["shard"]].append(x["slot"])
+    assert len(out) == 506 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_are_runs_of_the_order():
+    r = random.Random(3)
+    for _ in range(100):
+        atoms = [(k, r.randint(0, 30)) for k in range(r.randint(300, 400))] + [(1000 + k, 9000) for k in range(r.randint(0, 2))]
+        found = sharding.assign(atoms, 8)
+        large = [a for a, _ in atoms if a >= 1000]
+        if large:
+            rest = [found[a] for a, _ in atoms if a < 1000]
+            assert rest == sorted(rest) and {found[a] for a in large} == set(range(len(large)))
