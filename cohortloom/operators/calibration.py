@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import dataclass, field
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.vectors import binary_entropy
-from cohortloom.operators.metrics import curve
+from cohortloom.operators.cohorts import ContractError
+from cohortloom.operators.metrics import at_threshold, curve
+
+#: Columns that an isotonic model reads and makes.
+FEATURE, OUTPUT = "_calibrator_in", "_calibrator_out"
 
 
 def select_threshold(rows: DataFrame, how: str = "youden", least: float = 0.9) -> DataFrame:
@@ -44,31 +52,68 @@ def method_for(n: int, n_classes: int) -> str:
     return "none" if n_classes < 2 or n < 20 else "isotonic" if n >= 200 else "sigmoid"
 
 
-def fit_calibrator(rows: DataFrame, method: str | None = None) -> tuple[str, list[float], list[float]]:
-    """(method, xs, ys): xs and ys are isotonic knots, or slope and constant of the sigmoid; for apply_calibrator()."""
+@dataclass
+class Calibrator:
+    """A fitted map of probabilities: none, sigmoid (slope and constant) or isotonic (Spark's model, which interpolates between its steps)."""
+
+    method: str
+    slope: float = 0.0
+    constant: float = 0.0
+    model: IsotonicRegressionModel | None = None
+
+    def apply(self, rows: DataFrame, column: str = "y_prob") -> DataFrame:
+        """rows with the column calibrated."""
+        if self.method == "sigmoid":
+            return rows.withColumn(column, 1 / (1 + F.exp(-(F.lit(self.slope) * F.col(column) + self.constant))))
+        if self.method == "isotonic":
+            return self.model.transform(rows.withColumn(FEATURE, F.col(column).cast("double"))).withColumn(column, F.col(OUTPUT)).drop(FEATURE, OUTPUT)
+        return rows
+
+    def describe(self) -> dict:
+        """What identifies it: the numbers, or a digest of the steps."""
+        steps = [] if self.model is None else [[float(x) for x in self.model.boundaries], [float(y) for y in self.model.predictions]]
+        return {"method": self.method, "slope": self.slope, "constant": self.constant, "steps": hashlib.sha256(json.dumps(steps).encode()).hexdigest()}
+
+
+def fit_calibrator(rows: DataFrame, method: str | None = None) -> Calibrator:
+    """Fitted on (y_true, y_prob); equal probabilities are one weighted row of the isotonic fit."""
     n = rows.agg(F.count("*").alias("n"), F.count_distinct("y_true").alias("k")).first()
     method = method or method_for(n["n"], n["k"])
-    data = rows.select(F.col("y_true").cast("double").alias("label"), F.col("y_prob").cast("double").alias("p"))
+    data = rows.select(F.col("y_true").cast("double").alias("label"), F.col("y_prob").cast("double").alias(FEATURE))
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol="p", labelCol="label").fit(data)
-        return method, [float(x) for x in model.boundaries], [float(y) for y in model.predictions]
+        weighted = data.groupBy(FEATURE).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("w"))
+        return Calibrator(method, model=IsotonicRegression(featuresCol=FEATURE, labelCol="label", weightCol="w", predictionCol=OUTPUT).fit(weighted))
     if method == "sigmoid":
-        model = LogisticRegression(regParam=1.0 / n["n"], standardization=False, maxIter=200, tol=1e-10).fit(data.select("label", array_to_vector(F.array("p")).alias("features")))
-        return method, [float(model.coefficients[0])], [float(model.intercept)]
-    return "none", [], []
+        model = LogisticRegression(regParam=1.0 / n["n"], standardization=False, maxIter=200, tol=1e-10).fit(data.select("label", array_to_vector(F.array(FEATURE)).alias("features")))
+        return Calibrator(method, float(model.coefficients[0]), float(model.intercept))
+    return Calibrator("none")
 
 
-def apply_calibrator(p: Column, fitted: tuple[str, list[float], list[float]]) -> Column:
-    """The calibrated probability, as an expression: interpolation between knots, or the sigmoid."""
-    method, xs, ys = fitted
-    if method == "none":
-        return p
-    if method == "sigmoid":
-        return 1 / (1 + F.exp(-(F.lit(xs[0]) * p + ys[0])))
-    knots = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in zip(xs, ys, strict=True)))
-    below, above = F.filter(knots, lambda k: k["x"] <= p), F.filter(knots, lambda k: k["x"] > p)
-    a, b = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
-    return F.when(a.isNull(), F.lit(ys[0])).when(b.isNull(), F.lit(ys[-1])).otherwise(a["y"] + (b["y"] - a["y"]) * (p - a["x"]) / (b["x"] - a["x"]))
+@dataclass(frozen=True)
+class FrozenPolicy:
+    """A calibrator and a threshold, both from development rows, bound by a fingerprint; it may judge test rows once."""
+
+    calibrator: Calibrator
+    threshold: float
+    strategy: str
+    used: list = field(default_factory=list, compare=False)
+
+    @property
+    def fingerprint(self) -> str:
+        return hashlib.sha256(json.dumps({"calibrator": self.calibrator.describe(), "threshold": self.threshold, "strategy": self.strategy}, sort_keys=True).encode()).hexdigest()
+
+    def evaluate(self, test: DataFrame, by: list[str] = ()) -> DataFrame:
+        """(by, metrics at the threshold, threshold) of test rows; a second call is an error."""
+        if self.used:
+            raise ContractError("this policy has judged its test rows")
+        self.used.append(True)
+        return at_threshold(self.calibrator.apply(test), self.threshold, by).withColumn("threshold", F.lit(self.threshold))
+
+
+def freeze(development: DataFrame, strategy: str = "youden", method: str | None = None, least: float = 0.9) -> FrozenPolicy:
+    """The policy that (y_true, y_prob) of development rows give."""
+    fitted = fit_calibrator(development, method)
+    return FrozenPolicy(fitted, float(select_threshold(fitted.apply(development), strategy, least).first()["threshold"]), strategy)
 
 
 def uncertainty(rows: DataFrame) -> DataFrame:
@@ -77,9 +122,9 @@ def uncertainty(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"entropy": binary_entropy(F.col("y_prob")), "confidence": F.greatest(p, 1 - p), "logit": F.log(p / (1 - p) + 1e-12)})
 
 
-def abstention_threshold(development: DataFrame, coverage: float) -> DataFrame:
-    """One row t: the quantile of uncertainty that keeps the given share."""
-    return development.agg(F.percentile("u", coverage).alias("t"))
+def abstention_threshold(development: DataFrame, coverage: float, by: list[str] = ()) -> DataFrame:
+    """(by, t): the quantile of uncertainty that keeps the given share."""
+    return development.groupBy(*by).agg(F.percentile("u", coverage).alias("t"))
 
 
 def apply_abstention(rows: DataFrame, threshold: DataFrame) -> DataFrame:

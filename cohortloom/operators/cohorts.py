@@ -18,6 +18,13 @@ def require_none(df: DataFrame, holds: Column, what: str) -> DataFrame:
     return df
 
 
+def policy_violations(cells: DataFrame, bulk: str = "is_pseudo_bulk") -> DataFrame:
+    """(policy, n_rows, n_violations, admitted) of each policy that can be trained on."""
+    n = cells.agg(F.count("*").alias("n"), F.count_if(F.col(bulk)).alias("bulk"), F.count_if(~F.col(bulk)).alias("single"))
+    each = n.select("n", F.explode(F.array(F.struct(F.lit("single_cell_only").alias("policy"), F.col("bulk").alias("bad")), F.struct(F.lit("bulk_only").alias("policy"), F.col("single").alias("bad")))).alias("p"))
+    return each.select("p.policy", F.col("n").alias("n_rows"), F.col("p.bad").alias("n_violations"), (F.col("p.bad") == 0).alias("admitted"))
+
+
 def assert_rows_match_policy(cells: DataFrame, policy: str, bulk: str = "is_pseudo_bulk") -> DataFrame:
     """single_cell_only admits no bulk row, bulk_only no cell row; other policies can't be trained on."""
     if policy == "single_cell_only":

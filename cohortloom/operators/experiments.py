@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.draws import draw
+from cohortloom.functions.parse import is_placeholder
 from cohortloom.operators import calibration, cohorts, matrix, metrics, models, resampling, splits
 
 
@@ -35,7 +36,7 @@ def cross_validate(rows: DataFrame, kinds: list[str], folds: int, seeds: list[in
     out = None
     for seed in seeds:
         fold = splits.grouped_folds(rows.select("subject_id", F.col("y_true").alias("label")), folds, seed).select("subject_id", "fold")
-        dealt = rows.join(fold, "subject_id")
+        dealt = rows.join(fold, "subject_id").persist()  # read once for all candidates and folds
         for kind in kinds:
             got = fit(dealt, kind, seed)
             part = metrics.ranking_metrics(got, ["fold"]).join(got.groupBy("fold").agg(F.count("*").alias("n")), "fold").select(F.lit(kind).alias("candidate"), F.lit(seed).alias("seed"), "fold", "n", "auroc")
@@ -65,23 +66,21 @@ def develop(rows: DataFrame, kinds: list[str], folds: int, seeds: list[int], bas
     return models.final_rank(ranked[0].withColumnRenamed("mean", "metric")), ranked[1]
 
 
-def frozen_evaluation(development: DataFrame, test: DataFrame, kind: str, seed: int = 0, how: str = "youden") -> DataFrame:
+def frozen_evaluation(development: DataFrame, test: DataFrame, kind: str, seed: int = 0, how: str = "youden", method: str | None = None) -> DataFrame:
     """One row of test metrics. Calibrator and threshold come from out-of-fold predictions of the development rows alone."""
-    oof = models.out_of_fold(development, kind, seed).select("y_true", "y_prob")
-    fitted = calibration.fit_calibrator(oof)
-    calibrated = oof.withColumn("y_prob", calibration.apply_calibrator(F.col("y_prob"), fitted))
-    t = calibration.select_threshold(calibrated, how).first()["threshold"]
-    final = models.fit_candidate(development, kind, seed).predict(test).select("subject_id", "y_true", calibration.apply_calibrator(F.col("y_prob"), fitted).alias("y_prob"))
-    return metrics.at_threshold(final, t).crossJoin(metrics.ranking_metrics(final)).crossJoin(metrics.calibration_error(final)).withColumn("threshold", F.lit(t))  # one row each
+    policy = calibration.freeze(models.out_of_fold(development, kind, seed).select("y_true", "y_prob"), how, method)
+    raw = models.fit_candidate(development, kind, seed).predict(test).select("subject_id", "y_true", "y_prob")
+    final = policy.calibrator.apply(raw)
+    return policy.evaluate(raw).crossJoin(metrics.ranking_metrics(final)).crossJoin(metrics.calibration_error(final))  # one row each
 
 
-def source_predictability(rows: DataFrame, seed: int = 0) -> DataFrame:
+def source_predictability(rows: DataFrame, seed: int = 0, kind: str = "random_forest", **params) -> DataFrame:
     """One row (accuracy, baseline): how well features tell the sources apart, and after the sources are permuted."""
 
     def accuracy(df: DataFrame) -> DataFrame:
         index = {s: float(k) for k, s in enumerate(sorted(r["source"] for r in df.select("source").distinct().collect()))}
         y = F.create_map(*[F.lit(x) for kv in index.items() for x in kv])[F.col("source")]
-        out = models.out_of_fold(df.withColumn("y_true", y), "random_forest", seed, numTrees=20, maxDepth=4)
+        out = models.out_of_fold(df.withColumn("y_true", y), kind, seed, **params)
         return out.agg(F.avg((F.col("y_pred") == F.col("y_true")).cast("double")).alias("a"))
 
     mixed = rows.drop("source").join(splits.permuted(rows.select("subject_id", "source"), "subject_id", "source", seed), "subject_id")
@@ -148,3 +147,35 @@ def intervals_overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) ->
 def namespaced(subject: Column, species: Column) -> Column:
     """Mouse subjects get the prefix mouse::, once."""
     return F.when((species == "mouse") & ~subject.startswith("mouse::"), F.concat(F.lit("mouse::"), subject)).otherwise(subject)
+
+
+def source_ablation(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(arm, n, balanced_accuracy, change): at the threshold over all of (source, y_true, y_prob), and without each source; change is against all.
+
+    A row goes to the arms that keep it, so all arms are one pass; there are as many as sources and one.
+    """
+    arms = rows.select(F.col("source").alias("arm")).distinct().agg(F.array_sort(F.collect_list("arm")).alias("arms"))
+    dealt = rows.join(F.broadcast(arms)).select("y_true", "y_prob", F.explode(F.concat(F.array(F.lit("all")), F.transform(F.filter("arms", lambda a: a != F.col("source")), lambda a: F.concat(F.lit("without "), a)))).alias("arm"))
+    at = metrics.at_threshold(dealt, threshold, ["arm"]).select("arm", "n", ((F.col("sensitivity") + F.col("specificity")) / 2).alias("balanced_accuracy"))
+    whole = at.where("arm = 'all'").select(F.col("balanced_accuracy").alias("whole"))
+    return at.crossJoin(F.broadcast(whole)).select("arm", "n", "balanced_accuracy", (F.col("balanced_accuracy") - F.col("whole")).alias("change"))  # one row
+
+
+def context_problems(cells: DataFrame, manifest: DataFrame, bags: DataFrame) -> DataFrame:
+    """(subject_id, problem): what keeps cells (subject_id, split), a manifest (subject_id, split) and bags (subject_id, split) from being one experiment.
+
+    overlap: in several splits; unexpected, missing: cells and manifest differ; placeholder: a name that stands for none.
+    """
+    seen = cells.select("subject_id", "split").distinct()
+    both = seen.select("subject_id", "split").unionByName(bags.select("subject_id", "split")).distinct()
+    overlap = both.groupBy("subject_id").agg(F.count_distinct("split").alias("n")).where("n > 1").select("subject_id", F.lit("overlap").alias("problem"))
+    unexpected = seen.join(manifest, ["subject_id", "split"], "left_anti").select("subject_id", F.lit("unexpected").alias("problem"))
+    missing = manifest.join(seen, ["subject_id", "split"], "left_anti").select("subject_id", F.lit("missing").alias("problem"))
+    blank = both.where(is_placeholder(F.col("subject_id"))).select("subject_id", F.lit("placeholder").alias("problem"))
+    return overlap.unionAll(unexpected).unionAll(missing).unionAll(blank).distinct()
+
+
+def require_inductive(transductive: bool, where: str) -> None:
+    """Batch correction over all rows has no place where folds or a frozen test are promised."""
+    if transductive:
+        raise cohorts.ContractError(f"{where}: batch correction over all rows leaks across splits")

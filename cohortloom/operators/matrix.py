@@ -26,12 +26,15 @@ def log_normalize(counts: DataFrame, target: float = TARGET) -> DataFrame:
 
 
 def gene_stats(expr: DataFrame, cells: DataFrame) -> DataFrame:
-    """(gene, mean, std) over all of `cells`: absent values count as zeros, deviations are of the population, and 0 becomes 1."""
+    """(gene, mean, std) over all of `cells`: absent values count as zeros, deviations are of the population, and 0 becomes 1.
+
+    Variances come from those of the values that are there, corrected for the absent ones, so large means cancel nothing out.
+    """
     n = cells.select("cell_id").distinct().agg(F.count("*").alias("n"))
-    sums = expr.join(cells.select("cell_id").distinct(), "cell_id", "left_semi").groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
-    return sums.join(F.broadcast(n)).select("gene", mean.alias("mean"), F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
+    there = expr.join(cells.select("cell_id").distinct(), "cell_id", "left_semi").groupBy("gene").agg(F.count("value").alias("k"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    share = F.col("k") / F.col("n")
+    std = F.sqrt(share * F.col("v") + share * (1 - share) * F.col("m") * F.col("m"))
+    return there.join(F.broadcast(n)).select("gene", (share * F.col("m")).alias("mean"), F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
 
 
 def top_variance(expr: DataFrame, cells: DataFrame, n: int) -> DataFrame:
@@ -39,19 +42,37 @@ def top_variance(expr: DataFrame, cells: DataFrame, n: int) -> DataFrame:
     return gene_stats(expr, cells).select("gene", (F.col("std") * F.col("std")).alias("variance")).orderBy(F.desc(F.round("variance", 9)), "gene").limit(n)
 
 
-def highly_variable(expr: DataFrame, n: int, markers: list[str] = (), bins: int = 20) -> DataFrame:
-    """The n genes of largest dispersion, normalised within bins of equal width of the mean, in gene order.
+def dispersions(expr: DataFrame, bins: int = 20, by: list[str] = ()) -> DataFrame:
+    """(by, gene, z): dispersion of each gene, normalised within bins of equal width of the mean (right-closed, as the lowest is).
 
-    expr holds log-normalised values; means and sample variances are of exp(value) - 1. A bin with one gene has
-    normalised dispersion 0. Markers that the panel lacks replace its last genes in gene order that are no markers.
+    expr holds log-normalised values; means and sample variances are of exp(value) - 1, and the logarithm of their ratio is
+    compared with its bin. A bin with one gene gives 1; a gene that does not vary has no dispersion.
+    """
+    by = list(by)
+    m = expr.groupBy(*by, "gene").agg(F.avg(F.expm1("value")).alias("mean"), F.var_samp(F.expm1("value")).alias("var"))
+    ratio = F.col("var") / F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean"))
+    m = m.select(*by, "gene", F.round(F.log1p("mean"), 9).alias("m"), F.when(ratio > 0, F.log(ratio)).alias("d"))
+    edges = m.groupBy(*by).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    m = m.join(F.broadcast(edges), by) if by else m.join(F.broadcast(edges))
+    place = F.ceil((F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) - 1
+    m = m.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0), F.least(F.lit(bins - 1), place))).otherwise(0))
+    w = Window.partitionBy(*by, "bin")
+    z = F.when(F.count("d").over(w) == 1, F.when(F.col("d").isNotNull(), 1.0)).otherwise((F.col("d") - F.avg("d").over(w)) / F.nullif(F.stddev_samp("d").over(w), F.lit(0.0)))
+    return m.withColumn("z", z).select(*by, "gene", "z")
+
+
+def highly_variable(expr: DataFrame, n: int, markers: list[str] = (), bins: int = 20, batch: str | None = None) -> DataFrame:
+    """The n genes of largest normalised dispersion, ties in gene order.
+
+    With a batch column genes are ranked within each batch; those that are among the n of more batches come first, then those
+    of larger mean dispersion. Markers that the panel lacks replace its last genes in gene order that are no markers.
     """
-    m = expr.groupBy("gene").agg(F.avg(F.expm1("value")).alias("mean"), F.var_samp(F.expm1("value")).alias("var"))
-    m = m.select("gene", F.log1p(F.greatest("mean", F.lit(0.0))).alias("m"), F.log(F.greatest(F.col("var") / F.greatest(F.col("mean"), F.lit(1e-12)), F.lit(1e-12))).alias("d"))
-    edges = m.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
-    m = m.join(F.broadcast(edges)).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.round("m", 9) - F.round("lo", 9)) / F.greatest(F.round("hi", 9) - F.round("lo", 9), F.lit(1e-9)) * bins)))
-    w = Window.partitionBy("bin")
-    m = m.withColumn("z", F.coalesce((F.col("d") - F.avg("d").over(w)) / F.nullif(F.stddev_samp("d").over(w), F.lit(0.0)), F.lit(0.0)))
-    ranked = m.orderBy(F.desc(F.round("z", 6)), "gene").limit(n).select("gene").withColumn("marker", F.col("gene").isin(list(markers)) if markers else F.lit(False))
+    if batch is None:
+        order = dispersions(expr, bins).select("gene", F.lit(1).alias("k"), F.round("z", 6).alias("z"))
+    else:
+        own = F.row_number().over(Window.partitionBy(batch).orderBy(F.desc_nulls_last(F.round("z", 6)), "gene"))
+        order = dispersions(expr, bins, [batch]).withColumn("r", own).groupBy("gene").agg(F.count_if((F.col("r") <= n) & F.col("z").isNotNull()).alias("k"), F.round(F.avg("z"), 6).alias("z"))
+    ranked = order.orderBy(F.desc("k"), F.desc_nulls_last("z"), "gene").limit(n).select("gene").withColumn("marker", F.col("gene").isin(list(markers)) if markers else F.lit(False))
     if not markers:
         return ranked.select("gene")
     wanted = expr.select("gene").distinct().where(F.col("gene").isin(list(markers)))
@@ -62,10 +83,16 @@ def highly_variable(expr: DataFrame, n: int, markers: list[str] = (), bins: int
 
 
 def scale(expr: DataFrame, cells: DataFrame, stats: DataFrame, most: float = 10.0) -> DataFrame:
-    """(cell_id, gene, value): (value - mean) / std, clipped, for every cell and every gene of stats; absent values are zeros before scaling."""
-    grid = cells.select("cell_id").distinct().join(F.broadcast(stats))
-    value = (F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.col("std")
-    return grid.join(expr.select("cell_id", "gene", "value"), ["cell_id", "gene"], "left").select("cell_id", "gene", F.greatest(F.lit(-most), F.least(F.lit(most), value)).alias("value"))
+    """(cell_id, gene, value): (value - mean) / std, clipped, for every cell and every gene of stats; absent values are zeros before scaling.
+
+    A cell's values of the panel are gathered in one map (the panel bounds it), and the panel is laid out against it: one
+    shuffle of what is there, none of the dense grid. (cell_id, gene) comes once.
+    """
+    panel = stats.agg(F.collect_list(F.struct("gene", "mean", "std")).alias("panel"))
+    there = expr.join(F.broadcast(stats.select("gene")), "gene", "left_semi").groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("has"))
+    laid = cells.select("cell_id").distinct().join(there, "cell_id", "left").join(F.broadcast(panel)).select("cell_id", "has", F.explode("panel").alias("g"))
+    value = (F.coalesce(F.try_element_at("has", F.col("g.gene")), F.lit(0.0)) - F.col("g.mean")) / F.col("g.std")
+    return laid.select("cell_id", F.col("g.gene").alias("gene"), F.greatest(F.lit(-most), F.least(F.lit(most), value)).alias("value"))
 
 
 def subject_gene_features(expr: DataFrame, cells: DataFrame) -> DataFrame:

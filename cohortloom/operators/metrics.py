@@ -47,11 +47,34 @@ def at_threshold(rows: DataFrame, t: float | Column, by: list[str] = ()) -> Data
     return agg.select(*by, ratio(tp, tp + fn).alias("sensitivity"), ratio(tn, tn + fp).alias("specificity"), ratio(tp, tp + fp).alias("ppv"), ratio(tn, tn + fn).alias("npv"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), (tp + fp + fn + tn).alias("n"))
 
 
+#: Ranges of probability that running sums are cut into; a power of two, so that a range is exact.
+RANGES = 1 << 16
+
+
 def curve(rows: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by, t, tp, fp, pos, neg): of each distinct probability t, how many of each class are at or above it."""
+    """(by, t, p, q, tp, fp, pos, neg): of each distinct probability t, how many of each class are at it, and at or above it.
+
+    Running sums go over the values of a range of probability; what lies above a range comes from the sums of the ranges, of
+    which there are RANGES at most. So no window holds all distinct values.
+    """
+    by = list(by)
     each = rows.groupBy(*by, F.col("y_prob").alias("t")).agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("q"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("t")), Window.partitionBy(*by)
-    return each.select(*by, "t", "p", "q", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("q").over(whole).alias("neg"))
+    each = each.withColumn("_r", F.greatest(F.lit(0), F.least(F.lit(RANGES), F.floor(F.col("t") * RANGES))))
+    ranges = each.groupBy(*by, "_r").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    above, whole = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    ranges = ranges.select(*by, "_r", zero(F.sum("_p").over(above)).alias("_a"), zero(F.sum("_q").over(above)).alias("_b"), F.sum("_p").over(whole).alias("pos"), F.sum("_q").over(whole).alias("neg"))
+    down = Window.partitionBy(*by, "_r").orderBy(F.desc("t"))
+    inside = each.select(*by, "_r", "t", "p", "q", F.sum("p").over(down).alias("_tp"), F.sum("q").over(down).alias("_fp"))
+    return inside.join(ranges, [*by, "_r"]).select(*by, "t", "p", "q", (F.col("_a") + F.col("_tp")).alias("tp"), (F.col("_b") + F.col("_fp")).alias("fp"), "pos", "neg")
+
+
+def threshold_counts(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(t, tp, fp) for each of a few thresholds, in their order from 1: rows are counted by interval first, and the grid meets the intervals."""
+    k = sum((F.col("y_prob") >= t).cast("int") for t in thresholds)
+    counts = rows.groupBy(k.alias("k")).agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("q"))
+    grid = rows.sparkSession.range(1, len(thresholds) + 1).select(F.col("id").cast("int").alias("t"))
+    return grid.join(F.broadcast(counts), F.col("k") >= F.col("t"), "left").groupBy("t").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("tp"), F.coalesce(F.sum("q"), F.lit(0)).alias("fp"))
 
 
 def ranking_metrics(rows: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.vectors import dot
+
 
 @dataclass
 class GatedAttention:
@@ -85,8 +87,9 @@ def gradient(cells: DataFrame, outcomes: DataFrame, model: GatedAttention) -> np
         for batch in batches:
             x, z = (np.array(batch[c].tolist(), float).reshape(len(batch), -1) for c in ("x", "z"))
             t, g = np.tanh(x @ model.v.T), 1 / (1 + np.exp(-x @ model.u.T))
-            a = np.exp(np.clip((t * g) @ model.w, -30, 30)) / batch["norm"].to_numpy()
-            ds = batch["error"].to_numpy() * a * ((x - z) @ model.c)
+            s = (t * g) @ model.w
+            a = np.exp(np.clip(s, -30, 30)) / batch["norm"].to_numpy()
+            ds = np.where(np.abs(s) < 30, batch["error"].to_numpy() * a * ((x - z) @ model.c), 0.0)  # beyond, the score is clipped and has no slope
             dv, du = (ds[:, None] * model.w * g * (1 - t * t)).T @ x, (ds[:, None] * model.w * t * g * (1 - g)).T @ x
             total += np.concatenate([dv.ravel(), du.ravel(), (ds[:, None] * t * g).sum(axis=0)])
         yield pd.DataFrame({"g": [total.tolist()]})
@@ -115,9 +118,9 @@ def fit(cells: DataFrame, outcomes: DataFrame, dims: int, hidden: int = 8, round
 
 def dropout_report(cells: DataFrame, model: GatedAttention, passes: int, drop: float, seed: int = 0) -> DataFrame:
     """(subject_id, mean, variance): over passes, each with its own inputs dropped from the classifier; population variance."""
-    out = None
-    for k in range(passes):
-        mask = np.random.default_rng((seed, k)).random(len(model.c)) >= drop
-        one = predict(cells, GatedAttention(model.v, model.u, model.w, model.c * mask / (1 - drop), model.b))
-        out = one if out is None else out.unionAll(one)
+    masks = [np.random.default_rng((seed, k)).random(len(model.c)) >= drop for k in range(passes)]
+    weights = F.array(*(F.array(*(F.lit(float(c)) for c in model.c * mask / (1 - drop))) for mask in masks))
+    # subjects are pooled once; a mask touches the classifier alone
+    each = subject_vectors(cells, model).select("subject_id", "z", F.explode(weights).alias("c"))
+    out = each.select("subject_id", (1 / (1 + F.exp(-(dot(F.col("z"), F.col("c")) + model.b)))).alias("y_prob"))
     return out.groupBy("subject_id").agg(F.avg("y_prob").alias("mean"), F.var_pop("y_prob").alias("variance"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.vectors import dot, softmax, total
+from cohortloom.operators.cohorts import ContractError
 from cohortloom.operators.metrics import ranking_metrics
 
 #: Parameters that are searched for each candidate.
@@ -42,7 +43,7 @@ def _weights(label: str, counts: dict[float, int]) -> Column:
 
 
 def fit_candidate(train: DataFrame, kind: str, seed: int = 0, label: str = "y_true", features: str = "features", **params) -> Fitted:
-    """majority, prevalence, logistic, random_forest, gradient_boosting or small_mlp; one class alone gives a constant.
+    """majority, prevalence, centroid (two classes), logistic, random_forest, gradient_boosting or small_mlp; one class alone gives a constant.
 
     train: label (double from 0) and a vector column. Class weights are inverse to frequency; features are scaled on train alone.
     """
@@ -61,6 +62,8 @@ def _fit(base: DataFrame, kind: str, seed: int, features: str, params: dict) ->
         return _constant(kind, 1.0 if top == 1.0 else 0.0, top)
     if kind == "prevalence":
         return _constant(kind, share, top)
+    if kind == "centroid":
+        return _centroid(base, features)
     data = base.withColumn("w", _weights("label", counts))
     scaler = StandardScaler(inputCol=features, outputCol="_scaled", withMean=True, withStd=True)
     k = int(max(counts)) + 1
@@ -87,6 +90,32 @@ def _fit(base: DataFrame, kind: str, seed: int, features: str, params: dict) ->
     return Fitted(kind, predict, model)
 
 
+def _centroid(base: DataFrame, features: str) -> Fitted:
+    """The nearest of two class means: the logistic of half the difference of squared distances. Deterministic and without search."""
+    x = base.select("label", F.posexplode(vector_to_array(features)).alias("k", "x"))
+    sums = x.groupBy("k").agg(F.avg(F.when(F.col("label") == 1, F.col("x"))).alias("a"), F.avg(F.when(F.col("label") != 1, F.col("x"))).alias("b")).orderBy("k").collect()  # a row a feature
+    w, c = [r["a"] - r["b"] for r in sums], sum(r["b"] ** 2 - r["a"] ** 2 for r in sums) / 2
+
+    def predict(df: DataFrame) -> DataFrame:
+        p = 1 / (1 + F.exp(-(dot(vector_to_array(features), F.array(*map(F.lit, w))) + F.lit(c))))
+        return df.withColumn("y_prob", p).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("double"))
+
+    return Fitted("centroid", predict)
+
+
+def candidate_kind(name: str, n_classes: int, has_modules: bool) -> str:
+    """The candidate that a configured name stands for, or an error where the data cannot carry it."""
+    known = {"majority", "prevalence", "centroid", "logistic", "random_forest", "gradient_boosting", "small_mlp", "attention", "module_attention"}
+    name = {"lr": "logistic", "rf": "random_forest", "gbt": "gradient_boosting", "mlp": "small_mlp"}.get(name.strip().lower(), name.strip().lower())
+    if name not in known:
+        raise ContractError(f"no candidate {name}")
+    if name.startswith("module") and not has_modules:
+        raise ContractError(f"{name} needs modules")
+    if name in ("centroid", "attention", "module_attention") and n_classes != 2:
+        raise ContractError(f"{name} needs two classes")
+    return name
+
+
 def out_of_fold(rows: DataFrame, kind: str, seed: int = 0, **params) -> DataFrame:
     """Each row predicted once, by a model of the other folds; rows has `fold`, a small number of values."""
     out = None

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.draws import draw_u32
 from cohortloom.operators.metrics import ranking_metrics
-from cohortloom.operators.splits import numbered, permuted
+from cohortloom.operators.splits import numbered
 
 
 def resamples(rows: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
@@ -51,7 +51,7 @@ def grouped_bootstrap(rows: DataFrame, key: str, value: Column, by: str, n_boot:
     keyed = rows.select(F.col(by).alias("_g"), F.col(key).alias("_key"), value.cast("double").alias("_v")).where("_g is not null")
     sizes = keyed.groupBy("_g").agg(F.count("*").alias("n"), F.avg("_v").alias("estimate"))
     ok = keyed.join(sizes.where(F.col("n") >= least).select("_g", "n"), "_g")
-    ranked = ok.withColumn("k", F.row_number().over(Window.partitionBy("_g").orderBy("_key")) - 1)
+    ranked = numbered(ok.withColumn("h", F.md5(F.col("_key").cast("string"))), "_key", ["_g"]).drop("h")
     draws = ranked.select("_g", "n", F.col("k").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     drawn = draws.select("_g", "b", (draw_u32(seed, "group", "b", "_g", "i") % F.col("n")).alias("k")).groupBy("_g", "b", "k").agg(F.count("*").alias("times"))
     means = drawn.join(ranked.select("_g", "k", "_v"), ["_g", "k"]).groupBy("_g", "b").agg((F.sum(F.col("times") * F.col("_v")) / F.sum("times")).alias("m"))
@@ -60,12 +60,13 @@ def grouped_bootstrap(rows: DataFrame, key: str, value: Column, by: str, n_boot:
 
 
 def permutation_null(rows: DataFrame, key: str, x: str, y: str, n: int, seed: int) -> DataFrame:
-    """One row: Pearson r of x and y, and the share of n permutations of y with at least that |r|."""
+    """One row: Pearson r of x and y, and the share of n permutations of y with at least that |r|. All permutations are one plan; the work is rows x n."""
     observed = rows.agg(F.corr(x, y).alias("r"))
-    base, nulls = rows.select(key, x), None
-    for k in range(n):
-        one = base.join(permuted(rows.select(key, y), key, y, seed + k), key).agg(F.corr(x, y).alias("r0"))
-        nulls = one if nulls is None else nulls.unionAll(one)
+    base = numbered(rows.select(key, x).withColumn("h", F.md5(F.col(key).cast("string"))), key).select(x, "k")
+    each = rows.select(key, y, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    h = F.md5(F.concat_ws("|", (F.col("b") + seed).cast("string"), F.lit("permute"), F.col(key).cast("string")))
+    dealt = numbered(each.withColumn("h", h), key, ["b"]).select("b", y, "k")
+    nulls = dealt.join(base, "k").groupBy("b").agg(F.corr(x, y).alias("r0"))
     return nulls.join(F.broadcast(observed)).groupBy("r").agg(F.avg((F.abs("r0") >= F.abs("r")).cast("double")).alias("p_value"))
 
 

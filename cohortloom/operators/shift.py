@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +20,27 @@ def centroid_distances(features: DataFrame) -> DataFrame:
 
 
 def covariances(features: DataFrame) -> DataFrame:
-    """(source, g, h, cov): sample covariances of each pair of genes g <= h, from sums of products; 0 for a single row.
+    """(source, g, h, cov): sample covariances of each pair of genes g <= h; 0 for a single row. features is wide: (source, x array<double>).
 
-    features is wide: (source, x array<double>). Products are summed per source, d (d + 1) / 2 of them.
+    Each task sums the products of the centred rows it reads, and gives one row for each source, gene and task, whatever the
+    rows. Means are a vector a source, of which there are few.
     """
-    at = F.posexplode("x").alias("g", "u")
-    rows = features.select("source", "x", at)
-    rows = rows.select("source", "g", "u", F.posexplode(F.slice("x", F.col("g") + 1, F.size("x"))).alias("o", "v")).select("source", "g", (F.col("g") + F.col("o")).alias("h"), "u", "v")
-    return rows.groupBy("source", "g", "h").agg(F.coalesce(F.covar_samp("u", "v"), F.lit(0.0)).alias("cov"))
+    pos = features.select("source", F.posexplode("x").alias("k", "v")).groupBy("source", "k").agg(F.avg("v").alias("m"))
+    means = pos.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("mean"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for source, part in batch.groupby("source"):
+                x = np.array(part["x"].tolist(), float) - np.array(part["mean"].iloc[0], float)
+                n, gram = sums.get(source, (0, 0.0))
+                sums[source] = (n + len(x), gram + x.T @ x)
+        for source, (n, gram) in sums.items():
+            yield pd.DataFrame({"source": source, "g": range(len(gram)), "n": n, "row": [gram[g, g:].tolist() for g in range(len(gram))]})
+
+    parts = features.join(F.broadcast(means), "source").select("source", "x", "mean").mapInPandas(run, "source string, g int, n long, row array<double>")
+    each = parts.select("source", "g", "n", F.posexplode("row").alias("o", "s")).groupBy("source", "g", (F.col("g") + F.col("o")).alias("h")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return each.select("source", "g", "h", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(0.0).alias("cov"))
 
 
 def coral_distances(features: DataFrame, dims: int) -> DataFrame:

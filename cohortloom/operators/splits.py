@@ -87,12 +87,15 @@ def permuted(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:
     return a.join(b, "k").select(key, value)
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with k from 0 in the order of (h, key), h a hex digest: ranks within its first three digits, and their starts."""
+def numbered(rows: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
+    """rows with k from 0 in the order of (h, key), h a hex digest, within each group: ranks within its first three digits, and their starts."""
+    by = list(by)
     parts = rows.withColumn("_p", F.substring("h", 1, 3))
-    starts = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # 4,096 rows at most
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("h", key)) - 1
-    return parts.withColumn("_r", rank).join(F.broadcast(starts), "_p").withColumn("k", F.col("_s") + F.col("_r")).drop("_p", "_s", "_r")
+    starts = parts.groupBy(*by, "_p").agg(F.count("*").alias("_n")).select(*by, "_p", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_s"))  # 4,096 rows a group at most
+    rank = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("h", key)) - 1
+    ranked = parts.withColumn("_r", rank)
+    joined = ranked.join(starts, [*by, "_p"]) if by else ranked.join(F.broadcast(starts), "_p")
+    return joined.withColumn("k", F.col("_s") + F.col("_r")).drop("_p", "_s", "_r")
 
 
 def overlapping(assignment: DataFrame) -> DataFrame:

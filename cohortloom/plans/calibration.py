@@ -15,7 +15,7 @@ SENS, SPEC = "tp / pos", "(1 - fp / neg)"
 
 
 def _best(value: str) -> str:
-    return sql(PREDS, ONE, f"r as (select t, round({value}, 12) as value from cv where pos > 0 and neg > 0)", then="select coalesce((select t from r where value is not null order by value desc, t limit 1), 0.5) as threshold, (select round(max(value), 6) from r) as value")
+    return sql(PREDS, ONE, f"r as (select t, round({value}, 12) as value from cv where pos > 0 and neg > 0)", then="select round(coalesce((select t from r where value is not null order by value desc, t limit 1), 0.5::double), 6) as threshold, (select round(max(value), 6) from r) as value")
 
 
 @query(_best(f"{SENS} + {SPEC} - 1"))
@@ -75,16 +75,21 @@ def j11_paired_repeats(spark, d):
     return a.join(b, "seed", "full").select("seed", outcome.alias("outcome"))
 
 
-@query()
+PAV = """dv as (select y_prob as p, avg(y_true) as y, count(*) as w from preds where subject_id % 2 = 0 group by 1), ix as (select p, row_number() over (order by p) as i, sum(w) over (order by p) as w, sum(w * y) over (order by p) as s, w as w1, w * y as s1 from dv),
+pa as (select a.i as j, b.i as k, (b.s - a.s + a.s1) / (b.w - a.w + a.w1) as m from ix a join ix b on a.i <= b.i), lo as (select j, k, min(m) over (partition by j order by k desc) as m from pa), iso as (select ix.p, max(lo.m) as y from ix join lo on lo.k = ix.i and lo.j <= ix.i group by 1),
+te as (select subject_id, y_true, y_prob from preds where subject_id % 2 <> 0), be as (select te.*, iso.p as pa, iso.y as ya from te asof left join iso on te.y_prob >= iso.p), bo as (select be.*, iso.p as pb, iso.y as yb from be asof left join iso on be.y_prob < iso.p)"""
+
+
+@query(sql(PREDS, PAV, then="select subject_id, y_true, round(case when pa is null then yb when pb is null then ya else ya + (yb - ya) * (y_prob - pa) / (pb - pa) end, 6) as calibrated from bo"))
 def c1_isotonic(spark, d):
-    """Calibrated probabilities of the held-out half, from knots fitted on the other."""
+    """Calibrated probabilities of the held-out half, from steps fitted on the other."""
     p = preds(spark, d)
     fitted = C.fit_calibrator(p.where("subject_id % 2 = 0"), "isotonic")
-    return p.where("subject_id % 2 <> 0").select("subject_id", "y_true", C.apply_calibrator(F.col("y_prob"), fitted).alias("calibrated"))
+    return _rounded(fitted.apply(p.where("subject_id % 2 <> 0").select("subject_id", "y_true", "y_prob")).withColumnRenamed("y_prob", "calibrated"))
 
 
 @query()
 def c1_sigmoid(spark, d):
     p = preds(spark, d)
     fitted = C.fit_calibrator(p.where("subject_id % 2 = 0"), "sigmoid")
-    return p.where("subject_id % 2 <> 0").select("subject_id", "y_true", C.apply_calibrator(F.col("y_prob"), fitted).alias("calibrated"))
+    return fitted.apply(p.where("subject_id % 2 <> 0").select("subject_id", "y_true", "y_prob")).withColumnRenamed("y_prob", "calibrated")

@@ -46,9 +46,9 @@ def g12_split_report(spark, d):
     return C.split_report(cells(spark, d).select(F.col("source").alias("split"), F.when(F.col("known"), F.col("label")).alias("label"), "subject_id"))
 
 
-@query("select c_nationkey as source, count(distinct c_custkey)::bigint as n_subjects, count(distinct c_mktsegment)::bigint as n_classes, case when count(distinct c_custkey) >= 6 and count(distinct c_mktsegment) >= 2 then 'eligible' else 'not_eligible' end as status, concat_ws(';', case when count(distinct c_custkey) < 6 then 'too_few_subjects' end, case when count(distinct c_mktsegment) < 2 then 'too_few_classes' end) as reasons from customer where c_custkey % 7 = 0 group by 1")
+@query("select c_nationkey || '-' || floor(c_acctbal / 2000)::int as source, count(distinct c_custkey)::bigint as n_subjects, count(distinct c_mktsegment)::bigint as n_classes, case when count(distinct c_custkey) >= 6 and count(distinct c_mktsegment) >= 2 then 'eligible' else 'not_eligible' end as status, concat_ws(';', case when count(distinct c_custkey) < 6 then 'too_few_subjects' end, case when count(distinct c_mktsegment) < 2 then 'too_few_classes' end) as reasons from customer group by 1")
 def g17_task_a(spark, d):
-    s = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("source"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("label"), F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), F.floor(F.col("c_acctbal") / 2000).cast("string")).alias("source"))
     return C.task_a_status(s, "source")
 
 
@@ -57,25 +57,25 @@ def g17_task_b(spark, d):
     return C.task_b_status(preds(spark, d).withColumn("outcome", F.col("toxic")), "source")
 
 
-SRC = "src as (select c_nationkey as source, c_nationkey % 11 = 0 as controlled, c_nationkey % 7 <> 1 as compatible, c_nationkey % 5 <> 2 as assay_ok, case when c_nationkey % 6 = 3 then null when c_nationkey % 6 = 4 then 'mouse' else 'human' end as species, count(*)::bigint as n_subjects, count(distinct c_mktsegment)::bigint as n_classes from customer where c_custkey % 20 = 0 group by 1)"
+SRC = "src as (select c_nationkey as source, c_nationkey % 11 = 0 as controlled, c_nationkey % 7 <> 1 as compatible, c_nationkey % 5 <> 2 as assay_ok, case when c_nationkey % 6 = 3 then null when c_nationkey % 6 = 4 then 'mouse' else 'human' end as species, count(*)::bigint as n_subjects, count(distinct c_mktsegment)::bigint as n_classes from customer group by 1)"
 
 
 @query(sql(SRC, then="select *, case when controlled then 'controlled_access' when not compatible then 'incompatible' when not assay_ok then 'assay_mismatch' when species is null then 'species_unknown' when species <> 'human' then 'species_mismatch' when n_subjects < 3 then 'too_few_subjects' when n_classes < 2 then 'too_few_classes' else 'eligible' end as status from src"))
 def g18_source_eligibility(spark, d):
     k = F.col("c_nationkey")
-    src = table(spark, d, "customer").where("c_custkey % 20 = 0").groupBy(k.alias("source")).agg(F.count("*").alias("n_subjects"), F.count_distinct("c_mktsegment").alias("n_classes"))
+    src = table(spark, d, "customer").groupBy(k.alias("source")).agg(F.count("*").alias("n_subjects"), F.count_distinct("c_mktsegment").alias("n_classes"))
     k = F.col("source")
     src = src.select("source", (k % 11 == 0).alias("controlled"), (k % 7 != 1).alias("compatible"), (k % 5 != 2).alias("assay_ok"), F.when(k % 6 == 3, None).when(k % 6 == 4, "mouse").otherwise("human").alias("species"), "n_subjects", "n_classes")
     return C.source_status(src)
 
 
-COH = "coh as (select nk as cohort, nk % 9 <> 0 as structural_ok, case when nk % 8 = 1 then 'excluded' when nk % 4 = 2 then 'external' else 'internal' end as role, sum(n)::bigint as n_subjects, min(n)::bigint as min_class from (select c_nationkey as nk, c_mktsegment, count(*) as n from customer where c_custkey % 3 = 0 group by 1, 2) group by 1)"
+COH = "coh as (select nk as cohort, nk % 9 <> 0 as structural_ok, case when nk % 8 = 1 then 'excluded' when nk % 4 = 2 then 'external' else 'internal' end as role, sum(n)::bigint as n_subjects, min(n)::bigint as min_class from (select c_nationkey as nk, c_mktsegment, count(*) as n from customer group by 1, 2) group by 1)"
 
 
 @query(sql(COH, then="select *, case when not structural_ok then 'incompatible' when role = 'excluded' then 'not_eligible' when role = 'external' then (case when n_subjects >= 20 then 'eligible_external' else 'exploratory_only' end) when n_subjects < 6 then 'not_eligible' when n_subjects < 20 or min_class < 5 then 'exploratory_only' else 'eligible_internal' end as status from coh"))
 def g19_cohort_eligibility(spark, d):
     k = F.col("cohort")
-    coh = table(spark, d, "customer").where("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("cohort"), "c_mktsegment").count().groupBy("cohort").agg(F.sum("count").alias("n_subjects"), F.min("count").alias("min_class"))
+    coh = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("cohort"), "c_mktsegment").count().groupBy("cohort").agg(F.sum("count").alias("n_subjects"), F.min("count").alias("min_class"))
     coh = coh.select("cohort", (k % 9 != 0).alias("structural_ok"), F.when(k % 8 == 1, "excluded").when(k % 4 == 2, "external").otherwise("internal").alias("role"), "n_subjects", "min_class")
     return C.cohort_status(coh)
 
@@ -102,9 +102,9 @@ def g16_cells_per_subject(spark, d):
     return C.composition(table(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"))).drop("iqr")
 
 
-@query("select s.user_id as subject_id, t.event_type as cell_type_id from (select distinct user_id from events where event_id % 20 = 0) s, (select distinct event_type from events where event_id % 20 = 0) t where not exists (select 1 from events e where e.event_id % 20 = 0 and e.user_id = s.user_id and e.event_type = t.event_type)")
+@query("select s.user_id as subject_id, t.event_type as cell_type_id from (select distinct user_id from events) s, (select distinct event_type || '-' || hour(ts) as event_type from events) t where not exists (select 1 from events e where e.user_id = s.user_id and e.event_type || '-' || hour(e.ts) = t.event_type)")
 def g15_missing_types(spark, d):
-    return C.missing_types(table(spark, d, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("cell_type_id")))
+    return C.missing_types(table(spark, d, "events").select(F.col("user_id").alias("subject_id"), F.concat("event_type", F.lit("-"), F.hour("ts").cast("string")).alias("cell_type_id")))
 
 
 @query(sql(PREDS, then="select case when y_prob >= 0.7 then 'HIGH' when y_prob >= 0.4 then 'MODERATE' else 'LOW' end as tier, count(*)::bigint as n from preds group by 1"))
@@ -135,10 +135,10 @@ def j7_semi_join(spark, d):
     return cells(spark, d).join(F.broadcast(wanted), "subject_id", "left_semi").select("cell_id", "subject_id")
 
 
-@query("select c_custkey as subject_id from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 3 = 0)")
+@query("select c_custkey as subject_id from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def j8_anti_join(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"))
-    return c.join(table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("subject_id")), "subject_id", "left_anti")
+    return c.join(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("subject_id")), "subject_id", "left_anti")
 
 
 @query("select a.vec_id as cell_id, (i - 1)::int as pos, a.embedding[i] as value, 'name_' || (i - 1) as name from embeddings a, range(1, 65) r(i)")

@@ -9,7 +9,7 @@ from cohortloom.operators import matrix as M
 from cohortloom.operators import metrics, models, splits
 from cohortloom.plans.matrix import MODULES, _modules
 from cohortloom.plans.metrics import COUNTS_AT, _rounded
-from cohortloom.plans.models import _subjects
+from cohortloom.plans.models import BY_FOLD, CENTROID, HELD_RANK, SJ, _subjects, folds_sql
 from cohortloom.plans.views import CELLS, EXPR, PREDS, cells, expr, preds, sql, table
 from cohortloom.registry import query
 
@@ -42,24 +42,42 @@ def e2_bulk_classification(spark, d):
     return metrics.at_threshold(got, 0.5).crossJoin(metrics.ranking_metrics(got))
 
 
-@query()
+CV = "rs as (select 'prevalence' as candidate, seed, held as fold, n, case when auroc is not null then 0.5::double end as auroc from rm union all select 'centroid', seed, held, n, auroc from rm)"
+
+
+@query(sql(SJ, folds_sql(3), BY_FOLD, CENTROID, HELD_RANK, CV, then="select candidate, seed, fold, n, round(auroc, 6) as auroc from rs"))
 def e3_cross_validation(spark, d):
-    return E.cross_validate(_subjects(spark, d).select("subject_id", "y_true", "features"), ["prevalence", "logistic"], 3, [1])
+    return _rounded(E.cross_validate(_subjects(spark, d).select("subject_id", "y_true", "features"), ["prevalence", "centroid"], 3, [1]))
 
 
-@query()
+@query(sql(SJ, folds_sql(3, "(1), (2)"), BY_FOLD, CENTROID, HELD_RANK, then="select (count(*) filter (where auroc - 0.5 > 1e-9))::bigint as wins, (count(*) filter (where abs(auroc - 0.5) <= 1e-9))::bigint as ties, (count(*) filter (where auroc - 0.5 < -1e-9))::bigint as losses, round(avg(auroc - 0.5), 6) as mean, round(stddev_samp(auroc - 0.5), 6) as sd, round(avg(auroc - 0.5) / stddev_samp(auroc - 0.5), 6) as effect from rm where auroc is not null"))
 def e7_compare_candidates(spark, d):
-    results = E.cross_validate(_subjects(spark, d).select("subject_id", "y_true", "features"), ["prevalence", "logistic"], 3, [1])
-    return E.compare(results, "logistic", "prevalence")
+    results = E.cross_validate(_subjects(spark, d).select("subject_id", "y_true", "features"), ["prevalence", "centroid"], 3, [1, 2])
+    return _rounded(E.compare(results, "centroid", "prevalence"))
 
 
-@query()
+@query(sql(SJ, folds_sql(2, "(1), (2)"), BY_FOLD, CENTROID, HELD_RANK, CV, "s as (select candidate, seed, avg(auroc) as m from rs group by 1, 2)", "q as (select candidate, avg(m) as metric, stddev_pop(m) as std, quantile_cont(m, 0.5) as median, quantile_cont(m, 0.75) - quantile_cont(m, 0.25) as iqr, (count(*) filter (where m is null))::bigint as n_undefined from s group by 1)",
+           then="select round(metric, 6) as metric, round(std, 6) as std, round(median, 6) as median, round(iqr, 6) as iqr, n_undefined, candidate, (row_number() over (order by metric desc nulls last, candidate))::int as rank from q"))
 def e8_repeated_development(spark, d):
-    return E.develop(_subjects(spark, d).select("subject_id", "y_true", "features"), ["prevalence", "logistic"], 2, [1, 2])[0]
+    return _rounded(E.develop(_subjects(spark, d).select("subject_id", "y_true", "features"), ["prevalence", "centroid"], 2, [1, 2])[0])
 
 
-@query()
+E4 = """dv as (select cp.* from cp), dc as (select y_prob as t, count(*) filter (where y_true = 1) as p, count(*) filter (where y_true <> 1) as q from dv group by 1), dq as (select t, sum(p) over (order by t desc) as tp, sum(q) over (order by t desc) as fp, sum(p) over () as pos, sum(q) over () as neg from dc),
+th as (select coalesce((select t from dq where pos > 0 and neg > 0 order by round(tp / pos - fp / neg, 12) desc, t limit 1), 0.5::double) as threshold), fc as (select g, avg(x) filter (where y_true = 1) as a, avg(x) filter (where y_true <> 1) as b from lx join sj using (subject_id) where subject_id % 4 <> 0 group by 1),
+fp as (select subject_id, any_value(y_true) as y_true, 1 / (1 + exp(-(sum(x * (a - b)) + sum(b * b - a * a) / 2))) as y_prob from lx join sj using (subject_id) join fc using (g) where subject_id % 4 = 0 group by 1), n4 as (select count(*) filter (where y_true = 1 and y_prob >= threshold) as tp, count(*) filter (where y_true <> 1 and y_prob >= threshold) as fp, count(*) filter (where y_true = 1 and y_prob < threshold) as fn, count(*) filter (where y_true <> 1 and y_prob < threshold) as tn from fp, th),
+er as (select y_prob as t, count(*) filter (where y_true = 1) as p, count(*) filter (where y_true <> 1) as q from fp group by 1), rq as (select *, sum(p) over (order by t desc) as tp, sum(q) over (order by t desc) as fp, sum(p) over () as pos, sum(q) over () as neg from er)"""
+
+
+@query(sql(SJ, folds_sql(3), "gr as (select seed, subject_id, fold as held from fd where subject_id % 4 <> 0)", CENTROID, E4, then="select case when tp + fn > 0 and fp + tn > 0 then round(tp / (tp + fn), 6) end as sensitivity, case when tp + fn > 0 and fp + tn > 0 then round(tn / (tn + fp), 6) end as specificity, tp + fp + fn + tn as n, (select round(threshold, 6) from th) as threshold, (select case when max(pos) > 0 and max(neg) > 0 then round(sum(p * (neg - fp + q / 2)) / (max(pos) * max(neg)), 6) end from rq) as auroc from n4"))
 def e4_frozen_evaluation(spark, d):
+    """Development is three rows of four, the frozen test the fourth."""
+    rows = _subjects(spark, d)
+    out = E.frozen_evaluation(rows.where("subject_id % 4 <> 0"), rows.where("subject_id % 4 = 0"), "centroid", method="none")
+    return _rounded(out.select("sensitivity", "specificity", "n", "threshold", "auroc"))
+
+
+@query()
+def e4_calibrated_evaluation(spark, d):
     rows = _subjects(spark, d)
     return E.frozen_evaluation(rows.where("subject_id % 4 <> 0"), rows.where("subject_id % 4 = 0"), "logistic")
 
@@ -150,10 +168,10 @@ def g30_audit(spark, d):
     return n.crossJoin(F.broadcast(tasks)).select(F.col("n_name").alias("dataset"), "task", F.when(F.col("n_nationkey") % 4 == 0, "controlled").otherwise("open").alias("access"), ((F.col("task") == "a") | (F.col("n_nationkey") % 2 == 0)).alias("eligible"))
 
 
-@query("select c_nationkey as cohort, case when c_nationkey % 3 = 0 then 'internal' else 'external' end as role, count(*)::bigint as n_subjects, concat_ws(';', case when c_nationkey % 3 = 0 then 'role' end, case when c_nationkey % 5 = 1 then 'controlled_access' end, case when c_nationkey % 7 = 2 then 'incompatible' end, case when count(*) < 20 then 'too_few_subjects' end) as reasons, c_nationkey % 3 <> 0 and c_nationkey % 5 <> 1 and c_nationkey % 7 <> 2 and count(*) >= 20 as selected from customer where c_custkey % 3 = 0 group by 1")
+@query("select c_nationkey as cohort, case when c_nationkey % 3 = 0 then 'internal' else 'external' end as role, count(*)::bigint as n_subjects, concat_ws(';', case when c_nationkey % 3 = 0 then 'role' end, case when c_nationkey % 5 = 1 then 'controlled_access' end, case when c_nationkey % 7 = 2 then 'incompatible' end, case when count(*) < 20 then 'too_few_subjects' end) as reasons, c_nationkey % 3 <> 0 and c_nationkey % 5 <> 1 and c_nationkey % 7 <> 2 and count(*) >= 20 as selected from customer group by 1")
 def e11_external_gate(spark, d):
     k = F.col("cohort")
-    c = table(spark, d, "customer").where("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("cohort")).agg(F.count("*").alias("n_subjects"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("cohort")).agg(F.count("*").alias("n_subjects"))
     c = c.select("cohort", F.when(k % 3 == 0, "internal").otherwise("external").alias("role"), "n_subjects", (k % 5 == 1).alias("controlled"), (k % 7 != 2).alias("compatible"), F.lit(5).alias("min_class"))
     return E.external_gate(c).select("cohort", "role", "n_subjects", "reasons", "selected")
 
@@ -201,9 +219,9 @@ def s11_sample_sheet(spark, d):
     return o.groupBy(F.col("o_custkey").alias("subject_id")).agg(F.count("*").alias("n_samples"), F.max((F.col("o_totalprice") > 200000).cast("int")).alias("outcome"), F.bool_or(F.col("o_orderstatus") == "F").alias("tumour"))
 
 
-@query("select c_custkey as subject_id, case when o_custkey is null then 'missing' when n > 1 then 'repeated' else 'ok' end as state from customer left join (select o_custkey, count(*) as n from orders where o_orderkey % 7 = 0 group by 1) on c_custkey = o_custkey")
+@query("select c_custkey as subject_id, case when o_custkey is null then 'missing' when n > 1 then 'repeated' else 'ok' end as state from customer left join (select o_custkey, count(*) as n from orders where o_orderpriority = '1-URGENT' group by 1) on c_custkey = o_custkey")
 def k11_oof_rows(spark, d):
-    n = table(spark, d, "orders").where("o_orderkey % 7 = 0").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    n = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count("*").alias("n"))
     c = table(spark, d, "customer")
     return c.join(n, c["c_custkey"] == n["o_custkey"], "left").select(F.col("c_custkey").alias("subject_id"), F.when(F.col("o_custkey").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("ok").alias("state"))
 

@@ -63,24 +63,24 @@ def l6_malignancy(spark, d):
     return c.join(tumour, "cell_id", "left").select("cell_id", F.coalesce("m", F.lit(0.0)).alias("malignancy"), F.col("m").isNotNull().alias("malignancy_known"))
 
 
-SUBJ = "subj as (select c_custkey as subject_id, c_nationkey as label from customer where c_custkey % 25 = 0 or c_nationkey < 5)"
+SUBJ = "subj as (select c_custkey as subject_id, case when c_acctbal > 9900 then c_nationkey + 100 else c_nationkey end as label from customer)"
 
 
 def _subj(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 25 = 0 or c_nationkey < 5").select(F.col("c_custkey").alias("subject_id"), F.col("c_nationkey").alias("label"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.when(F.col("c_acctbal") > 9900, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("label"))
 
 
-RARE = "rare as (select label from subj where label in (3, 7, 9, 11, 20) group by 1 having count(distinct subject_id) < 3)"
+RARE = "rare as (select label from subj where label in (3, 7, 103, 107, 110, 115, 120) group by 1 having count(distinct subject_id) < 3)"
 
 
 @query(sql(SUBJ, RARE, then="select subject_id, case when label in (select label from rare) then 4 else label end as label from subj"))
 def l7_merge_rare(spark, d):
-    return L.apply_rare_policy(_subj(spark, d), [3, 7, 9, 11, 20], "merge", into=4).select("subject_id", F.col("label").cast("int").alias("label"))
+    return L.apply_rare_policy(_subj(spark, d), [3, 7, 103, 107, 110, 115, 120], "merge", into=4).select("subject_id", F.col("label").cast("int").alias("label"))
 
 
 @query(sql(SUBJ, RARE, then="select subject_id, label from subj where label not in (select label from rare)"))
 def l7_exclude_rare(spark, d):
-    return L.apply_rare_policy(_subj(spark, d), [3, 7, 9, 11, 20], "exclude").select("subject_id", "label")
+    return L.apply_rare_policy(_subj(spark, d), [3, 7, 103, 107, 110, 115, 120], "exclude").select("subject_id", "label")
 
 
 @query("select distinct c_nationkey as label, (dense_rank() over (order by c_nationkey) - 1)::int as effective from customer where c_nationkey not in (2, 5, 24)")
@@ -88,12 +88,12 @@ def l8_effective_mapping(spark, d):
     return L.effective_mapping(table(spark, d, "customer").select(F.col("c_nationkey").alias("label")), [2, 5, 24])
 
 
-PAIRS = "pairs as (select distinct 'm' || (l_partkey % 400) as mouse_gene, case when l_partkey % 13 = 0 then ' ' else 'h' || (l_suppkey * 7 % 300) end as human_gene from lineitem where l_linenumber = 1 and l_orderkey % 40 = 0)"
+PAIRS = "pairs as (select distinct 'm' || l_partkey as mouse_gene, case when l_partkey % 13 = 0 then ' ' when l_partkey % 3 = 0 then 'h' || (l_suppkey * 7 % 300) else 'h' || (1000 + l_partkey // 2) end as human_gene from lineitem)"
 
 
 def _pairs(spark, d):
     part = F.col("l_partkey")
-    return table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 40 = 0").select(F.concat(F.lit("m"), (part % 400).cast("string")).alias("mouse_gene"), F.when(part % 13 == 0, " ").otherwise(F.concat(F.lit("h"), (F.col("l_suppkey") * 7 % 300).cast("string"))).alias("human_gene")).distinct()
+    return table(spark, d, "lineitem").select(F.concat(F.lit("m"), part.cast("string")).alias("mouse_gene"), F.when(part % 13 == 0, " ").when(part % 3 == 0, F.concat(F.lit("h"), (F.col("l_suppkey") * 7 % 300).cast("string"))).otherwise(F.concat(F.lit("h"), (1000 + F.floor(part / 2)).cast("string"))).alias("human_gene")).distinct()
 
 
 @query(sql(PAIRS, "p as (select * from pairs where trim(human_gene) <> '')", then="select mouse_gene, min(human_gene) as human_gene from p group by 1 having count(distinct human_gene) = 1 and min(human_gene) in (select human_gene from p group by 1 having count(*) = 1)"))

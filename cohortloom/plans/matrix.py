@@ -46,9 +46,13 @@ def g11_top_variance(spark, d):
     return _r(M.top_variance(expr(spark, d), _train(spark, d), 16), "variance")
 
 
-@query(sql(CELLS, EXPR, TRAIN, STATS, then="select cell_id, gene, round(greatest(-10, least(10, (value - mean) / std)), 6) as value from expr join stats using (gene)"))
+SPARSE = EXPR.replace("expr as (select", "expr as (select * from (select") + " where value > 0)"
+
+
+@query(sql(CELLS, SPARSE, TRAIN, STATS, then="select c.cell_id, s.gene, round(greatest(-10, least(10, (coalesce(e.value, 0) - mean) / std)), 6) as value from cells c cross join stats s left join expr e on e.cell_id = c.cell_id and e.gene = s.gene"))
 def n4_apply_scaling(spark, d):
-    e = expr(spark, d)
+    """Values that are not above zero are absent, as in a sparse matrix."""
+    e = expr(spark, d).where("value > 0")
     return _r(M.scale(e, cells(spark, d), M.gene_stats(e, _train(spark, d))), "value")
 
 
@@ -74,12 +78,24 @@ def g6_majority_label(spark, d):
     return M.majority(cells(spark, d), "subject_id", "label")
 
 
-HVG = """lg as (select cell_id, gene, greatest(value, 0) as value from expr),
-m0 as (select gene, avg(exp(value) - 1) as mean, var_samp(exp(value) - 1) as var from lg group by 1),
-m as (select gene, ln(1 + greatest(mean, 0)) as m, ln(greatest(var / greatest(mean, 1e-12), 1e-12)) as d from m0),
-b as (select *, least(19, floor((round(m, 9) - round(min(m) over (), 9)) / greatest(round(max(m) over (), 9) - round(min(m) over (), 9), 1e-9) * 20)) as bin from m),
-z as (select gene, coalesce((d - avg(d) over (partition by bin)) / nullif(stddev_samp(d) over (partition by bin), 0), 0) as z from b),
-r as (select gene from z order by round(z, 6) desc, gene limit 20)"""
+def _hvg(by: str) -> str:
+    """Normalised dispersions z of each gene, by a batch column or none."""
+    part, keep, same = (f"partition by {by}", f"{by}, ", f"{by}, ") if by else ("", "", "")
+    return f"""m0 as (select {keep}gene, avg(exp(value) - 1) as mean, var_samp(exp(value) - 1) as var from lg group by all),
+m as (select {keep}gene, round(ln(1 + mean), 9) as m, case when var / (case when mean = 0 then 1e-12 else mean end) > 0 then ln(var / (case when mean = 0 then 1e-12 else mean end)) end as d from m0),
+e as (select *, min(m) over ({part}) as lo, max(m) over ({part}) as hi from m),
+b as (select *, case when hi > lo then greatest(0, least(19, ceil((m - lo) / (hi - lo) * 20) - 1)) else 0 end as bin from e),
+z as (select {keep}gene, case when count(d) over (partition by {same}bin) = 1 then (case when d is not null then 1.0::double end) else (d - avg(d) over (partition by {same}bin)) / nullif(stddev_samp(d) over (partition by {same}bin), 0) end as z from b)"""
+
+
+LG = "lg as (select cell_id, gene, greatest(value, 0) as value, cell_id % 3 as batch from expr)"
+HVG = f"{LG}, {_hvg('')}, r as (select gene from z order by round(z, 6) desc nulls last, gene limit 20)"
+
+
+@query(sql(EXPR, LG, _hvg("batch"), "k as (select batch, gene, z, row_number() over (partition by batch order by round(z, 6) desc nulls last, gene) as r from z)", then="select gene from (select gene, count(*) filter (where r <= 20 and z is not null) as k, round(avg(z), 6) as z from k group by 1) order by k desc, z desc nulls last, gene limit 20"))
+def n2_by_batch(spark, d):
+    e = expr(spark, d).withColumns({"value": F.greatest("value", F.lit(0.0)), "batch": F.col("cell_id") % 3})
+    return M.highly_variable(e, 20, batch="batch")
 
 
 @query(sql(EXPR, HVG, then="select gene from r"))
@@ -174,11 +190,11 @@ def g27_module_coverage(spark, d):
     return M.module_coverage(_modules(spark, d), expr(spark, d).where("gene < 'g32'"))
 
 
-@query(sql(CELLS, then="select subject_id, count(*)::bigint as n_cells, min(source) as source, o.outcome, o.outcome is not null as outcome_known from cells left join (select 's' || (doc_id % 60) as subject_id, max(toxic) as outcome from labels where doc_id % 60 < 30 group by 1) o using (subject_id) group by subject_id, o.outcome having count(*) >= 12"))
+@query(sql(CELLS, then="select subject_id, count(*)::bigint as n_cells, min(source) as source, o.outcome, o.outcome is not null as outcome_known from cells left join (select 's' || (doc_id % 30 * 2) as subject_id, max(toxic) as outcome from labels group by 1) o using (subject_id) group by subject_id, o.outcome having count(*) >= 12"))
 def g3_subject_bags(spark, d):
     from cohortloom.plans.views import table
 
-    known = table(spark, d, "labels").where("doc_id % 60 < 30").select(F.concat(F.lit("s"), F.col("doc_id") % 60).alias("subject_id"), F.col("toxic").alias("outcome"))
+    known = table(spark, d, "labels").select(F.concat(F.lit("s"), F.col("doc_id") % 30 * 2).alias("subject_id"), F.col("toxic").alias("outcome"))
     return M.subject_bags(cells(spark, d), M.outcome_max(known), min_cells=12)
 
 

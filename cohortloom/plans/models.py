@@ -18,8 +18,29 @@ def _subjects(spark, d):
     return e.join(grouped_folds(e.select("subject_id", F.col("y_true").alias("label")), 3, 1).select("subject_id", "fold"), "subject_id")
 
 
-@query()
+SJ = "sj as (select vec_id as subject_id, (label >= 5)::int::double as y_true, 'src' || (vec_id % 3) as source, embedding from embeddings), lx as (select subject_id, i as g, embedding[i]::double as x from sj, range(1, 65) r(i))"
+
+
+def folds_sql(folds: int, seeds: str = "(1)") -> str:
+    """fd: (seed, subject_id, fold) of grouped_folds."""
+    return f"fd as (select seed, subject_id, ((row_number() over (partition by seed order by y_true, md5(seed || '|fold|' || subject_id), subject_id) - 1) % (select greatest(2, least({folds}, min(n))) from (select count(*) as n from sj group by y_true)))::int as fold from sj, (values {seeds}) v(seed))"
+
+
+#: cp: probabilities of the nearest-centroid model that the other rows of `held` give, gr being (seed, subject_id, held).
+CENTROID = """ce as (select h.seed, h.held, g, avg(x) filter (where y_true = 1) as a, avg(x) filter (where y_true <> 1) as b from (select distinct seed, held from gr) h join gr on gr.seed = h.seed and gr.held <> h.held join sj using (subject_id) join lx using (subject_id) group by 1, 2, 3),
+cp as (select gr.seed, gr.held, subject_id, any_value(y_true) as y_true, 1 / (1 + exp(-(sum(x * (a - b)) + sum(b * b - a * a) / 2))) as y_prob from gr join sj using (subject_id) join lx using (subject_id) join ce on ce.seed = gr.seed and ce.held = gr.held and ce.g = lx.g group by 1, 2, 3)"""
+#: rm: AUROC of cp by seed and held.
+HELD_RANK = "e as (select seed, held, y_prob as t, count(*) filter (where y_true = 1) as p, count(*) filter (where y_true <> 1) as q from cp group by 1, 2, 3), cv as (select *, sum(p) over (partition by seed, held order by t desc) as tp, sum(q) over (partition by seed, held order by t desc) as fp, sum(p) over (partition by seed, held) as pos, sum(q) over (partition by seed, held) as neg from e), rm as (select seed, held, sum(p + q)::bigint as n, case when max(pos) > 0 and max(neg) > 0 then sum(p * (neg - fp + q / 2)) / (max(pos) * max(neg)) end as auroc, case when max(pos) > 0 and max(neg) > 0 then sum(p * tp / (tp + fp)) / max(pos) end as auprc from cv group by 1, 2)"
+BY_FOLD = "gr as (select seed, subject_id, fold as held from fd)"
+
+
+@query(sql(SJ, folds_sql(3), BY_FOLD, CENTROID, then="select subject_id, y_true, held as fold, round(y_prob, 6) as y_prob, (y_prob >= 0.5)::int::double as y_pred from cp"))
 def r9_out_of_fold(spark, d):
+    return _rounded(U.out_of_fold(_subjects(spark, d), "centroid").select("subject_id", "y_true", "fold", "y_prob", "y_pred"))
+
+
+@query()
+def u2_logistic(spark, d):
     return U.out_of_fold(_subjects(spark, d), "logistic").select("subject_id", "y_true", "fold", "y_prob", "y_pred")
 
 
@@ -35,25 +56,27 @@ def u2_prevalence(spark, d):
     return U.fit_candidate(rows.where("subject_id % 2 = 0"), "prevalence").predict(rows.where("subject_id % 2 = 1")).select("subject_id", "y_true", "y_prob")
 
 
-@query()
+@query(sql(SJ, "gr as (select 1 as seed, subject_id, source as held from sj)", CENTROID, HELD_RANK, then="select held as source, n, round(auroc, 6) as auroc, round(auprc, 6) as auprc from rm"))
 def e5_leave_one_source_out(spark, d):
-    return U.leave_one_source_out(_subjects(spark, d), "logistic")
+    return _rounded(U.leave_one_source_out(_subjects(spark, d), "centroid"))
 
 
-LIN = "lg as (select vec_id, embedding[1] * 0.5::double - embedding[2] as a, embedding[3]::double + 0.25 as b, embedding[4] * 2.0::double as c from embeddings)"
+WEIGHTS = [[((i * j) % 7 - 3) / 10.0 for i in range(64)] for j in (1, 2, 3)]
+LOGIT = "list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::double * ((i * {j}) % 7 - 3) / 10.0::double))"
+LIN = f"lg as (select vec_id, {LOGIT.format(j=1)} as a, {LOGIT.format(j=2)} + 0.25 as b, {LOGIT.format(j=3)} as c from embeddings)"
 
 
 @query(sql(LIN, then="select vec_id, round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) as p0, round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) as p1, round(exp(c) / (exp(a) + exp(b) + exp(c)), 6) as p2 from lg"))
 def u3_linear_scores(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("x"))
-    out = U.linear_scores(x, [[0.5, -1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 2.0]], [0.0, 0.25, 0.0])
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    out = U.linear_scores(x, WEIGHTS, [0.0, 0.25, 0.0])
     return _rounded(out.select("vec_id", *(F.col("scores")[k].alias(f"p{k}") for k in range(3))))
 
 
-@query("select vec_id, round(tanh(embedding[1] - embedding[2]::double) / (1 + exp(-embedding[3]::double)) - 0.5 * tanh(embedding[4]::double) / (1 + exp(-embedding[1]::double)), 6) as score from embeddings")
+@query(sql(LIN, then="select vec_id, round(tanh(a) / (1 + exp(-(b - 0.25))) - 0.5 * tanh(c) / (1 + exp(-a)), 6) as score from lg"))
 def u3_gated_attention(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("x"))
-    return _rounded(U.gated_attention(x, [[1.0, -1.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]], [[0.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0]], [1.0, -0.5]).select("vec_id", "score"))
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    return _rounded(U.gated_attention(x, [WEIGHTS[0], WEIGHTS[2]], [WEIGHTS[1], WEIGHTS[0]], [1.0, -0.5]).select("vec_id", "score"))
 
 
 PT = "pt as (select source, toxic is not null as known, case when y_true = 1 then y_prob else 1 - y_prob end as pt from preds)"

@@ -29,7 +29,7 @@ def m12_bootstrap_auroc(spark, d):
     return _rounded(R.bootstrap_auroc(preds(spark, d), "subject_id", 40, 3))
 
 
-GROUPS = "g as (select source as g, subject_id, y_true::double as v, row_number() over (partition by source order by subject_id) - 1 as k, count(*) over (partition by source) as n from preds), dr as (select g, b, ('0x' || substr(md5('5|group|' || b || '|' || g || '|' || k), 1, 8))::bigint % n as k from g, range(0, 50) r(b) where n >= 10), m as (select dr.g, b, avg(v) as m from dr join g on g.g = dr.g and g.k = dr.k group by 1, 2), ci as (select g, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)"
+GROUPS = "g as (select source as g, subject_id, y_true::double as v, row_number() over (partition by source order by md5(subject_id::varchar), subject_id) - 1 as k, count(*) over (partition by source) as n from preds), dr as (select g, b, ('0x' || substr(md5('5|group|' || b || '|' || g || '|' || k), 1, 8))::bigint % n as k from g, range(0, 50) r(b) where n >= 10), m as (select dr.g, b, avg(v) as m from dr join g on g.g = dr.g and g.k = dr.k group by 1, 2), ci as (select g, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)"
 
 
 @query(sql(PREDS, GROUPS, then="select g as source, s.n, case when s.n >= 10 then round(estimate, 6) end as estimate, round(lo, 6) as lo, round(hi, 6) as hi, case when s.n >= 10 then 'ok' else 'not_evaluable' end as status from (select g, count(*)::bigint as n, avg(v) as estimate from g group by 1) s left join ci using (g)"))
@@ -44,6 +44,6 @@ def g28_repeat_summary(spark, d):
     return _rounded(R.seed_summary(preds(spark, d).groupBy("seed", "source").agg(hit.alias("v")).select("seed", F.when(F.col("seed") != 6, F.col("v")).alias("metric"))))
 
 
-@query()
+@query("with a as (select c_custkey, c_acctbal as x, row_number() over (order by md5(c_custkey::varchar), c_custkey) as k from customer), b as (select b, c_nationkey::double as y, row_number() over (partition by b order by md5((17 + b) || '|permute|' || c_custkey), c_custkey) as k from customer, range(0, 10) r(b)), n as (select b, corr(x, y) as r0 from a join b using (k) group by 1), o as (select corr(c_acctbal, c_nationkey::double) as r from customer) select round(r, 6) as r, avg((abs(r0) >= abs(r))::int) as p_value from n, o group by r")
 def x9_permutation_null(spark, d):
-    return R.permutation_null(table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n")), "c_custkey", "c_acctbal", "n", 10, 17)
+    return _rounded(R.permutation_null(table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n")), "c_custkey", "c_acctbal", "n", 10, 17))

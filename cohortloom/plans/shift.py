@@ -35,10 +35,10 @@ def x2_energy_distance(spark, d):
     return _rounded(X.energy_distance(_points(spark, d), "src0", "src1"))
 
 
-@query("with v as (select 'src' || (vec_id % 40 % 4) as source, g, h, covar_samp(embedding[g + 1]::double, embedding[h + 1]::double) as cov from embeddings, range(0, 12) a(g), range(0, 12) b(h) group by 1, 2, 3) select a.source as a, b.source as b, round(sum((a.cov - b.cov) ** 2) / (4 * 144), 9) as distance from v a join v b on a.g = b.g and a.h = b.h and a.source < b.source group by 1, 2")
+@query("with v as (select 'src' || (vec_id % 40 % 4) as source, g, h, covar_samp(embedding[g + 1]::double, embedding[h + 1]::double) as cov from embeddings, range(0, 64) a(g), range(0, 64) b(h) group by 1, 2, 3) select a.source as a, b.source as b, round(sum((a.cov - b.cov) ** 2) / (4 * 4096), 9) as distance from v a join v b on a.g = b.g and a.h = b.h and a.source < b.source group by 1, 2")
 def x3_coral_distance(spark, d):
-    wide = table(spark, d, "embeddings").select(F.concat(F.lit("src"), F.col("vec_id") % 40 % 4).alias("source"), F.transform(F.slice("embedding", 1, 12), lambda a: a.cast("double")).alias("x"))
-    return X.coral_distances(wide, 12).withColumn("distance", F.round("distance", 9))
+    wide = table(spark, d, "embeddings").select(F.concat(F.lit("src"), F.col("vec_id") % 40 % 4).alias("source"), F.transform("embedding", lambda a: a.cast("double")).alias("x"))
+    return X.coral_distances(wide, 64).withColumn("distance", F.round("distance", 9))
 
 
 @query(sql(CELLS, EXPR, SUBJECTS, f"p as (select a.id as i, b.id as j, a.source as s, b.source as t, {D2} as d2 from pt a, pt b where a.source in ('src0', 'src1') and b.source in ('src0', 'src1'))", "w as (select sqrt(quantile_disc(d2, 0.5)) as w from p where i < j)", "k as (select s, t, exp(-d2 / (2 * w * w)) as k from p, w)",
@@ -47,6 +47,11 @@ def x4_mmd(spark, d):
     return _rounded(X.mmd(_points(spark, d), "src0", "src1"))
 
 
+#: Of two sources: energy distance, bandwidth and MMD, and the distance of their means.
+REPORT = sql(CELLS, EXPR, SUBJECTS, FEATURES, f"p as (select a.id as i, b.id as j, a.source as s, b.source as t, {D2} as d2 from pt a, pt b where a.source in ('src0', 'src1') and b.source in ('src0', 'src1'))", "w as (select sqrt(quantile_disc(d2, 0.5)) as w from p where i < j)", "k as (select s, t, sqrt(d2 + 1e-12) as d, exp(-d2 / (2 * w * w)) as k from p, w)",
+             "m as (select source, gene, avg(value) as m from ft where source in ('src0', 'src1') group by 1, 2)", "c as (select sqrt(sum((a.m - b.m) ** 2)) as distance from m a join m b on a.gene = b.gene and a.source = 'src0' and b.source = 'src1')",
+             then="select round(2 * avg(d) filter (where s = 'src0' and t = 'src1') - avg(d) filter (where s = 'src0' and t = 'src0') - avg(d) filter (where s = 'src1' and t = 'src1'), 6) as energy, (select round(w, 6) from w) as bandwidth, round(avg(k) filter (where s = 'src0' and t = 'src0') + avg(k) filter (where s = 'src1' and t = 'src1') - 2 * avg(k) filter (where s = 'src0' and t = 'src1'), 6) as mmd, 'src0' as a, 'src1' as b, (select round(distance, 6) from c) as distance from k")
+
 RANKS = "rk as (select l_suppkey % 100 as key, sum(l_quantity) as a, sum(l_extendedprice) as b from lineitem group by 1)"
 
 

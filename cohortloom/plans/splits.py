@@ -8,12 +8,12 @@ from cohortloom.operators import splits as S
 from cohortloom.plans.views import CELLS, cells, sql, table
 from cohortloom.registry import query
 
-SUB = "sub as (select c_custkey as subject_id, case when c_custkey % 11 = 0 then null else c_nationkey end as label from customer where c_custkey % 3 <> 0 or c_nationkey < 20)"
+SUB = "sub as (select c_custkey as subject_id, case when c_custkey % 11 = 0 then null when c_acctbal > 9900 then c_nationkey + 100 else c_nationkey end as label from customer)"
 
 
 def _sub(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").where("c_custkey % 3 <> 0 or c_nationkey < 20").select(k.alias("subject_id"), F.when(k % 11 == 0, None).otherwise(F.col("c_nationkey")).alias("label"))
+    return table(spark, d, "customer").select(k.alias("subject_id"), F.when(k % 11 == 0, None).when(F.col("c_acctbal") > 9900, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("label"))
 
 
 R1 = """st as (select *, case when count(*) over (partition by label) >= 3 then coalesce(label::varchar, '~null') else '~pool' end as stratum from sub),
@@ -97,14 +97,14 @@ def r11_parameter_grid(spark, d):
     return S.parameter_grid(spark, {"kind": ["l1", "l2"], "alpha": [1, 2, 3]})
 
 
-OOF = "s as (select c_custkey as subject_id, c_custkey % 5 as f from customer where c_custkey <= 200), p as (select subject_id, f as subject_fold, case when subject_id % 31 = 0 then (f + 1) % 5 else f end as fold, case when subject_id % 37 = 0 then null else 0.5::double end as p from s where subject_id % 17 <> 0 union all select subject_id, f, f, 0.5::double from s where subject_id % 41 = 0 union all select -1, 0, 0, 0.5::double)"
+OOF = "s as (select c_custkey as subject_id, c_custkey % 5 as f from customer), p as (select subject_id, f as subject_fold, case when subject_id % 31 = 0 then (f + 1) % 5 else f end as fold, case when subject_id % 37 = 0 then null else 0.5::double end as p from s where subject_id % 17 <> 0 union all select subject_id, f, f, 0.5::double from s where subject_id % 41 = 0 union all select -1, 0, 0, 0.5::double)"
 
 
 @query(sql(OOF, "n as (select subject_id, count(*) as n, bool_or(fold <> subject_fold) as leak, bool_or(p is null) as bad from p group by 1)",
            then="select subject_id, problem from (select coalesce(s.subject_id, n.subject_id) as subject_id, case when n.n is null then 'missing' when s.subject_id is null then 'unexpected' when n.n > 1 then 'duplicate' when leak then 'leaked' when bad then 'not_finite' end as problem from s full join n on s.subject_id = n.subject_id) where problem is not null"))
 def r10_oof_problems(spark, d):
     i = F.col("subject_id")
-    s = table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 5).alias("f"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 5).alias("f"))
     p = s.where(i % 17 != 0).select(i, F.col("f").alias("subject_fold"), F.when(i % 31 == 0, (F.col("f") + 1) % 5).otherwise(F.col("f")).alias("fold"), F.when(i % 37 == 0, None).otherwise(0.5).alias("p"))
     p = p.unionAll(s.where(i % 41 == 0).select(i, "f", "f", F.lit(0.5))).unionAll(spark.range(1).select(F.lit(-1), F.lit(0), F.lit(0), F.lit(0.5)))
     return S.oof_problems(s, p)

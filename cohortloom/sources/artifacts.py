@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.operators.cohorts import ContractError
+from cohortloom.operators.splits import fingerprint
+from cohortloom.operators.texts import PROHIBITED_VALUES
 
 #: Parts of key names that a publication must not have (fixed values).
 PROHIBITED = ("path", "subject_id", "patient", "barcode", "password", "secret", "token", "api_key")
@@ -93,10 +96,19 @@ def prohibited_keys(value: object, at: str = "") -> list[str]:
     return []
 
 
+def prohibited_values(value: object, at: str = "") -> list[str]:
+    """Where a nested value holds text that must not be published."""
+    if isinstance(value, dict):
+        return [p for k, v in value.items() for p in prohibited_values(v, f"{at}/{k}")]
+    if isinstance(value, list):
+        return [p for i, v in enumerate(value) for p in prohibited_values(v, f"{at}/{i}")]
+    return [at] if isinstance(value, str) and re.search(PROHIBITED_VALUES, value) else []
+
+
 def publish(path: str | Path, report: dict, allowed: list[str]) -> str:
-    """Write the allowed top-level keys, once, if nothing prohibited is in them."""
+    """Write the allowed top-level keys, once, if nothing prohibited is in their keys or values."""
     summary = {k: report[k] for k in allowed if k in report}
-    if found := prohibited_keys(summary):
+    if found := prohibited_keys(summary) + prohibited_values(summary):
         raise ContractError(f"not to be published: {found}")
     return write_json(path, summary, exclusive=True)
 
@@ -167,3 +179,66 @@ def write_report(path: str | Path, title: str, sections: dict[str, DataFrame]) -
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows] + [""]
     write_atomic(path, "\n".join(out).encode())
+
+
+def save_fold(artifact: DataFrame, root: str, fold: str | int, train: DataFrame, val: DataFrame) -> dict:
+    """A fold's preprocessing artifact (gene, ...) with the fingerprints of the subjects it was fitted on and is held against; the manifest is written last."""
+    at = f"{root}/preprocessing/fold_{fold:02d}" if isinstance(fold, int) else f"{root}/preprocessing/fold_{fold}"
+    marks = {name: fingerprint(df.select("subject_id").distinct(), "", "subject_id").first()[0] for name, df in (("train", train), ("val", val))}
+    manifest = {"fold": fold, "artifact": write_frame(artifact, f"{at}/artifact", ["gene"]), "subjects": marks, "status": "complete"}
+    write_json(f"{at}/manifest.json", manifest, exclusive=True)
+    return manifest
+
+
+def load_fold(spark: SparkSession, root: str, fold: str | int, train: DataFrame | None = None, val: DataFrame | None = None) -> DataFrame:
+    """The artifact, if it is complete, unchanged, and of the subjects expected."""
+    at = Path(f"{root}/preprocessing/fold_{fold:02d}" if isinstance(fold, int) else f"{root}/preprocessing/fold_{fold}")
+    if not (at / "manifest.json").exists():
+        raise ContractError(f"{at} is incomplete")
+    manifest = read_json(at / "manifest.json")
+    for name, df in (("train", train), ("val", val)):
+        if df is not None and fingerprint(df.select("subject_id").distinct(), "", "subject_id").first()[0] != manifest["subjects"][name]:
+            raise ContractError(f"{at} belongs to other {name} subjects")
+    return verify_frame(spark, str(at / "artifact"), ["gene"], manifest["artifact"])
+
+
+def write_run(root: str | Path, run_id: str, files: dict[str, object], status: str = "complete") -> dict:
+    """An evidence run: JSON files in a folder of its own, each with its SHA-256 in a manifest that is written last. A run is never written twice."""
+    at = Path(root) / run_id
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run_id) or any(Path(n).is_absolute() or ".." in Path(n).parts for n in files):
+        raise ContractError(f"names of {run_id} leave its folder")
+    if (at / "manifest.json").exists():
+        raise ContractError(f"{run_id} is written")
+    marks = {}
+    for name, value in sorted(files.items()):
+        data = canonical(value).encode()
+        write_atomic(at / name, data)
+        marks[name] = hashlib.sha256(data).hexdigest()
+    manifest = {"run_id": run_id, "files": marks, "status": status}
+    write_json(at / "manifest.json", manifest, exclusive=True)
+    return manifest
+
+
+def validate_run(root: str | Path, run_id: str) -> dict:
+    """The manifest, if every file is as written and no other is there."""
+    at = Path(root) / run_id
+    manifest = read_json(at / "manifest.json")
+    found = {str(p.relative_to(at)): hashlib.sha256(p.read_bytes()).hexdigest() for p in at.rglob("*") if p.is_file() and p.name != "manifest.json"}
+    if found != manifest["files"]:
+        raise ContractError(f"{run_id}: {sorted(set(found) ^ set(manifest['files'])) or 'contents'} differ from the manifest")
+    return manifest
+
+
+def list_runs(root: str | Path) -> list[str]:
+    """Runs that are complete, by name."""
+    return sorted(p.parent.name for p in Path(root).glob("*/manifest.json") if read_json(p)["status"] == "complete")
+
+
+def write_table_report(path: str | Path, df: DataFrame, required: list[str], most: int = 1000) -> str:
+    """A robustness or ablation table as a fingerprinted record: the required columns must be there, and all rows, of which there may be so many."""
+    if missing := [c for c in required if c not in df.columns]:
+        raise ContractError(f"{path} lacks {missing}")
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ContractError(f"{path} is no table of results")
+    return write_json(path, {"columns": df.columns, "rows": sorted(([r[c] for c in df.columns] for r in rows), key=repr)}, exclusive=True)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +55,61 @@ def microarray(spark: SparkSession, at: dict) -> tuple[DataFrame, DataFrame]:
     return expr.withColumnRenamed("sample_id", "cell_id"), cells
 
 
+def conditions(spark: SparkSession, at: dict) -> tuple[DataFrame, DataFrame]:
+    """(expr, cells) of one MatrixMarket triple for each sample, {samples: [{matrix, barcodes, genes, n_barcodes, n_genes}, ...]}, on all their genes.
+
+    Sample and condition are read from the matrix's name; absent values are zeros, so the union of genes needs no filling. A condition that is
+    not known leaves the label empty.
+    """
+    from cohortloom.operators.texts import sample_of_file
+
+    expr = cells = None
+    for one in at["samples"]:
+        e, c = single_cell(spark, one | {"species": at.get("species", "mouse")})
+        s = spark.range(1).select(sample_of_file(F.lit(one["matrix"])).alias("s")).first()["s"]
+        name = F.concat(F.lit(f"{s['sample']}_{s['condition']}_"), "cell_id")
+        e = e.groupBy(name.alias("cell_id"), "gene").agg(F.sum("value").alias("value"))  # a symbol may stand for several ids
+        c = c.select(name.alias("cell_id"), namespaced(F.lit(s["sample"]), F.lit(at.get("species", "mouse"))).alias("subject_id"), "is_pseudo_bulk", "species", F.lit(s["label"]).cast("string").alias("smoke_type"))
+        expr, cells = (e, c) if expr is None else (expr.unionByName(e), cells.unionByName(c))
+    if expr is None:
+        raise ContractError("no sample is given")
+    return expr, cells
+
+
 READERS: dict[str, Callable] = {"single_cell": single_cell, "microarray": microarray}
+#: The file of each kind that decides whether a source is there.
+MAIN = {"single_cell": "matrix", "microarray": "csv"}
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds anything at a path."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def load_bulk(spark: SparkSession, at: dict, enabled: bool = False, trainable: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """(expr, cells) of a bulk source, which is off by default: None. Every row must be bulk, and none may be asked for as trainable cells."""
+    if trainable:
+        raise ContractError("bulk rows are no cells to train on")
+    if not enabled:
+        return None
+    expr, cells = microarray(spark, at)
+    return expr, assert_rows_match_policy(cells, "bulk_only")
+
+
+def load_config(config: dict | str) -> dict:
+    """A configuration: a dictionary, or the path of a JSON file with an object."""
+    if isinstance(config, dict):
+        return config
+    found = json.loads(Path(config).read_text())
+    if not isinstance(found, dict):
+        raise ContractError(f"{config} holds no object")
+    return found
 
 
 def load_all(spark: SparkSession, sources: dict[str, dict], policy: str = "single_cell_only", mode: str = "human_only") -> dict[str, tuple[DataFrame, DataFrame]]:
@@ -63,12 +120,9 @@ def load_all(spark: SparkSession, sources: dict[str, dict], policy: str = "singl
     for name, at in sources.items():
         if at["kind"] not in READERS:
             raise ContractError(f"no reader for {at['kind']}")
-        try:
-            expr, cells = READERS[at["kind"]](spark, at)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if not is_there(spark, at[MAIN[at["kind"]]]):
             continue
+        expr, cells = READERS[at["kind"]](spark, at)  # a side file that is missing is an error
         require_none(assert_rows_match_policy(cells, policy), ~F.col("species").isin(*MODES[mode]), "species outside the mode")
         out[name] = (expr, cells)
     if not out:
@@ -85,11 +139,6 @@ def checksums(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
     """SHA-256 of each file, hashed in tasks; null where it is absent. For files that fit a task."""
     out: dict[str, str | None] = {}
     for p in paths:
-        try:
-            row = spark.read.format("binaryFile").load(p).select(F.sha2("content", 256)).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            row = None
+        row = spark.read.format("binaryFile").load(p).select(F.sha2("content", 256)).first() if is_there(spark, p) else None
         out[p] = row[0] if row else None
     return out

@@ -10,14 +10,13 @@ from cohortloom.operators.texts import characteristics, strip_version
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file that fits a task, as metadata files do; gzip works."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    """(line_no, value) of a text file, line by line; gzip works. line_no grows with the place in the file, with gaps where the file is split."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def _between(lines: DataFrame, begin: str, end: str) -> DataFrame:
     marks = lines.agg(F.min(F.when(F.lower(F.trim("value")) == begin, F.col("line_no"))).alias("a"), F.min(F.when(F.lower(F.trim("value")) == end, F.col("line_no"))).alias("b"))
-    return lines.join(F.broadcast(marks)).where((F.col("line_no") > F.col("a")) & (F.col("line_no") < F.coalesce("b", F.lit(1 << 30)))).select("line_no", "value")
+    return lines.join(F.broadcast(marks)).where((F.col("line_no") > F.col("a")) & (F.col("line_no") < F.coalesce("b", F.lit(1 << 62)))).select("line_no", "value")
 
 
 def _unquoted(x):
@@ -31,7 +30,7 @@ def sample_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     ids = lines.where(F.col("value").startswith("!Sample_geo_accession")).select(F.posexplode(cells).alias("pos", "sample_id"))
     n = ids.count()
     titles = lines.where(F.col("value").startswith("!Sample_title")).select(cells.alias("t")).where(F.size("t") == n).select(F.posexplode("t").alias("pos", "title"))
-    meta = lines.where(F.col("value").startswith("!Sample_characteristics_ch1")).select("line_no", cells.alias("cells"))
+    meta = lines.where(F.col("value").startswith("!Sample_characteristics_ch1")).select("line_no", F.posexplode(cells).alias("pos", "cell"))
     return ids.join(titles, "pos", "left"), characteristics(meta, n)
 
 
@@ -102,3 +101,49 @@ def load_labelled_matrix(spark: SparkSession, csv: str, meta: str) -> tuple[Data
     if bad["bad"] or not bad["known"]:
         raise ContractError(f"{meta}: {bad['bad']} flags are malformed, {bad['known']} labels are known")
     return wide_matrix(spark, csv), flags
+
+
+def three_field_microarray(spark: SparkSession, series: str, matrix: str) -> tuple[DataFrame, DataFrame]:
+    """(expression, samples) of a matrix whose columns follow the series matrix's samples by place, split at white space.
+
+    Samples are classed by their characteristics "cannabis group", "cigarette" and "vape"; without any characteristics nothing is
+    known of them. Another number of columns than of samples is an error; versions of gene ids are cut.
+    """
+    from cohortloom.operators.labels import three_field_class
+
+    ids, meta = sample_metadata(spark, series)
+    lines = numbered_lines(spark, matrix).where(F.trim("value") != "")
+    f = F.split(F.trim("value"), r"\s+")
+    head = lines.orderBy("line_no").limit(2).select(F.size(f).alias("n"), "line_no").collect()
+    n = ids.count()
+    if len(head) < 2 or head[1]["n"] != n + 1:
+        raise ContractError(f"{matrix} has {head[1]['n'] - 1 if len(head) > 1 else 0} samples, {series} lists {n}")
+    body = lines.where(F.col("line_no") > head[0]["line_no"])
+    long = body.select(strip_version(F.get(f, F.lit(0))).alias("gene"), F.posexplode(F.slice(f, 2, n)).alias("pos", "v"))
+    expr = long.join(F.broadcast(ids.select("pos", "sample_id")), "pos").select("gene", "sample_id", F.col("v").try_cast("double").alias("value"))
+    pick = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    fields = meta.groupBy("pos").agg(pick("cannabis group").alias("cannabis"), pick("cigarette").alias("cigarette"), pick("vape").alias("vape"))
+    joined = ids.join(fields, "pos", "left").join(F.broadcast(meta.agg(F.count("*").alias("n_meta"))))
+    known = F.col("n_meta") > 0
+    label = F.when(known, three_field_class(F.col("cannabis"), F.col("cigarette"), F.col("vape"))).otherwise("unknown")
+    return expr, joined.select("sample_id", label.alias("smoke_type"), known.alias("smoke_type_known"))
+
+
+def load_outcome_matrix(spark: SparkSession, csv: str, meta: str) -> tuple[DataFrame, DataFrame]:
+    """(expression, samples) with a vital status: sample_id, subject_id and a strictly parsed outcome are required, and both outcomes must occur."""
+    from cohortloom.functions.parse import integral
+
+    side = spark.read.csv(meta, header=True)
+    if missing := [c for c in ("sample_id", "subject_id", "outcome") if c not in side.columns]:
+        raise ContractError(f"{meta} lacks {missing}")
+    rows = side.select("sample_id", "subject_id", integral(F.col("outcome")).alias("outcome"), F.col("outcome").isNotNull().alias("_given"))
+    seen = rows.agg(F.count_if(F.col("_given") & (F.col("outcome").isNull() | ~F.col("outcome").isin(0, 1))).alias("bad"), F.count_distinct("outcome").alias("k"), F.count_distinct("subject_id").alias("subjects"), F.count("*").alias("n")).first()
+    if seen["bad"] or seen["k"] != 2:
+        raise ContractError(f"{meta}: {seen['bad']} outcomes are malformed, {seen['k']} of two occur")
+    return wide_matrix(spark, csv), rows.drop("_given")
+
+
+def require_columns(spark: SparkSession, path: str, needed: list[str]) -> None:
+    """An error unless a table with a header is there and has the columns; its rows are not read."""
+    if missing := [c for c in needed if c not in spark.read.csv(path, header=True).columns]:
+        raise ContractError(f"{path} lacks {missing}")

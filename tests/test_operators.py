@@ -117,10 +117,10 @@ def test_thresholds(spark):
 def test_calibrators(spark):
     p = spark.createDataFrame([(int(i % 10 < i // 20), i / 200) for i in range(200)], "y_true int, y_prob double")
     iso = calibration.fit_calibrator(p)
-    assert iso[0] == "isotonic"
-    got = [r[0] for r in p.orderBy("y_prob").select(calibration.apply_calibrator(F.col("y_prob"), iso)).collect()]
+    assert iso.method == "isotonic"
+    got = [r["y_prob"] for r in iso.apply(p.withColumn("k", F.col("y_prob"))).orderBy("k").collect()]
     assert got == sorted(got) and 0 <= got[0] <= got[-1] <= 1
-    assert calibration.fit_calibrator(p.limit(30))[0] in ("sigmoid", "none") and calibration.fit_calibrator(p.where("y_true = 1"))[0] == "none"
+    assert calibration.fit_calibrator(p.limit(30)).method in ("sigmoid", "none") and calibration.fit_calibrator(p.where("y_true = 1")).method == "none"
 
 
 def test_vectors(spark):
@@ -199,3 +199,66 @@ def test_bags_hold_whole_vectors(spark):
     whole = table(spark, data, "embeddings").selectExpr("sum(aggregate(embedding, 0D, (s, x) -> s + x * 8)) as total", "min(size(embedding)) as n").first()
     got = bags.selectExpr("sum(aggregate(x, 0D, (s, x) -> s + x)) as total", "min(size(x)) as n", "max(size(x)) as most").first()
     assert got["n"] == got["most"] == whole["n"] == lookups.DIMENSIONS and got["total"] == pytest.approx(whole["total"])
+
+
+def test_a_frozen_policy_judges_once(spark):
+    p = spark.createDataFrame([(int(i % 10 < i // 20), i / 200, "a") for i in range(200)], "y_true int, y_prob double, source string")
+    one, two = calibration.freeze(p, method="none"), calibration.freeze(p, method="none")
+    assert one.fingerprint == two.fingerprint != calibration.freeze(p, "balanced_accuracy", "isotonic").fingerprint
+    assert one.evaluate(p).first()["threshold"] == one.threshold
+    with pytest.raises(cohorts.ContractError):
+        one.evaluate(p)
+
+
+def test_curves_over_ranges_equal_one_window(spark, monkeypatch):
+    p = spark.createDataFrame([(i % 3 % 2, ((i * 37) % 101) / 101, f"s{i % 2}") for i in range(300)] + [(1, 0.0, "s0"), (0, 1.0, "s0")], "y_true int, y_prob double, source string")
+    columns = ("source", "t", "p", "q", "tp", "fp", "pos", "neg")
+    fine = rows(metrics.curve(p, ["source"]), *columns)
+    for n in (1, 4):
+        monkeypatch.setattr(metrics, "RANGES", n)
+        assert rows(metrics.curve(p, ["source"]), *columns) == fine
+
+
+def test_covariances_do_not_depend_on_partitions(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = 1e6 + r.normal(size=(40, 5))
+    df = spark.createDataFrame([("a" if i < 39 else "b", [float(v) for v in row]) for i, row in enumerate(x)], "source string, x array<double>")
+    want = np.cov(x[:39].T)
+    for n in (1, 7):
+        got = {(c["source"], c["g"], c["h"]): c["cov"] for c in shift.covariances(df.repartition(n)).collect()}
+        assert all(math.isclose(got["a", g, h], want[g, h], abs_tol=1e-7) for g in range(5) for h in range(g, 5)) and got["b", 0, 1] == 0
+
+
+def test_statistics_of_large_values_keep_their_variance(spark):
+    cells = spark.range(4).select(F.col("id").alias("cell_id"))
+    expr = cells.select("cell_id", F.lit("g").alias("gene"), (1e9 + F.col("cell_id") % 2).alias("value"))
+    assert math.isclose(matrix.gene_stats(expr, cells).first()["std"], 0.5, rel_tol=1e-6)
+    assert math.isclose(matrix.gene_stats(expr.where("cell_id < 2"), cells).first()["mean"], (2e9 + 1) / 4)
+
+
+def test_gates_and_names(spark):
+    from cohortloom.operators import experiments
+
+    with pytest.raises(cohorts.ContractError):
+        experiments.require_inductive(True, "folds")
+    experiments.require_inductive(False, "folds")
+    assert models.candidate_kind(" RF ", 2, False) == "random_forest"
+    for bad in (("none such", 2, True), ("module_attention", 2, False), ("centroid", 3, True)):
+        with pytest.raises(cohorts.ContractError):
+            models.candidate_kind(*bad)
+
+
+def test_dispersions_by_hand(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = np.log1p(r.gamma(2.0, np.linspace(0.1, 6, 30)[:, None], size=(30, 50)))
+    df = spark.createDataFrame([(c, f"g{g:02d}", float(x[g, c])) for g in range(30) for c in range(50)], "cell_id int, gene string, value double")
+    raw = np.expm1(x)
+    m, d = np.log1p(raw.mean(axis=1)), np.log(raw.var(axis=1, ddof=1) / raw.mean(axis=1))
+    place = np.maximum(0, np.ceil((m - m.min()) / (m.max() - m.min()) * 20) - 1).clip(max=19)
+    want = {f"g{g:02d}": 1.0 if (place == place[g]).sum() == 1 else (d[g] - d[place == place[g]].mean()) / d[place == place[g]].std(ddof=1) for g in range(30)}
+    got = {q["gene"]: q["z"] for q in matrix.dispersions(df).collect()}
+    assert all(math.isclose(got[g], z, abs_tol=1e-6) for g, z in want.items())

@@ -44,6 +44,19 @@ def test_against_sql(spark, db, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == want
 
 
+#: Rows of the queries without SQL, as (columns, rows or a table that gives as many), and a column of probabilities.
+SHAPES = {
+    "c1_sigmoid": ({"subject_id", "y_true", "calibrated"}, None, "calibrated"), "c9_dropout_uncertainty": ({"subject_id", "mean", "variance"}, None, "mean"), "e2_bulk_classification": ({"sensitivity", "specificity", "auroc", "n"}, 1, "auroc"),
+    "e4_calibrated_evaluation": ({"threshold", "auroc", "ece"}, 1, "auroc"), "n6_batch_centring": ({"id", "source", "x"}, 40, None), "u2_logistic": ({"subject_id", "fold", "y_prob"}, "embeddings", "y_prob"),
+    "u2_random_forest": ({"subject_id", "y_prob", "y_pred"}, None, "y_prob"), "u5_attention_training": ({"subject_id", "y_prob"}, None, "y_prob"), "x6_source_predictability": ({"accuracy", "baseline"}, 1, "accuracy")}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_runs(spark, name):
-    assert registry.queries()[name](spark, DATA).count() >= 0
+def test_shapes(spark, db, name):
+    columns, n, share = SHAPES[name]
+    rows = registry.queries()[name](spark, DATA).collect()
+    assert rows and columns <= set(rows[0].asDict())
+    if n is not None:
+        assert len(rows) == (n if isinstance(n, int) else db.execute(f"select count(*) from {n}").fetchone()[0])
+    if share:
+        assert all(r[share] is None or 0 <= r[share] <= 1 for r in rows) and any(r[share] is not None for r in rows)

@@ -148,3 +148,105 @@ def test_bundles_and_reports(spark, tmp_path):
         artifacts.load_bundle(spark, str(tmp_path / "b"))
     artifacts.write_report(tmp_path / "r.md", "Report", {"panel": artifact})
     assert "| g1 | 0.5 |" in (tmp_path / "r.md").read_text()
+
+
+def test_fold_artifacts_belong_to_their_subjects(spark, tmp_path):
+    artifact = spark.createDataFrame([("g1", 0.5), ("g2", 1.5)], "gene string, mean double")
+    train, val = (spark.createDataFrame([(s,) for s in x], "subject_id string") for x in (["a", "b"], ["c"]))
+    artifacts.save_fold(artifact, str(tmp_path), 1, train, val)
+    assert artifacts.load_fold(spark, str(tmp_path), 1, train.unionAll(train), val).count() == 2
+    with pytest.raises(ContractError, match="other train"):
+        artifacts.load_fold(spark, str(tmp_path), 1, val)
+    with pytest.raises(ContractError, match="incomplete"):
+        artifacts.load_fold(spark, str(tmp_path), "2_1")
+    (tmp_path / "preprocessing/fold_01/manifest.json").unlink()
+    with pytest.raises(ContractError, match="incomplete"):
+        artifacts.load_fold(spark, str(tmp_path), 1)
+
+
+def test_evidence_runs_are_written_once_and_checked(tmp_path):
+    artifacts.write_run(tmp_path, "run-1", {"metrics.json": {"auroc": 0.7}, "sub/rows.json": [1, 2]})
+    assert artifacts.validate_run(tmp_path, "run-1")["status"] == "complete" and artifacts.list_runs(tmp_path) == ["run-1"]
+    for name, files in (("run-1", {}), ("run-2", {"../x.json": 1}), ("a/b", {})):
+        with pytest.raises(ContractError):
+            artifacts.write_run(tmp_path, name, files)
+    (tmp_path / "run-1/extra.json").write_text("{}")
+    with pytest.raises(ContractError, match="extra"):
+        artifacts.validate_run(tmp_path, "run-1")
+    (tmp_path / "run-1/extra.json").unlink()
+    (tmp_path / "run-1/metrics.json").write_text('{"auroc":0.9}')
+    with pytest.raises(ContractError, match="differ"):
+        artifacts.validate_run(tmp_path, "run-1")
+
+
+def test_publication_looks_at_values_and_keys(tmp_path):
+    report = {"summary": {"auroc": 0.7, "note": "from GSM123456"}, "fine": [1]}
+    with pytest.raises(ContractError, match="note"):
+        artifacts.publish(tmp_path / "p.json", report, ["summary"])
+    artifacts.publish(tmp_path / "p.json", report, ["fine"])
+    assert artifacts.read_json(tmp_path / "p.json") == {"fine": [1]}
+
+
+def test_table_reports(spark, tmp_path):
+    df = spark.createDataFrame([("all", 0.7), ("without a", 0.6)], "arm string, metric double")
+    artifacts.write_table_report(tmp_path / "r.json", df, ["arm", "metric"])
+    assert artifacts.read_json(tmp_path / "r.json")["rows"] == [["all", 0.7], ["without a", 0.6]]
+    for kw in ({"required": ["change"]}, {"required": [], "most": 1}):
+        with pytest.raises(ContractError):
+            artifacts.write_table_report(tmp_path / "q.json", df, **kw)
+
+
+def test_one_matrix_for_each_sample(spark, tmp_path):
+    for name, body in (("GSM1_Con", "2 1 2\n1 1 5\n2 1 1\n"), ("GSM2_E-cigs", "2 2 2\n1 1 3\n2 2 4\n")):
+        (tmp_path / f"{name}_matrix.mtx").write_text("%%MatrixMarket matrix coordinate real general\n" + body)
+    (tmp_path / "b1").write_text("AA\n")
+    (tmp_path / "b2").write_text("AA\nBB\n")
+    (tmp_path / "g").write_text("e1\tG1\ne2\tG2\n")
+    (tmp_path / "h").write_text("e1\tG1\ne3\tG3\n")
+    one = lambda n, b, g, k: {"matrix": str(tmp_path / n), "barcodes": str(tmp_path / b), "genes": str(tmp_path / g), "n_barcodes": k, "n_genes": 2}
+    expr, cells = catalog.conditions(spark, {"samples": [one("GSM1_Con_matrix.mtx", "b1", "g", 1), one("GSM2_E-cigs_matrix.mtx", "b2", "h", 2)]})
+    assert sorted(map(tuple, expr.collect())) == [("GSM1_Con_AA", "G1", 5.0), ("GSM1_Con_AA", "G2", 1.0), ("GSM2_E-cigs_AA", "G1", 3.0), ("GSM2_E-cigs_BB", "G3", 4.0)]
+    assert sorted((c["cell_id"], c["subject_id"], c["smoke_type"]) for c in cells.collect()) == [("GSM1_Con_AA", "mouse::GSM1", "unexposed"), ("GSM2_E-cigs_AA", "mouse::GSM2", "vape"), ("GSM2_E-cigs_BB", "mouse::GSM2", "vape")]
+
+
+def test_three_field_samples_follow_by_place(spark, tmp_path):
+    series, matrix = tmp_path / "s.txt", tmp_path / "m.txt"
+    series.write_text('!Sample_title\t"a"\t"b"\t"c"\n!Sample_geo_accession\t"X1"\t"X2"\t"X3"\n!Sample_characteristics_ch1\t"cannabis group: Cannabis"\t"cannabis group: none"\t"cannabis group: cannabis"\n!Sample_characteristics_ch1\t"cigarette: never"\t"cigarette: never"\t"cigarette: Current"\n!Sample_characteristics_ch1\t"vape: no"\t"vape: no"\t"vape: no"\n')
+    matrix.write_text("gene sample1 sample2 sample3\nENSG1.4  1 2   3\nENSG2.1 0 x 9\n")
+    expr, samples = geo.three_field_microarray(spark, str(series), str(matrix))
+    assert sorted((r["sample_id"], r["smoke_type"], r["smoke_type_known"]) for r in samples.collect()) == [("X1", "cannabis", True), ("X2", "unexposed", True), ("X3", "dual_use", True)]
+    assert sorted(map(tuple, expr.collect()), key=repr) == sorted([("ENSG1", "X1", 1.0), ("ENSG1", "X2", 2.0), ("ENSG1", "X3", 3.0), ("ENSG2", "X1", 0.0), ("ENSG2", "X2", None), ("ENSG2", "X3", 9.0)], key=repr)
+    matrix.write_text("gene sample1\nENSG1 1\n")
+    with pytest.raises(ContractError, match="lists 3"):
+        geo.three_field_microarray(spark, str(series), str(matrix))
+    series.write_text('!Sample_geo_accession\t"X1"\n')
+    _, samples = geo.three_field_microarray(spark, str(series), str(matrix))
+    assert [(r["smoke_type"], r["smoke_type_known"]) for r in samples.collect()] == [("unknown", False)]
+
+
+def test_gated_loading(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("gene,s1,s2\ng1,1,2\n")
+    (tmp_path / "side.csv").write_text("sample_id,subject_id,outcome\ns1,p1,1\ns2,p2,0\n")
+    at = {"csv": str(tmp_path / "m.csv"), "sidecar": str(tmp_path / "side.csv"), "smoke_type": "cigarette"}
+    assert catalog.load_bulk(spark, at) is None and catalog.load_bulk(spark, at, enabled=True)[1].count() == 2
+    with pytest.raises(ContractError):
+        catalog.load_bulk(spark, at, enabled=True, trainable=True)
+    expr, rows = geo.load_outcome_matrix(spark, at["csv"], at["sidecar"])
+    assert expr.count() == 2 and sorted(r["outcome"] for r in rows.collect()) == [0, 1]
+    (tmp_path / "side.csv").write_text("sample_id,subject_id,outcome\ns1,p1,1\ns2,p2,maybe\n")
+    with pytest.raises(ContractError, match="malformed"):
+        geo.load_outcome_matrix(spark, at["csv"], at["sidecar"])
+    geo.require_columns(spark, at["sidecar"], ["outcome"])
+    with pytest.raises(ContractError, match="lacks"):
+        geo.require_columns(spark, at["sidecar"], ["candx"])
+    (tmp_path / "c.json").write_text('{"seed": 3}')
+    assert catalog.load_config(str(tmp_path / "c.json")) == catalog.load_config({"seed": 3})
+
+
+def test_a_missing_side_file_is_an_error(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("gene,s1\ng1,1\n")
+    at = {"kind": "microarray", "csv": str(tmp_path / "m.csv"), "sidecar": str(tmp_path / "none.csv"), "smoke_type": "vape"}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        catalog.load_all(spark, {"a": at}, "bulk_only")
+    with pytest.raises(ContractError, match="no source"):
+        catalog.load_all(spark, {"a": at | {"csv": str(tmp_path / "gone.csv")}}, "bulk_only")
