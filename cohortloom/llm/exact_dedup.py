@@ -31,12 +31,15 @@ def blocks(text: Column, size: int) -> Column:
     return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0))
 
 
-def clashes(contents: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
-    """(h, content, r): the rank r, over 0, of every content that shares its hash with a smaller one; contents has the column `content`."""
-    named = contents.select(hashed(F.col("content")).cast("long").alias("h"), "content").distinct()
-    shared = named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+def shared_hashes(named: DataFrame) -> DataFrame:
+    """(h): hashes that several contents of (h, content) have."""
+    return named.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+
+
+def clashes(named: DataFrame, shared: DataFrame) -> DataFrame:
+    """(h, content, r): the rank r, over 0, of every content that shares its hash with a smaller one."""
     rank = F.row_number().over(Window.partitionBy("h").orderBy("content")) - 1
-    return named.join(shared, "h", "left_semi").withColumn("r", rank.cast("int")).where("r > 0")
+    return named.join(shared, "h", "left_semi").distinct().withColumn("r", rank.cast("int")).where("r > 0")
 
 
 def name_all(rows: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
@@ -44,10 +47,12 @@ def name_all(rows: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
 
     Where no hash is shared, as is usual, all ranks are 0. Else ranks come from the table of clashes by a join, however many there are.
     """
-    found = materialize(clashes(rows.select(F.explode("contents").alias("content")), hashed))
-    if found.isEmpty():
-        discard(found)
+    named = rows.select(F.explode("contents").alias("content")).select(hashed(F.col("content")).cast("long").alias("h"), "content")
+    shared = materialize(shared_hashes(named))
+    if shared.isEmpty():
+        discard(shared)
         return rows.withColumn("names", F.transform("contents", lambda c: F.struct(hashed(c).cast("long").alias("h"), F.lit(0).alias("r")))).drop("contents")
+    found = materialize(clashes(named, shared))
     keyed = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     each = keyed.select("row", F.posexplode("contents").alias("at", "content")).withColumn("h", hashed(F.col("content")).cast("long"))
     named = each.join(found, ["h", "content"], "left").select("row", F.struct("at", F.struct("h", F.coalesce("r", F.lit(0)).alias("r")).alias("name")).alias("x"))
