@@ -19,18 +19,18 @@ def require_none(df: DataFrame, holds: Column, what: str) -> DataFrame:
 
 
 def policy_violations(cells: DataFrame, bulk: str = "is_pseudo_bulk") -> DataFrame:
-    """(policy, n_rows, n_violations, admitted) of each policy that can be trained on."""
-    n = cells.agg(F.count("*").alias("n"), F.count_if(F.col(bulk)).alias("bulk"), F.count_if(~F.col(bulk)).alias("single"))
+    """(policy, n_rows, n_violations, admitted) of each policy that can be trained on; a row that does not say what it is violates both."""
+    n = cells.agg(F.count("*").alias("n"), F.count_if(F.coalesce(bulk, F.lit(True))).alias("bulk"), F.count_if(~F.coalesce(bulk, F.lit(False))).alias("single"))
     each = n.select("n", F.explode(F.array(F.struct(F.lit("single_cell_only").alias("policy"), F.col("bulk").alias("bad")), F.struct(F.lit("bulk_only").alias("policy"), F.col("single").alias("bad")))).alias("p"))
     return each.select("p.policy", F.col("n").alias("n_rows"), F.col("p.bad").alias("n_violations"), (F.col("p.bad") == 0).alias("admitted"))
 
 
 def assert_rows_match_policy(cells: DataFrame, policy: str, bulk: str = "is_pseudo_bulk") -> DataFrame:
-    """single_cell_only admits no bulk row, bulk_only no cell row; other policies can't be trained on."""
+    """single_cell_only admits no bulk row, bulk_only no cell row, neither one that does not say; other policies can't be trained on."""
     if policy == "single_cell_only":
-        return require_none(cells, F.col(bulk), "bulk rows under single_cell_only")
+        return require_none(cells, F.coalesce(bulk, F.lit(True)), "bulk rows under single_cell_only")
     if policy == "bulk_only":
-        return require_none(cells, ~F.col(bulk), "cell rows under bulk_only")
+        return require_none(cells, ~F.coalesce(bulk, F.lit(False)), "cell rows under bulk_only")
     raise ContractError(f"policy {policy} has no trainable rows")
 
 
@@ -114,3 +114,13 @@ def missing_types(cells: DataFrame) -> DataFrame:
     """(subject_id, cell_type_id) that occur in some subject, but not in this one."""
     grid = cells.select("subject_id").distinct().join(F.broadcast(cells.select("cell_type_id").distinct()))
     return grid.join(cells.select("subject_id", "cell_type_id").distinct(), ["subject_id", "cell_type_id"], "left_anti")
+
+
+def track_status(cohorts: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(task, role, status, cohorts): which of cohorts (cohort, tasks, roles) serve each of the few tracks (task, role), by the registry alone.
+
+    status is no_eligible_cohort or eligible; a cohort serves where it supports the task and may have the role.
+    """
+    serves = cohorts.select("cohort", "roles", F.explode("tasks").alias("task")).select("cohort", "task", F.explode("roles").alias("role")).distinct()
+    named = serves.groupBy("task", "role").agg(F.array_join(F.array_sort(F.collect_list("cohort")), ";").alias("cohorts"))
+    return tracks.join(named, ["task", "role"], "left").select("task", "role", F.when(F.col("cohorts").isNull(), "no_eligible_cohort").otherwise("eligible").alias("status"), F.coalesce("cohorts", F.lit("")).alias("cohorts"))

@@ -44,6 +44,25 @@ def cross_validate(rows: DataFrame, kinds: list[str], folds: int, seeds: list[in
     return out
 
 
+def repeated_out_of_fold(rows: DataFrame, kind: str, folds: int, seeds: list[int]) -> DataFrame:
+    """(seed, subject_id, source, fold, y_true, y_prob): every row of the development pool once a repeat, on folds of its own.
+
+    rows: subject_id, source, y_true, features; splits.oof_problems() tells whether a repeat misses a row or has it twice.
+    """
+    out = None
+    for seed in seeds:
+        fold = splits.grouped_folds(rows.select("subject_id", F.col("y_true").alias("label")), folds, seed).select("subject_id", "fold")
+        part = models.out_of_fold(rows.join(fold, "subject_id"), kind, seed).select(F.lit(seed).alias("seed"), "subject_id", "source", "fold", "y_true", "y_prob")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def repeat_spread(repeats: DataFrame) -> DataFrame:
+    """(subject_id, n, mean, sd, flips): how a subject's predictions vary over the repeats; flips counts those on the less frequent side of 0.5."""
+    above = F.count_if(F.col("y_prob") >= 0.5)
+    return repeats.groupBy("subject_id").agg(F.count("*").alias("n"), F.avg("y_prob").alias("mean"), F.stddev_pop("y_prob").alias("sd"), F.least(above, F.count("*") - above).alias("flips"))
+
+
 def compare(results: DataFrame, a: str, b: str) -> DataFrame:
     """Wins, ties, losses and effect of candidate a against b, paired by seed and fold; pairs with an undefined side are left out."""
     x, y = results.where(F.col("candidate") == a), results.where(F.col("candidate") == b)

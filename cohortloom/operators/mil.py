@@ -64,6 +64,17 @@ def subject_vectors(cells: DataFrame, model: GatedAttention) -> DataFrame:
     return sums.select("subject_id", "norm", F.array(*(F.col(f"s{k}") / F.col("norm") for k in range(dims))).alias("z"))
 
 
+def attention(cells: DataFrame, model: GatedAttention) -> DataFrame:
+    """(subject_id, cell_id, e): what each cell weighs, before it is divided by its subject's sum."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.array(batch["x"].tolist(), float).reshape(len(batch), len(model.c))
+            yield pd.DataFrame({"subject_id": batch["subject_id"], "cell_id": batch["cell_id"], "e": np.exp(model.scores(x))})
+
+    return cells.select("subject_id", F.col("cell_id").cast("long").alias("cell_id"), "x").mapInPandas(run, "subject_id string, cell_id long, e double")
+
+
 def predict(cells: DataFrame, model: GatedAttention) -> DataFrame:
     """(subject_id, y_prob)."""
     terms = [F.col("z")[k] * float(c) for k, c in enumerate(model.c)]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.vectors import dot, softmax, total
-from cohortloom.operators.cohorts import ContractError
+from cohortloom.operators.cohorts import ContractError, require_none
 from cohortloom.operators.metrics import ranking_metrics
 
 #: Parameters that are searched for each candidate.
@@ -103,11 +103,13 @@ def _centroid(base: DataFrame, features: str) -> Fitted:
     return Fitted("centroid", predict)
 
 
+CANDIDATES = ("majority", "prevalence", "centroid", "logistic", "random_forest", "gradient_boosting", "small_mlp", "attention", "module_attention")
+
+
 def candidate_kind(name: str, n_classes: int, has_modules: bool) -> str:
     """The candidate that a configured name stands for, or an error where the data cannot carry it."""
-    known = {"majority", "prevalence", "centroid", "logistic", "random_forest", "gradient_boosting", "small_mlp", "attention", "module_attention"}
     name = {"lr": "logistic", "rf": "random_forest", "gbt": "gradient_boosting", "mlp": "small_mlp"}.get(name.strip().lower(), name.strip().lower())
-    if name not in known:
+    if name not in CANDIDATES:
         raise ContractError(f"no candidate {name}")
     if name.startswith("module") and not has_modules:
         raise ContractError(f"{name} needs modules")
@@ -116,6 +118,23 @@ def candidate_kind(name: str, n_classes: int, has_modules: bool) -> str:
     return name
 
 
+#: Training strategies, and candidates that are trained by others than the first (fixed values).
+STRATEGIES, MODULE_BASED = ("erm", "source_balanced", "coral", "mmd", "domain_adversarial"), ("module_attention",)
+
+
+def applied_strategies(runs: DataFrame) -> DataFrame:
+    """runs with (applied, applicable): what the winner (candidate) of a run was trained by, given the strategy it asked for.
+
+    A candidate without modules is trained plainly whatever was asked, and such a run is no evidence for the strategy. Unknown
+    candidates and strategies are an error.
+    """
+    known, few = runs.select("candidate", "strategy").distinct(), F.col("strategy").isin(*STRATEGIES)
+    unknown = ~F.coalesce(few & F.col("candidate").isin(*CANDIDATES), F.lit(False))
+    require_none(known, unknown, "unknown candidates or strategies")
+    applicable = F.col("candidate").isin(*MODULE_BASED) | (F.col("strategy") == STRATEGIES[0])
+    return runs.withColumn("applied", F.when(applicable, F.col("strategy")).otherwise(STRATEGIES[0])).withColumn("applicable", applicable)
+
+
 def out_of_fold(rows: DataFrame, kind: str, seed: int = 0, **params) -> DataFrame:
     """Each row predicted once, by a model of the other folds; rows has `fold`, a small number of values."""
     out = None

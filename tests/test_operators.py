@@ -262,3 +262,44 @@ def test_dispersions_by_hand(spark):
     want = {f"g{g:02d}": 1.0 if (place == place[g]).sum() == 1 else (d[g] - d[place == place[g]].mean()) / d[place == place[g]].std(ddof=1) for g in range(30)}
     got = {q["gene"]: q["z"] for q in matrix.dispersions(df).collect()}
     assert all(math.isclose(got[g], z, abs_tol=1e-6) for g, z in want.items())
+
+
+def test_rows_that_do_not_say_what_they_are_violate_every_policy(spark):
+    cells = spark.createDataFrame([(1, None), (2, False)], "cell_id int, is_pseudo_bulk boolean")
+    assert rows(cohorts.policy_violations(cells), "policy", "n_violations", "admitted") == [("bulk_only", 2, False), ("single_cell_only", 1, False)]
+    for policy in ("single_cell_only", "bulk_only"):
+        with pytest.raises(cohorts.ContractError):
+            cohorts.assert_rows_match_policy(cells.where("cell_id = 1"), policy)
+
+
+def test_prediction_refuses_the_whole_table_for_one_bad_row(spark):
+    import numpy as np
+
+    from cohortloom.operators import inference, mil
+
+    schema = "subject_id string, cell_id long, x array<double>, cell_type_id int, is_pseudo_bulk boolean, modality string"
+    good = [("a", 1, [1.0, 0.0], 0, False, "single_cell"), ("a", 2, [0.0, 3.0], 1, False, "single_cell"), ("b", 3, [2.0, 2.0], 1, False, "single_cell")]
+    model = mil.GatedAttention(np.array([[0.5, -1.0]]), np.array([[1.0, 0.0]]), np.array([2.0]), np.array([1.0, -1.0]), 0.5)
+    cells = spark.createDataFrame(good, schema)
+    e = [np.exp(2 * np.tanh(0.5 * x - y) / (1 + np.exp(-x))) for x, y in ((1, 0), (0, 3))]
+    want = 1 / (1 + np.exp(-((e[0] * 1 - e[1] * 3) / sum(e) + 0.5)))
+    got = {r["subject_id"]: r for r in inference.predict_subjects(cells, model, "single_cell_only", 2, diagnostic=True).collect()}
+    assert math.isclose(got["a"]["y_prob"], want) and math.isclose(got["b"]["y_prob"], 1 / (1 + np.exp(-0.5))) and got["a"]["n_cells"] == 2 and got["b"]["diagnostic"]
+    top = inference.most_attended(cells, model, 1).where("subject_id = 'a'").first()
+    assert top["cell_id"] == 1 and math.isclose(top["weight"], e[0] / sum(e))
+    bad = {"no_provenance": ("c", 4, [1.0, 1.0], 0, None, "single_cell"), "policy": ("c", 4, [1.0, 1.0], 0, True, "single_cell"), "modality": ("c", 4, [1.0, 1.0], 0, False, None), "cell_type": ("c", 4, [1.0, 1.0], 2, False, "single_cell"),
+           "length": ("c", 4, None, 0, False, "single_cell"), "not_finite": ("c", 4, [1.0, None], 0, False, "single_cell"), "placeholder": (None, 4, [1.0, 1.0], 0, False, "single_cell")}
+    for problem, row in bad.items():
+        mixed = spark.createDataFrame([*good, row], schema)
+        assert rows(inference.input_problems(mixed, "single_cell_only", 2, 2), "problem", "n") == [(problem, 1)]
+        with pytest.raises(cohorts.ContractError):
+            inference.predict_subjects(mixed, model, "single_cell_only", 2)
+    with pytest.raises(cohorts.ContractError):
+        inference.input_problems(cells, "multimodal", 2, 2)
+    assert inference.input_problems(cells.limit(0), "single_cell_only", 2, 2).count() == 0
+
+
+def test_unknown_strategies_are_refused(spark):
+    for candidate, strategy in (("logistic", "none such"), ("none such", "erm"), (None, "erm")):
+        with pytest.raises(cohorts.ContractError):
+            models.applied_strategies(spark.createDataFrame([(candidate, strategy)], "candidate string, strategy string"))
