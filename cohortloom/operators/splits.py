@@ -16,13 +16,14 @@ def train_val_test(subjects: DataFrame, train: float, val: float, seed: int, min
     """(subject_id, label, split): classes of at least 3 subjects split by themselves, smaller ones pooled.
 
     A null label is a class of its own. A class gives at least one subject to train and min_val to val, and one is left for test.
-    The last subject of a class may hold any share of the rows; the windows go over subjects, a row each.
+    The last subject of a class may hold any share of the rows. A class may hold most subjects: they are numbered by ranges of their draws.
     """
     n = subjects.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("n"))
     stratum = F.when(F.col("n") >= 3, F.coalesce(F.col("label").cast("string"), F.lit("~null"))).otherwise("~pool")
     strata = subjects.join(F.broadcast(n), F.col("label").eqNullSafe(F.col("_label"))).select("subject_id", "label", stratum.alias("stratum"))
-    w = Window.partitionBy("stratum")
-    ranked = strata.select("*", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(draw(seed, "split", "subject_id"), "subject_id")).alias("k"))
+    sizes = strata.groupBy("stratum").agg(F.count("*").alias("n"))  # a row a class
+    drawn = numbered(strata.withColumn("h", draw(seed, "split", "subject_id")), "subject_id", ["stratum"])
+    ranked = drawn.withColumn("k", F.col("k") + 1).join(F.broadcast(sizes), "stratum")
     pool = F.col("stratum") == "~pool"
     n_train = F.when(pool, _half_even(F.col("n") * train)).otherwise(F.least(F.greatest(F.lit(1), _half_even(F.col("n") * train)), F.col("n") - 2))
     n_val = F.when(pool, F.least(_half_even(F.col("n") * val), F.col("n") - F.col("n_train"))).otherwise(F.least(F.greatest(F.lit(min_val), _half_even(F.col("n") * val)), F.col("n") - F.col("n_train") - 1))
@@ -33,14 +34,13 @@ def train_val_test(subjects: DataFrame, train: float, val: float, seed: int, min
 def grouped_folds(subjects: DataFrame, folds: int, seed: int) -> DataFrame:
     """(subject_id, label, fold): subjects in class order, drawn within, dealt round-robin across classes.
 
-    The number of folds is at most the smallest class and at least 2. Numbering goes over two windows: ranks within
-    a class, and starts of the classes, so no window holds all subjects unless one class does.
+    The number of folds is at most the smallest class and at least 2. Numbers are ranks within a class, by ranges of the draws, and
+    starts of the classes, so no window holds a whole class.
     """
     sizes = subjects.groupBy(F.col("label").cast("string").alias("cls")).agg(F.count("*").alias("n"))
     starts = sizes.select("cls", (F.sum("n").over(Window.orderBy("cls")) - F.col("n")).alias("start"))  # a row a class
     k = sizes.agg(F.greatest(F.lit(2), F.least(F.lit(folds), F.min("n"))).alias("k"))
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy(draw(seed, "fold", "subject_id"), "subject_id")) - 1
-    rows = subjects.withColumn("cls", F.col("label").cast("string")).withColumn("rank", rank)
+    rows = numbered(subjects.select("subject_id", "label", F.col("label").cast("string").alias("cls"), draw(seed, "fold", "subject_id").alias("h")), "subject_id", ["cls"]).withColumnRenamed("k", "rank")
     return rows.join(F.broadcast(starts), "cls").join(F.broadcast(k)).select("subject_id", "label", F.pmod(F.col("start") + F.col("rank"), F.col("k")).cast("int").alias("fold"))
 
 
@@ -65,9 +65,9 @@ def balanced_draws(rows: DataFrame, probabilities: DataFrame, draws: int, seed:
     """
     cdf = probabilities.select("label", F.sum("p").over(Window.orderBy("label")).alias("hi"), (F.sum("p").over(Window.orderBy("label")) - F.col("p")).alias("lo"))  # a row a class
     subjects = rows.select("label", "subject_id").distinct()
-    subjects = subjects.select("*", (F.row_number().over(Window.partitionBy("label").orderBy("subject_id")) - 1).alias("s"))
+    subjects = ordered(subjects, "subject_id", ["label"]).withColumnRenamed("k", "s")
     n_subjects = subjects.groupBy("label").agg(F.count("*").alias("n_s"))
-    cells = rows.select("label", "subject_id", "cell_id", (F.row_number().over(Window.partitionBy("label", "subject_id").orderBy("cell_id")) - 1).alias("c"))
+    cells = ordered(rows.select("label", "subject_id", "cell_id"), "cell_id", ["label", "subject_id"]).withColumnRenamed("k", "c")
     n_cells = rows.groupBy("label", "subject_id").agg(F.count("*").alias("n_c"))
     spark = rows.sparkSession
     d = spark.range(draws).select(F.col("id").alias("i"), draw_unit(seed, "class", "id").alias("u"), draw_u32(seed, "subject", "id").alias("us"), draw_u32(seed, "cell", "id").alias("uc"))
@@ -89,11 +89,23 @@ def permuted(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:
 
 def numbered(rows: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
     """rows with k from 0 in the order of (h, key), h a hex digest, within each group: ranks within its first three digits, and their starts."""
-    by = list(by)
-    parts = rows.withColumn("_p", F.substring("h", 1, 3))
-    starts = parts.groupBy(*by, "_p").agg(F.count("*").alias("_n")).select(*by, "_p", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_s"))  # 4,096 rows a group at most
-    rank = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("h", key)) - 1
-    ranked = parts.withColumn("_r", rank)
+    return _numbered(rows.withColumn("_p", F.substring("h", 1, 3)), ["h", key], list(by))
+
+
+def ordered(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """rows with k from 0 in the order of key within each group: of a number, ranks within 4,096 ranges of its values, and their starts; of other keys, ranks in a window a group."""
+    if rows.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long", "double"):
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
+    x = F.col(key).cast("double")
+    ends = rows.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))  # one row
+    place = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * 4096)
+    return _numbered(rows.crossJoin(F.broadcast(ends)).withColumn("_p", F.coalesce(place, F.lit(-1))).drop("_lo", "_hi"), [key], by)
+
+
+def _numbered(parts: DataFrame, order: list[str], by: list[str]) -> DataFrame:
+    """parts with k from 0 within each group: ranks within its ranges _p, which come in order, and their starts, 4,096 rows or so a group."""
+    starts = parts.groupBy(*by, "_p").agg(F.count("*").alias("_n")).select(*by, "_p", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_s"))
+    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)) - 1)
     joined = ranked.join(starts, [*by, "_p"]) if by else ranked.join(F.broadcast(starts), "_p")
     return joined.withColumn("k", F.col("_s") + F.col("_r")).drop("_p", "_s", "_r")
 

@@ -303,3 +303,14 @@ def test_unknown_strategies_are_refused(spark):
     for candidate, strategy in (("logistic", "none such"), ("none such", "erm"), (None, "erm")):
         with pytest.raises(cohorts.ContractError):
             models.applied_strategies(spark.createDataFrame([(candidate, strategy)], "candidate string, strategy string"))
+
+
+def test_numbers_by_ranges_equal_those_of_one_window(spark):
+    ids = [-(2**60), -5, 0, 1, 2, 3, 1000, 1001, 2**60, 2**60 + 1]
+    df = spark.createDataFrame([(g, i) for g in "ab" for i in ids[: 10 if g == "a" else 4]], "g string, id long")
+    assert [r["k"] for r in sorted(splits.ordered(df, "id", ["g"]).collect())] == [*range(10), *range(4)]
+    assert splits.ordered(df.limit(0), "id", ["g"]).count() == 0
+    texts = df.withColumn("id", F.col("id").cast("string"))
+    assert sorted(r["k"] for r in splits.ordered(texts, "id", ["g"]).where("g = 'a'").collect()) == list(range(10))
+    lone = spark.createDataFrame([("a", 7)], "g string, id long")
+    assert rows(splits.ordered(lone, "id", ["g"]), "k") == [(0,)]
