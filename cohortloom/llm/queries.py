@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, chat, exact_dedup, filter_audit, html_extract, negatives, packing, quality, sharding, simhash, toxicity, vafile
+from cohortloom.llm import bpe, chat, exact_dedup, filter_audit, html_extract, negatives, packing, quality, quality_rules, sharding, simhash, toxicity, vafile
 from cohortloom.llm.common import fold, table
 
 
@@ -64,6 +64,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by robust outliers of its language and source; nulls, repeats and empty tables as quality_rules says."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negatives of every hundredth vector over all vectors; labels of ids divisible by 7 are one on. Nulls, ties and repeats as hard_negatives says."""
     rows = negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
@@ -72,7 +77,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_chat, op4_html, op5_top_k, op6_exact_dedup, op7_packing, op8_quality, op9_bpe, op10_sharding, op11_filter_audit, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_chat, op4_html, op5_top_k, op6_exact_dedup, op7_packing, op8_quality, op9_bpe, op10_sharding, op11_filter_audit, op12_quality_rules, op13_hard_negatives)}
 
 
 TOP_K_SQL = """
