@@ -8,7 +8,7 @@ from importlib import import_module
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries.
-PLANS = ("matrix", "labels", "cohorts", "splits", "metrics", "calibration", "resampling", "shift", "models", "texts", "streams", "experiments", "lookups", "inference")
+PLANS = ("matrix", "labels", "cohorts", "splits", "metrics", "calibration", "resampling", "shift", "models", "texts", "streams", "experiments", "lookups", "inference", "pathway")
 
 
 def query(sql: str | None = None) -> Callable:
