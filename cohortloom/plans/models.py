@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from cohortloom.operators import lattice
 from cohortloom.operators import models as U
 from cohortloom.operators.splits import grouped_folds
 from cohortloom.plans.metrics import _rounded
@@ -92,3 +93,65 @@ def u4_masked_focal_loss(spark, d):
 def u4_hierarchical_pooling(spark, d):
     rows = expr(spark, d).join(cells(spark, d).select("cell_id", "subject_id", (F.col("label") % 3).alias("cell_type_id")), "cell_id")
     return _rounded(U.hierarchical_pool(rows))
+
+
+def _lattice_rows(spark, d):
+    """Subjects with two features, sums of the even and of the odd dimensions, on nested folds."""
+    e = table(spark, d, "embeddings")
+    half = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 2 == k), F.lit(0.0), lambda a, b: a + b.cast("double"))
+    rows = e.select(F.col("vec_id").cast("string").alias("subject_id"), (F.col("label") >= 5).cast("double").alias("y"), F.array(half(0), half(1)).alias("x"))
+    return rows.join(lattice.nested_folds(rows.select("subject_id", F.col("y").alias("label")), 3, 3, 1), "subject_id")
+
+
+PENALTIES = [0.01, 0.1, 1.0]
+#: nr: (subject_id, y, a, b) and nf: the inner fold inn of a subject outside each outer one; tr: training rows of every split (o, i), i = -1 for the whole rest.
+NESTED = """nr as (select vec_id::varchar as subject_id, (label >= 5)::int::double as y, list_sum(list_transform(range(0, 32), lambda i: embedding[2 * i + 1]::double)) as a, list_sum(list_transform(range(0, 32), lambda i: embedding[2 * i + 2]::double)) as b from embeddings),
+nd as (select nr.*, (row_number() over (order by y, md5('1|fold|' || subject_id), subject_id) - 1) % (select greatest(2, least(3, min(n))) from (select count(*) as n from nr group by y)) as fold from nr),
+no as (select nd.*, o from nd, (select distinct fold as o from nd) where fold <> o),
+nk as (select o, greatest(2, least(3, min(n))) as k from (select o, y, count(*) as n from no group by 1, 2) group by 1),
+nf as (select no.*, (row_number() over (partition by o order by y, md5('1|fold|' || subject_id), subject_id) - 1) % k as inn from no join nk using (o)),
+sp as (select distinct o, inn as i from nf union select distinct o, -1 from nf),
+tw as (select sp.o, sp.i, nf.* exclude (o) from sp join nf on nf.o = sp.o and nf.inn <> sp.i),
+sc as (select o, i, avg(a) as ma, avg(b) as mb, stddev_samp(a) as da, stddev_samp(b) as db, count(*) / 2.0::double / sum(y) as w1, count(*) / 2.0::double / sum(1 - y) as w0 from tw group by 1, 2),
+tr as (select tw.o, tw.i, y, (a - ma) / da as u, (b - mb) / db as v, case when y = 1 then w1 else w0 end as w from tw join sc using (o, i)),
+pn as (select unnest(range(0, 3))::int as pos, unnest([0.01, 0.1, 1.0])::double as pen)"""
+
+
+def _newton_sql(step: int, models: str) -> str:
+    """c<step>: coefficients c0, c1, c2 after a Newton step from c<step - 1>, for (o, i, pos) of models, the 3 x 3 system solved by Cramer's rule."""
+    prior = f"c{step - 1}"
+    return f"""g{step} as (select o, i, pos, sum(w) as sw, sum(w * (p - y)) / sum(w) as g0, sum(w * (p - y) * u) / sum(w) + max(pen * c1) as g1, sum(w * (p - y) * v) / sum(w) + max(pen * c2) as g2,
+    sum(w * p * (1 - p)) / sum(w) as h00, sum(w * p * (1 - p) * u) / sum(w) as h01, sum(w * p * (1 - p) * v) / sum(w) as h02, sum(w * p * (1 - p) * u * u) / sum(w) + max(pen) as h11, sum(w * p * (1 - p) * u * v) / sum(w) as h12, sum(w * p * (1 - p) * v * v) / sum(w) + max(pen) as h22
+  from (select o, i, pos, pen, c1, c2, y, u, v, w, 1 / (1 + exp(-(c0 + c1 * u + c2 * v))) as p from {models} join {prior} using (o, i, pos) join pn using (pos) join tr using (o, i)) group by 1, 2, 3),
+d{step} as (select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as det from g{step}),
+c{step} as (select o, i, pos, c0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det as c0,
+    c1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det as c1,
+    c2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det as c2 from d{step} join {prior} using (o, i, pos))"""
+
+
+#: Every model's AUROC on what it holds out: inner models their inner fold, the others (i = -1) their outer one.
+NESTED_SCORES = """im as (select o, i, pos from sp, pn where i >= 0), c0 as (select o, i, pos, 0::double as c0, 0::double as c1, 0::double as c2 from sp, pn)"""
+RANKED = "select o, i, pos, case when sum(p) > 0 and sum(q) > 0 then sum(p * (below + q / 2)) / (sum(p) * sum(q)) end as auroc from (select o, i, pos, t, p, q, coalesce(sum(q) over (partition by o, i, pos order by t rows between unbounded preceding and 1 preceding), 0) as below from (select o, i, pos, t, sum(y) as p, sum(1 - y) as q from {0} group by 1, 2, 3, 4)) group by 1, 2, 3"
+NESTED_CHOICE = f"""pi as (select c2.o, c2.i, pos, y, 1 / (1 + exp(-(c0 + c1 * (a - ma) / da + c2 * (b - mb) / db))) as t from c2 join sc using (o, i) join nf on nf.o = c2.o and nf.inn = c2.i),
+ri as ({RANKED.format('pi')}), mi as (select o, pos, avg(auroc) as m, count(auroc) as n from ri group by 1, 2),
+ch as (select o, pos, m, n from (select *, row_number() over (partition by o order by coalesce(round(m, 12), '-infinity'::double) desc, pos) as k from mi) where k = 1),
+om as (select o, -1 as i, pos from ch)"""
+
+
+@query(sql(NESTED, NESTED_SCORES, _newton_sql(1, "im"), _newton_sql(2, "im"), NESTED_CHOICE,
+           _newton_sql(1, "om").replace("c1 as (", "x1 as (").replace("g1 as (", "y1 as (").replace("d1 as (", "w1 as (").replace("from g1", "from y1").replace("from d1", "from w1"),
+           _newton_sql(2, "om").replace("c2 as (", "x2 as (").replace("g2 as (", "y2 as (").replace("d2 as (", "w2 as (").replace("from g2", "from y2").replace("from d2", "from w2").replace("join c1 using", "join x1 using"),
+           f"po as (select x2.o, x2.i, pos, y, 1 / (1 + exp(-(c0 + c1 * (a - ma) / da + c2 * (b - mb) / db))) as t from x2 join sc using (o, i) join nd on nd.fold = x2.o), ro as ({RANKED.format('po')})",
+           then="select o::int as outer_fold, pen as penalty, round(m, 6) as inner_score, n::int as n_defined, round(auroc, 6) as auroc from ch join pn using (pos) join ro using (o, pos)"))
+def r12_nested_selection(spark, d):
+    """Penalties chosen by inner folds for each outer one, all models fitted together by two Newton steps."""
+    return _rounded(lattice.nested_selection(_lattice_rows(spark, d), PENALTIES, 2, steps=2)[0].withColumnRenamed("outer", "outer_fold"))
+
+
+@query()
+def n10_scaled_logistic(spark, d):
+    """Out-of-fold probabilities of class-weighted logistic regression on all dimensions, its folds fitted together to convergence."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("subject_id"), (F.col("label") >= 5).cast("double").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    rows = e.join(lattice.nested_folds(e.select("subject_id", F.col("y").alias("label")), 3, 3, 1), "subject_id")
+    fitted = lattice.newton(rows, [lattice.Cell(o, None, 0.1) for o in range(3)], 64)
+    return lattice.predictions(rows, fitted).select("subject_id", "fold", F.col("y").alias("y_true"), "y_prob")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortloom.operators import sampling
 from cohortloom.operators import splits as S
 from cohortloom.plans.views import CELLS, cells, sql, table
 from cohortloom.registry import query
@@ -134,3 +135,21 @@ def s32_synthetic_context(spark, d):
     c = spark.range(640).select(F.col("id").alias("cell_id")).withColumn("subject_id", subject)
     c = c.select("cell_id", "subject_id", (draw_u32(5, "label", "subject_id") % 3).alias("label"), F.concat(F.lit("src"), (F.floor(F.col("cell_id") / 20) % 2).cast("string")).alias("source"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("g"))
     return c.select("cell_id", "subject_id", "label", "source", F.round(draw_unit(5, "value", "cell_id", "g"), 9).alias("value"), F.concat(F.lit("g"), F.col("g").cast("string")).alias("gene"))
+
+
+def _drawn(spark, d, by, replacement):
+    """Batches in which caps bind: six cells of a subject at most, of classes with few subjects."""
+    rows = cells(spark, d).select(F.when(F.substring("subject_id", 2, 9).cast("int") < 3, "rare").when(F.substring("subject_id", 2, 9).cast("int") < 9, "some").otherwise("many").alias("label"), "source", "subject_id", "cell_id")
+    return sampling.capped_batches(rows, S.selection_probabilities(rows, "uniform", by), 60, 6, replacement, 11, samples=1000, by=by)
+
+
+@query()
+def r7_capped_batches(spark, d):
+    """1,000 draws in batches of 60, without replacement: rare classes run out within a batch and the others fill it."""
+    return _drawn(spark, d, "label", False)
+
+
+@query()
+def r8_capped_source_batches(spark, d):
+    """The same by source, with replacement, as a report on every batch."""
+    return sampling.batch_report(_drawn(spark, d, "source", True), "source")
