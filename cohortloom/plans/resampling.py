@@ -9,32 +9,50 @@ from cohortloom.plans.metrics import _rounded
 from cohortloom.plans.views import PREDS, preds, sql, table
 from cohortloom.registry import query
 
-NUMBERED = "nb as (select *, row_number() over (order by md5(subject_id::varchar), subject_id) - 1 as k, count(*) over () as n from preds)"
+M = 4294967296
 
 
-def _draws(n_boot: int, seed: int) -> str:
-    return f"dr as (select b, ('0x' || substr(md5('{seed}|boot|' || b || '|' || nb.k), 1, 8))::bigint % nb.n as k from nb, range(0, {n_boot}) r(b))"
+def _mix(x: str, out: str) -> str:
+    """Select items out1 .. out5 of which the last is the mix of 32-bit x."""
+    o = [f"{out}{k}" for k in range(1, 6)]
+    return f"xor({x}, {x} >> 16) as {o[0]}, ({o[0]} * 2246822507) % {M} as {o[1]}, xor({o[1]}, {o[1]} >> 13) as {o[2]}, ({o[2]} * 3266489909) % {M} as {o[3]}, xor({o[3]}, {o[3]} >> 16) as {o[4]}"
 
 
-@query(sql(PREDS, NUMBERED, _draws(100, 1), "m as (select b, avg(y_prob) as v from dr join nb using (k) group by 1)", then="select round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, count(v)::bigint as n_defined from m"))
+def _hashed(rows: str, key: str, repeats: int, seed: int) -> str:
+    """hb: rows with b and its 32-bit hash h."""
+    half = lambda at: f"('0x' || substr(md5(({key})::varchar), {at}, 8))::ubigint"
+    return f"""hk as (select *, {half(1)} as high, {half(9)} as low from {rows}), ho as (select r::int as b, ((r * 1000003 + {seed}) % {M})::ubigint as o0, {_mix('o0', 'q')} from range(0, {repeats}) t(r)),
+h1 as (select hk.*, b, xor(high, q5) as s0, {_mix('s0', 's')} from hk, ho), hb as (select * exclude (s0, s1, s2, s3, s4), xor(s5, low) as u0, {_mix('u0', 'u')}, u5 as h from h1)"""
+
+
+def _weighted(rows: str, n_boot: int, seed: int) -> str:
+    """wb: rows with b and how often that resample has them."""
+    return _hashed(rows, "subject_id", n_boot, seed) + ", wb as (select *, " + " + ".join(f"(h >= {t})::int" for t in R.POISSON) + " as w from hb)"
+
+
+#: Resamples and permutations, as the reference has them.
+N_BOOT, N_PERMUTATIONS = 2000, 200
+
+
+@query(sql(PREDS, _weighted("preds", N_BOOT, 1), "m as (select b, sum(w * y_prob) / nullif(sum(w), 0) as v from wb group by 1)", then="select round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, count(v)::bigint as n_defined from m"))
 def m11_bootstrap_mean(spark, d):
-    return _rounded(R.bootstrap_mean(preds(spark, d), "subject_id", "y_prob", 100, 1))
+    return _rounded(R.bootstrap_mean(preds(spark, d), "subject_id", "y_prob", N_BOOT, 1))
 
 
-AUROC = "e as (select b, y_prob as t, count(*) filter (where y_true = 1) as p, count(*) filter (where y_true <> 1) as q from dr join nb using (k) group by 1, 2), cv as (select *, sum(q) over (partition by b order by t desc) as fp, sum(p) over (partition by b) as pos, sum(q) over (partition by b) as neg from e), m as (select b, case when max(pos) > 0 and max(neg) > 0 then sum(p * (neg - fp + q / 2)) / (max(pos) * max(neg)) end as v from cv group by 1)"
+AUROC = "e as (select b, t, sum(w) filter (where y_true = 1) as p, sum(w) filter (where y_true <> 1) as q from (select *, {0} as t from wb) group by 1, 2), cv as (select b, coalesce(p, 0) as p, coalesce(q, 0) as q, coalesce(sum(q) over (partition by b order by t rows between unbounded preceding and 1 preceding), 0) as below from e), m as (select b, case when sum(p) > 0 and sum(q) > 0 then sum(p * (below + q / 2)) / (sum(p) * sum(q)) end as v from cv group by 1)"
 
 
-@query(sql(PREDS, NUMBERED, _draws(40, 3), AUROC, then="select round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, count(v)::bigint as n_defined from m"))
+@query(sql(PREDS, _weighted("preds", N_BOOT, 3), AUROC.format("y_prob"), then="select round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, count(v)::bigint as n_defined from m"))
 def m12_bootstrap_auroc(spark, d):
-    return _rounded(R.bootstrap_auroc(preds(spark, d), "subject_id", 40, 3))
+    return _rounded(R.bootstrap_auroc(preds(spark, d), "subject_id", N_BOOT, 3))
 
 
-GROUPS = "g as (select source as g, subject_id, y_true::double as v, row_number() over (partition by source order by md5(subject_id::varchar), subject_id) - 1 as k, count(*) over (partition by source) as n from preds), dr as (select g, b, ('0x' || substr(md5('5|group|' || b || '|' || g || '|' || k), 1, 8))::bigint % n as k from g, range(0, 50) r(b) where n >= 10), m as (select dr.g, b, avg(v) as m from dr join g on g.g = dr.g and g.k = dr.k group by 1, 2), ci as (select g, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)"
+GROUPS = "m as (select source as g, b, sum(w * y_true) / nullif(sum(w), 0)::double as m from wb group by 1, 2), ci as (select g, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)"
 
 
-@query(sql(PREDS, GROUPS, then="select g as source, s.n, case when s.n >= 10 then round(estimate, 6) end as estimate, round(lo, 6) as lo, round(hi, 6) as hi, case when s.n >= 10 then 'ok' else 'not_evaluable' end as status from (select g, count(*)::bigint as n, avg(v) as estimate from g group by 1) s left join ci using (g)"))
+@query(sql(PREDS, _weighted("preds", N_BOOT, 5), GROUPS, then="select g as source, n, case when n >= 10 then round(estimate, 6) end as estimate, case when n >= 10 then round(lo, 6) end as lo, case when n >= 10 then round(hi, 6) end as hi, case when n >= 10 then 'ok' else 'not_evaluable' end as status from (select source as g, count(*)::bigint as n, avg(y_true) as estimate from preds group by 1) join ci using (g)"))
 def g22_subgroup_report(spark, d):
-    return _rounded(R.grouped_bootstrap(preds(spark, d), "subject_id", F.col("y_true"), "source", 50, 5))
+    return _rounded(R.grouped_bootstrap(preds(spark, d), "subject_id", F.col("y_true"), "source", N_BOOT, 5))
 
 
 @query(sql(PREDS, "f as (select seed, source, case when seed <> 6 then avg(((y_prob >= 0.5)::int = y_true)::int) end as metric from preds group by 1, 2)", "s as (select seed, avg(metric) as m from f group by 1)",
@@ -44,6 +62,8 @@ def g28_repeat_summary(spark, d):
     return _rounded(R.seed_summary(preds(spark, d).groupBy("seed", "source").agg(hit.alias("v")).select("seed", F.when(F.col("seed") != 6, F.col("v")).alias("metric"))))
 
 
-@query("with a as (select c_custkey, c_acctbal as x, row_number() over (order by md5(c_custkey::varchar), c_custkey) as k from customer), b as (select b, c_nationkey::double as y, row_number() over (partition by b order by md5((17 + b) || '|permute|' || c_custkey), c_custkey) as k from customer, range(0, 10) r(b)), n as (select b, corr(x, y) as r0 from a join b using (k) group by 1), o as (select corr(c_acctbal, c_nationkey::double) as r from customer) select round(r, 6) as r, avg((abs(r0) >= abs(r))::int) as p_value from n, o group by r")
+@query(sql("cu as (select c_custkey, c_acctbal as x, c_nationkey::double as y from customer)", _hashed("cu", "c_custkey", N_PERMUTATIONS, 17), f"bl as (select *, low % (select greatest(1, ceil(count(*) / {R.BLOCK}.0)::ubigint) from cu) as block from hb)",
+           "a as (select b, block, x, row_number() over (partition by b, block order by high, c_custkey::varchar) as k from bl), p as (select b, block, y, row_number() over (partition by b, block order by h, high, c_custkey::varchar) as k from bl), n as (select b, corr(x, y) as r0 from a join p using (b, block, k) group by 1), o as (select corr(x, y) as r from cu)",
+           then="select round(r, 6) as r, avg((abs(r0) >= abs(r))::int) as p_value from n, o group by r"))
 def x9_permutation_null(spark, d):
-    return _rounded(R.permutation_null(table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n")), "c_custkey", "c_acctbal", "n", 10, 17))
+    return _rounded(R.permutation_null(table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n")), "c_custkey", "c_acctbal", "n", N_PERMUTATIONS, 17))
