@@ -78,6 +78,18 @@ def u6_predict_subjects(spark, d):
     return _rounded(inference.predict_subjects(_given(spark, d), _model(), "single_cell_only", 4))
 
 
+#: Dropout of the classifier's inputs: passes, share dropped, and the inputs each pass keeps (1) as a string.
+PASSES, DROP = 20, 0.25
+KEPT = ", ".join(f"({k}, '{''.join('01'[int(x >= DROP)] for x in np.random.default_rng((0, k)).random(DIMENSIONS))}')" for k in range(PASSES))
+
+
+@query(sql(SCORES, "z as (select subject_id, i, sum(e * embedding[i]::double) / sum(e) as z from aw join embeddings on cell_id = vec_id, range(1, 65) r(i) group by 1, 2)", f"ks as (select * from (values {KEPT}) v(k, kept))",
+           f"p as (select subject_id, k, 1 / (1 + exp(-(sum(case when substr(kept, i::int, 1) = '1' then z * ((i - 1) % 7 - 3) * 2 / {1 - DROP}::double else 0 end) + 0.25))) as y_prob from z, ks group by 1, 2)",
+           then="select subject_id, round(avg(y_prob), 6) as mean, round(var_pop(y_prob), 6) as variance from p group by 1"))
+def c9_dropout_uncertainty(spark, d):
+    return _rounded(mil.dropout_report(_given(spark, d).select("subject_id", "x"), _model(), PASSES, DROP))
+
+
 @query(sql(SCORES, "t as (select *, sum(e) over (partition by subject_id) as norm, row_number() over (partition by subject_id order by round(e, 9) desc, cell_id)::int as rank from aw)", then="select subject_id, cell_id, round(e / norm, 6) as weight, rank from t where rank <= 5"))
 def u6_most_attended(spark, d):
     return _rounded(inference.most_attended(_given(spark, d), _model()))

@@ -174,12 +174,6 @@ def u5_attention_training(spark, d):
     return mil.predict(bags, mil.fit(bags, y, DIMENSIONS, hidden=4, rounds=5))
 
 
-@query()
-def c9_dropout_uncertainty(spark, d):
-    bags, _ = _bags(spark, d)
-    return mil.dropout_report(bags, mil.GatedAttention.start(DIMENSIONS, 4), 20, 0.25)
-
-
 @query("select o.sample_id, coalesce(m.smoke_type, 'cigarette') as smoke_type, coalesce(m.known, true) as smoke_type_known, coalesce(m.subject_id, o.sample_id) as subject_id, true as is_pseudo_bulk from (select distinct 'x' || (l_orderkey % 500) as sample_id from lineitem) o left join (select 'x' || c_custkey as sample_id, lower(c_mktsegment) as smoke_type, c_custkey % 2 = 0 as known, 'p' || c_nationkey as subject_id from customer where c_acctbal >= 3000) m using (sample_id)")
 def s17_matrix_with_sidecar(spark, d):
     from cohortloom.sources.geo import with_sidecar
