@@ -1,69 +1,68 @@
 """Exact top-k inner products by vector-approximation files.
 
-A block's vectors are quantised: each dimension's range over the block is cut into 2^bits cells, and a cell bounds the
-products of everything in it. The cells of a block are scanned for all queries of a wave; a query then reads exact
-vectors in the order of their bounds until no unread one can enter its k best. Blocks and waves of queries are bounded in
-bytes, whatever the dimension; a wave is broadcast to all tasks. Every task keeps the k best of each query over its blocks,
-and only those are shuffled.
+The file: every block of vectors is quantised, each dimension's range over the block being cut into 32 cells of which a vector keeps
+the number, three to 16 bits, with the block's corner and cell widths. It is written once, and is all that is scanned: a block's cells bound its
+products with a query from both sides. A first scan finds, for each query, the kth largest lower bound over all blocks; a
+second lists the vectors whose upper bound reaches it. Exact vectors are then read by row, in the order of the bounds: the
+FIRST best of each query, whose kth product is exact, and after them only those whose bound still reaches that. What is left can hold none of the k best.
+Blocks and waves of queries are bounded in bytes, whatever the dimension; a wave is broadcast to all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import materialize
-
-#: Bytes of the vectors of a block and of the queries of a wave, and most rows of either.
-BLOCK_BYTES, WAVE_BYTES, BLOCK_ROWS, WAVE = 1 << 24, 1 << 24, 4096, 65536
-CELL_BITS, READ = 8, 32
-#: Queries whose bounds of a block are in memory at once, and waves whose results are written together.
-QUERY_ROWS, WAVES_AT_ONCE = 1024, 8
-
-
-class Cells:
-    """Approximation of a block: the lower corner and the width of each vector's cell."""
-
-    def __init__(self, vectors: np.ndarray, bits: int = CELL_BITS):
-        self.vectors, low = vectors, vectors.min(axis=0)
-        span = (vectors.max(axis=0) - low) + 1
-        self.width = np.maximum(1, -(-span // (1 << bits)))
-        self.codes = ((vectors - low) // self.width).astype(np.uint16)
-        self.low = low
-
-    def upper_bounds(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, vectors): no exact product is larger."""
-        corners = (self.codes * self.width + self.low).astype(np.float64)
-        q = queries.astype(np.float64)
-        slack = np.maximum(q, 0) @ (self.width - 1).astype(np.float64)
-        rounding = 1e-12 * (np.abs(q) @ np.abs(corners).max(axis=0))
-        return q @ corners.T + (slack + rounding)[:, None]
-
-
-def block_best(cells: Cells, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> int:
-    """Merge a block into best, each query's (-score, id) in order. Returns how many exact vectors were read."""
-    bounds, read = cells.upper_bounds(queries), 0
-    for j, own in enumerate(query_ids.tolist()):
-        kept = best[j]
-        near = bounds[j] >= (-kept[-1][0] if len(kept) == k else -np.inf)
-        at = np.flatnonzero(near & (ids != own))
-        if not len(at):
-            continue
-        if len(at) > READ:
-            at = at[np.lexsort((ids[at], -bounds[j][at]))]
-        for lo in range(0, len(at), READ):
-            part = at[lo : lo + READ]
-            if len(kept) == k and bounds[j][part[0]] < -kept[-1][0]:
-                break
-            read += len(part)
-            scores = cells.vectors[part] @ queries[j]
-            kept = sorted([*kept, *zip((-scores).tolist(), ids[part].tolist(), strict=True)])[:k]
-        best[j] = kept
-    return read
+from cohortloom.llm.common import discard_since, materialize, written
+from cohortloom.llm.negatives import Best
+
+#: Bytes of the exact vectors of a block, of the queries of a wave, and of the bounds in memory at once; most rows of a block and a wave; waves written together.
+BLOCK_BYTES, WAVE_BYTES, BOUND_BYTES, BLOCK_ROWS, WAVE, WAVES_AT_ONCE = 1 << 24, 1 << 24, 1 << 25, 4096, 65536, 8
+#: Bits of a cell number, cell numbers in 16 bits, and exact vectors of a query that are read first, as a multiple of k.
+CELL_BITS, IN_16, FIRST = 5, 3, 4
+FILE = "dims int, ids array<bigint>, rows array<bigint>, low array<bigint>, width array<bigint>, cells binary"
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Cell numbers (rows, dims), three to 16 bits."""
+    n, dims = codes.shape
+    wide = np.zeros((n, -(-dims // IN_16) * IN_16), np.uint16)
+    wide[:, :dims] = codes
+    return sum(wide[:, k::IN_16] << np.uint16(CELL_BITS * k) for k in range(IN_16)).astype("<u2").tobytes()
+
+
+def unpacked(cells: bytes, dims: int) -> np.ndarray:
+    words = np.frombuffer(cells, "<u2").reshape(-1, -(-dims // IN_16))
+    out = np.empty((len(words), words.shape[1] * IN_16), np.uint16)
+    for k in range(IN_16):
+        out[:, k::IN_16] = (words >> np.uint16(CELL_BITS * k)) & np.uint16((1 << CELL_BITS) - 1)
+    return out[:, :dims]
+
+
+def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(low, width, cells) of a block: the vectors are at low + width * cell in each dimension, and less than a width beyond."""
+    low = vectors.min(axis=0)
+    width = np.maximum(1, -(-(vectors.max(axis=0) - low + 1) // (1 << CELL_BITS)))
+    return low, width, packed((vectors - low) // width)
+
+
+class Bounds:
+    """Products of a block's cells with queries: no exact product is under lower() or over upper()."""
+
+    def __init__(self, dims: int, low: np.ndarray, width: np.ndarray, cells: bytes):
+        self.corners = unpacked(cells, dims).astype(float) * width + low
+        self.beyond = (width - 1).astype(float)
+
+    def both(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, vectors) lower and upper bounds."""
+        at = queries @ self.corners.T
+        rounding = 1e-12 * (np.abs(queries) @ np.abs(self.corners).max(axis=0)) if len(self.corners) else np.zeros(len(queries))
+        under, over = np.minimum(queries, 0) @ self.beyond - rounding, np.maximum(queries, 0) @ self.beyond + rounding
+        return at + under[:, None], at + over[:, None]
 
 
 def integer_vectors(table: DataFrame, id_column: str, vector: str, scale: int = 256) -> DataFrame:
@@ -74,6 +73,101 @@ def integer_vectors(table: DataFrame, id_column: str, vector: str, scale: int =
         F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("long")).alias("v"))
 
 
+def approximation(rows: DataFrame, block_rows: int) -> DataFrame:
+    """FILE of rows (vec_id, row, v): blocks of one dimension each, of at most block_rows vectors, of a task's rows in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+
+        def block(d: int) -> pa.RecordBatch:
+            ids, at, v = (np.concatenate(x) for x in zip(*waiting.pop(d), strict=True))
+            low, width, cells = quantised(v)
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (ids, at, low, width)), pa.array([cells], pa.binary())], [c.split()[0] for c in FILE.split(", ")])
+
+        for batch in batches:
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for d in map(int, np.unique(sizes)):
+                part = batch.take(pa.array(np.flatnonzero(sizes == d)))
+                ids, at, v = part.column("vec_id").to_numpy(), part.column("row").to_numpy(), part.column("v").flatten().to_numpy().reshape(-1, d)
+                for lo in range(0, len(ids), block_rows):
+                    have = sum(len(x[0]) for x in waiting.get(d, []))
+                    to = lo + block_rows
+                    if have + len(ids[lo:to]) > block_rows:
+                        yield block(d)
+                    waiting.setdefault(d, []).append((ids[lo:to], at[lo:to], v[lo:to]))
+        for d in list(waiting):
+            yield block(d)
+
+    return rows.select("vec_id", "row", "v").mapInArrow(run, FILE)
+
+
+def _scan(wave, k: int, listing: bool) -> Callable:
+    """A task's pass over its blocks. wave: a broadcast list of (dims, ids, queries, least): without listing, the k best lower bounds of each query; with it, all rows whose upper bound reaches least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = {d: (ids, q.astype(float), least) for d, ids, q, least in wave.value}
+        best = {} if listing else {d: Best(len(x[0]), k, np.float64) for d, x in sets.items()}
+        for batch in batches:
+            for b in range(batch.num_rows):
+                block = {c.split()[0]: batch.column(c.split()[0])[b] for c in FILE.split(", ")}
+                d = block["dims"].as_py()
+                if d not in sets:
+                    continue
+                ids, rows, low, width = (block[c].values.to_numpy() for c in ("ids", "rows", "low", "width"))
+                bounds, (own, queries, least) = Bounds(d, low, width, block["cells"].as_py()), sets[d]
+                order = np.argsort(rows)
+                step = max(1, BOUND_BYTES // (16 * len(ids)))
+                for at in range(0, len(own), step):
+                    part = slice(at, at + step)
+                    lower, upper = bounds.both(queries[part])
+                    other = own[part, None] != ids
+                    if listing:
+                        i, j = np.nonzero(other & (upper >= least[part, None]))
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([pa.array(own[part][i]), pa.array(rows[j]), pa.array(upper[i, j])], ["query_id", "row", "bound"])
+                    else:
+                        view = Best.__new__(Best)
+                        view.bottom, view.scores, view.ids = best[d].bottom, best[d].scores[part], best[d].ids[part]
+                        view.merge(np.where(other, lower, view.bottom)[:, order], rows[order])
+        for d, kept in best.items():
+            i, j = np.nonzero(kept.scores > kept.bottom)
+            yield pa.RecordBatch.from_arrays([pa.array(sets[d][0][i]), pa.array(kept.ids[i, j]), pa.array(kept.scores[i, j])], ["query_id", "row", "bound"])
+
+    return run
+
+
+def _over_waves(file: DataFrame, queries: DataFrame, waves: int, k: int, listing: bool) -> DataFrame:
+    """(query_id, row, bound) of a scan of the file for every wave of queries (wave, vec_id, v, least)."""
+    context, found, held = file.sparkSession.sparkContext, None, []
+    for w in range(waves):
+        batch = queries.where(F.col("wave") == w).toArrow().combine_chunks()  # at most a wave: see exact_top_k()
+        sets = []
+        for part in batch.to_batches()[:1]:
+            sizes = part.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for d in map(int, np.unique(sizes)):
+                rows = part.take(pa.array(np.flatnonzero(sizes == d)))
+                sets.append((d, rows.column("vec_id").to_numpy(), rows.column("v").flatten().to_numpy().reshape(-1, d), rows.column("least").to_numpy(zero_copy_only=False)))
+        held.append(context.broadcast(sets))
+        scanned = file.mapInArrow(_scan(held[-1], k, listing), "query_id long, row long, bound double")
+        found = scanned if found is None else found.unionAll(scanned)
+        if w % WAVES_AT_ONCE == WAVES_AT_ONCE - 1 and w < waves - 1:
+            found = materialize(found)
+    if not listing:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "row"))
+        found = found.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", "row", "bound")
+    out = materialize(found)
+    for wave in held:
+        wave.destroy()
+    return out
+
+
+def _products(candidates: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, row, vec_id, score): exact vectors of candidates (query_id, row), read by row."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    met = candidates.select("query_id", "row").join(rows, "row").join(q, "query_id")
+    return met.select("query_id", "row", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+
+
 def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, wave: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over all vectors with another id.
 
@@ -82,54 +176,34 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, wave: int | None
     fewer rows; no query gives none, nor does an empty table. Repeated rows are candidates as often as they come, but rows of the query's id are
     all its own. Products that a long may not hold are an error, not a wrong score. wave and block_rows are from bytes unless given.
     """
+    spark, mark = vectors.sparkSession, written()
     shape = vectors.agg(F.max(F.size("v")).alias("dims"), F.max(F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double")))).alias("most")).first()
     dims = max(1, shape["dims"] or 1)
     if dims * (shape["most"] or 0.0) ** 2 >= 2.0**62:
         raise ValueError(f"components up to {shape['most']:.3g} in {dims} dimensions: their products do not fit a long")
     wave = wave or max(1, min(WAVE, WAVE_BYTES // (8 * dims)))
     block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dims)))
+    rows = materialize(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")))
+    file = materialize(approximation(rows, block_rows))
     queries = materialize(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     waves = max(1, -(-queries.count() * 5 // (4 * wave)))
-    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(waves)).alias("wave")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[int, tuple] | None = None
-        waiting: dict[int, list] = {}
-
-        def scan(d: int) -> None:
-            rows = waiting.pop(d)
-            if d in sets:
-                ids, matrix, best = sets[d]
-                cells, own = Cells(np.array([v for _, v in rows], dtype=np.int64)), np.array([i for i, _ in rows], dtype=np.int64)
-                for at in range(0, len(ids), QUERY_ROWS):
-                    to = at + QUERY_ROWS
-                    part = best[at:to]
-                    block_best(cells, own, ids[at:to], matrix[at:to], part, k)
-                    best[at:to] = part
-
-        for batch in batches:
-            if sets is None:
-                by: dict[int, list] = {}
-                for q in next(x for x in batch["queries"] if x is not None):
-                    by.setdefault(len(q["v"]), []).append((q["vec_id"], q["v"]))
-                sets = {d: (np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x], dtype=np.int64), [[] for _ in x]) for d, x in by.items()}
-            for i, v in zip(batch["vec_id"], batch["v"], strict=True):
-                waiting.setdefault(len(v), []).append((i, v))
-                if len(waiting[len(v)]) == block_rows:
-                    scan(len(v))
-        for d in list(waiting):
-            scan(d)
-        for ids, _, best in (sets or {}).values():
-            yield pd.DataFrame([(int(q), i, -s) for q, kept in zip(ids, best, strict=True) for s, i in kept], columns=["query_id", "vec_id", "score"])
-
-    found = None
-    for w in range(waves):
-        # the wave's queries go to each task once, with its first row
-        rows = vectors.select("vec_id", "v", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")).withColumn("wave", F.lit(w).cast("long"))
-        first = F.when(F.col("row") == 0, F.col("queries"))
-        scanned = rows.join(F.broadcast(packed.where(F.col("wave") == w)), "wave").select("vec_id", "v", first.alias("queries")).mapInPandas(run, "query_id long, vec_id long, score long")
-        found = scanned if found is None else found.unionAll(scanned)
-        if w % WAVES_AT_ONCE == WAVES_AT_ONCE - 1 and w < waves - 1:
-            found = materialize(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    while True:  # ids are dealt by hash, so a wave may come out larger than the average
+        dealt = queries.withColumn("wave", F.pmod(F.xxhash64("vec_id"), F.lit(waves)))
+        if (dealt.groupBy("wave").count().agg(F.max("count").alias("n")).first()["n"] or 0) <= wave:
+            break
+        waves *= 2
+    least = _over_waves(file, dealt.withColumn("least", F.lit(float("-inf"))), waves, k, False)
+    # fewer than k candidates: all of them are listed
+    sought = materialize(dealt.join(least.select(F.col("query_id").alias("vec_id"), F.col("bound").alias("least")), "vec_id", "left").fillna(float("-inf"), ["least"]))
+    listed = _over_waves(file, sought, waves, k, True)
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "row"))
+    ranked = materialize(listed.withColumn("place", order))
+    first = materialize(_products(ranked.where(F.col("place") <= FIRST * k), rows, queries))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    certain = first.withColumn("rank", place).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    # a bound is a double, so it is compared with a double; beyond the bound of the kth exact product nothing can enter
+    later = ranked.where(F.col("place") > FIRST * k).join(certain, "query_id").where(F.col("bound") >= F.col("kth").cast("double") * F.when(F.col("kth") > 0, 1 - 1e-12).otherwise(1 + 1e-12))
+    out = first.unionAll(_products(later, rows, queries)).withColumn("rank", place).where(F.col("rank") <= k)
+    out = materialize(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    discard_since(spark, mark, but=1)
+    return out

@@ -579,13 +579,30 @@ def test_products_beyond_a_long_are_refused(spark):
         vafile.exact_top_k(vafile.integer_vectors(df, "vec_id", "embedding"), "vec_id % 50 = 0")
 
 
-def test_bounds_hold_and_spare_reading():
+def test_bounds_hold_on_packed_cells():
     r = np.random.default_rng(1)
-    x, q = r.integers(-300, 300, (500, 16)), r.integers(-300, 300, (20, 16))
-    cells = vafile.Cells(x)
-    assert (cells.upper_bounds(q) >= q @ x.T).all()
-    read = vafile.block_best(cells, np.arange(500), np.arange(1000, 1020), q, [[] for _ in q], 5)
-    assert read < 20 * 500 / 2
+    for dims in (1, 3, 16, 64):
+        x, q = r.integers(-300, 300, (500, dims)), r.integers(-300, 300, (20, dims)).astype(float)
+        low, width, cells = vafile.quantised(x)
+        codes = vafile.unpacked(cells, dims)
+        assert vafile.packed(codes) == cells and codes.max() < 1 << vafile.CELL_BITS and (width > 1).all()
+        assert (low + codes * width <= x).all() and (x < low + (codes + 1) * width).all()
+        lower, upper = vafile.Bounds(dims, low, width, cells).both(q)
+        assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
+
+
+def test_the_file_is_small_and_spares_exact_reading(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = vafile.integer_vectors(table, "vec_id", "embedding")
+    file = vafile.approximation(vectors.withColumn("row", F.monotonically_increasing_id()), 4096).collect()
+    assert sum(len(b["cells"]) for b in file) < 4 * 64 * table.count() / 4 and sum(len(b["rows"]) for b in file) == table.count()
+    assert all(w > 1 for b in file for w in b["width"])
+    read = []
+    products = vafile._products
+    monkeypatch.setattr(vafile, "_products", lambda candidates, *a: read.append(candidates.count()) or products(candidates, *a))
+    queries = vectors.where("vec_id % 50 = 0").count()
+    assert vafile.exact_top_k(vectors, "vec_id % 50 = 0").count() == 5 * queries
+    assert sum(read) < queries * (table.count() - 1) / 20  # of exact vectors under a twentieth
 
 
 # 6 exact dedup
