@@ -76,9 +76,54 @@ def conditions(spark: SparkSession, at: dict) -> tuple[DataFrame, DataFrame]:
     return expr, cells
 
 
-READERS: dict[str, Callable] = {"single_cell": single_cell, "microarray": microarray}
+def _bulk(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("sample_id").alias("cell_id"), *(c for c in cells.columns if c != "sample_id"), F.lit(True).alias("is_pseudo_bulk"), F.lit("human").alias("species"))
+
+
+def three_fields(spark: SparkSession, at: dict) -> tuple[DataFrame, DataFrame]:
+    """(expr, cells) of a series matrix and the matrix of its samples {series, matrix}; every sample is its own subject."""
+    expr, samples = geo.three_field_microarray(spark, at["series"], at["matrix"])
+    return expr.withColumnRenamed("sample_id", "cell_id"), _bulk(samples.withColumn("subject_id", F.col("sample_id")))
+
+
+def count_folder(spark: SparkSession, at: dict) -> tuple[DataFrame, DataFrame]:
+    """(expr, cells) of a folder with file_meta.csv and a count table in a folder for each file id, {folder, layout}.
+
+    layout is "plain" (gene and count, statistics rows begin with __) or "star" (named columns, statistics rows begin with N_). Files that the sheet does not list, and
+    annotations, are left out; listed files that are not there too, and none at all is an error. A case is the subject, a file without case its own. Whether a
+    sample is of a tumour says what was dissected, of the whole sample: it is malignancy of bulk rows alone. Smoking is unknown of all, never what is
+    usual in the cohort. A gene that a file lacks counts as zero, so absent rows stay absent.
+    """
+    from cohortloom.operators.texts import strip_version
+
+    sheet = spark.read.csv(f"{at['folder']}/file_meta.csv", header=True)
+    if missing := [c for c in ("file_id", "sample_type", "case_id") if c not in sheet.columns]:
+        raise ContractError(f"{at['folder']}/file_meta.csv lacks {missing}")
+    listed = require_none(sheet.groupBy("file_id").agg(F.count("*").alias("n"), F.max("sample_type").alias("sample_type"), F.max("case_id").alias("case_id")), F.col("n") > 1, "files listed twice")
+    if at.get("layout", "plain") == "star":
+        rows = geo.star_counts(spark, f"{at['folder']}/*/*", at.get("value", "tpm_unstranded")).withColumnRenamed("file", "path")
+    else:
+        lines = spark.read.option("pathGlobFilter", "*").text(f"{at['folder']}/*/*").select("value", F.col("_metadata.file_path").alias("path"))
+        f = F.split("value", "\t")
+        rows = lines.where(~F.col("value").startswith("__") & (F.size(f) >= 2)).select("path", strip_version(F.get(f, F.lit(0))).alias("gene"), F.get(f, F.lit(1)).try_cast("double").alias("value"))
+    rows = rows.where(F.element_at(F.split("path", "/"), -1) != "annotations.txt").withColumn("file_id", F.element_at(F.split("path", "/"), -2))
+    expr = rows.join(F.broadcast(listed.select("file_id")), "file_id", "left_semi").where("value is not null").groupBy(F.col("file_id").alias("cell_id"), "gene").agg(F.sum("value").alias("value"))  # a row a file in the sheet
+    there = listed.join(expr.select(F.col("cell_id").alias("file_id")).distinct(), "file_id", "left_semi")
+    if there.isEmpty():
+        raise ContractError(f"no count file is under {at['folder']}")
+    case = F.when(F.trim(F.coalesce("case_id", F.lit(""))) != "", F.col("case_id")).otherwise(F.col("file_id"))
+    samples = there.select(F.col("file_id").alias("sample_id"), case.alias("subject_id"), F.lit("unknown").alias("smoke_type"), F.lit(False).alias("smoke_type_known"), F.coalesce(F.col("sample_type").contains("Tumor"), F.lit(False)).cast("double").alias("malignancy"))
+    return expr, _bulk(samples)
+
+
+def subject_outcomes(cells: DataFrame) -> DataFrame:
+    """(subject_id, outcome): 1 if any sample of a subject is malignant, 0 if none is; unknown samples say nothing, and a subject of such alone has no row."""
+    return cells.where("malignancy is not null").groupBy("subject_id").agg(F.max("malignancy").cast("int").alias("outcome"))
+
+
+READERS: dict[str, Callable] = {"single_cell": single_cell, "conditions": conditions, "microarray": microarray, "three_fields": three_fields, "count_folder": count_folder}
 #: The file of each kind that decides whether a source is there.
-MAIN = {"single_cell": "matrix", "microarray": "csv"}
+MAIN: dict[str, Callable] = {"single_cell": lambda at: at["matrix"], "conditions": lambda at: at["samples"][0]["matrix"], "microarray": lambda at: at["csv"], "three_fields": lambda at: at["series"], "count_folder": lambda at: f"{at['folder']}/file_meta.csv"}
 
 
 def is_there(spark: SparkSession, path: str) -> bool:
@@ -120,7 +165,7 @@ def load_all(spark: SparkSession, sources: dict[str, dict], policy: str = "singl
     for name, at in sources.items():
         if at["kind"] not in READERS:
             raise ContractError(f"no reader for {at['kind']}")
-        if not is_there(spark, at[MAIN[at["kind"]]]):
+        if not is_there(spark, MAIN[at["kind"]](at)):
             continue
         expr, cells = READERS[at["kind"]](spark, at)  # a side file that is missing is an error
         require_none(assert_rows_match_policy(cells, policy), ~F.col("species").isin(*MODES[mode]), "species outside the mode")

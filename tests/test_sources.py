@@ -250,3 +250,34 @@ def test_a_missing_side_file_is_an_error(spark, tmp_path):
         catalog.load_all(spark, {"a": at}, "bulk_only")
     with pytest.raises(ContractError, match="no source"):
         catalog.load_all(spark, {"a": at | {"csv": str(tmp_path / "gone.csv")}}, "bulk_only")
+
+
+@pytest.mark.parametrize("layout", ["plain", "star"])
+def test_count_folder(spark, tmp_path, layout):
+    head = "# model\ngene_id\tgene_name\ttpm_unstranded\n" if layout == "star" else ""
+    row = (lambda g, v: f"{g}\tname\t{v}\n") if layout == "star" else (lambda g, v: f"{g}\t{v}\n")
+    stats = row("N_unmapped" if layout == "star" else "__no_feature", 9)
+    for name, genes in {"f1": [("G1.2", 5), ("G2.1", 0.5)], "f2": [("G1.3", 7)], "f3": [("G2.1", 1)], "odd": [("G9.1", 3)]}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "counts.tsv").write_text(head + stats + "".join(row(*g) for g in genes))
+        (tmp_path / name / "annotations.txt").write_text(head + row("G1.1", 100))
+    sheet = "file_id,sample_type,case_id\nf1,Primary Tumor,c1\nf2,Solid Tissue Normal,c1\nf3,Solid Tissue Normal,\ngone,Primary Tumor,c9\n"
+    (tmp_path / "file_meta.csv").write_text(sheet)
+    at = {"kind": "count_folder", "folder": str(tmp_path), "layout": layout}
+    (expr, cells), = catalog.load_all(spark, {"tcga": at}, policy="bulk_only").values()
+    assert sorted(map(tuple, expr.collect())) == [("f1", "G1", 5.0), ("f1", "G2", 0.5), ("f2", "G1", 7.0), ("f3", "G2", 1.0)]
+    got = {r["cell_id"]: (r["subject_id"], r["smoke_type"], r["smoke_type_known"], r["malignancy"], r["is_pseudo_bulk"]) for r in cells.collect()}
+    assert got == {"f1": ("c1", "unknown", False, 1.0, True), "f2": ("c1", "unknown", False, 0.0, True), "f3": ("f3", "unknown", False, 0.0, True)}
+    assert sorted(map(tuple, catalog.subject_outcomes(cells).collect())) == [("c1", 1), ("f3", 0)]
+    with pytest.raises(ContractError):
+        catalog.load_all(spark, {"tcga": at})  # bulk rows under the policy of single cells
+    (tmp_path / "file_meta.csv").write_text(sheet + "f1,Primary Tumor,c2\n")
+    with pytest.raises(ContractError, match="twice"):
+        catalog.count_folder(spark, at)[1].collect()
+    (tmp_path / "file_meta.csv").write_text("file_id,sample_type,case_id\ngone,x,y\n")
+    with pytest.raises(ContractError, match="no count file"):
+        catalog.count_folder(spark, at)
+    (tmp_path / "file_meta.csv").write_text("file_id,case_id\n")
+    with pytest.raises(ContractError, match="sample_type"):
+        catalog.count_folder(spark, at)
+    assert {"conditions", "three_fields"} <= set(catalog.READERS) == set(catalog.MAIN)
