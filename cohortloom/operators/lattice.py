@@ -27,11 +27,12 @@ MOST_BYTES = 1 << 28
 
 @dataclass(frozen=True)
 class Cell:
-    """A model of the lattice: trained on rows outside the outer fold and, unless inner is None, outside that inner fold of the rest."""
+    """A model of the lattice: trained on rows outside the outer fold and, unless inner is None, outside that inner fold of the rest; balanced: classes weigh alike."""
 
     outer: int
     inner: int | None
     penalty: float
+    balanced: bool = True
 
     def split(self) -> tuple[int, int | None]:
         return self.outer, self.inner
@@ -104,7 +105,7 @@ def scalings(rows: DataFrame, splits: list[tuple[int, int | None]], dims: int) -
 def newton(rows: DataFrame, models: list[Cell], dims: int, steps: int = 8, tolerance: float = 1e-8) -> dict[Cell, np.ndarray | None]:
     """Coefficients (intercept, then of scaled features) of every model; None where its training rows lack a class.
 
-    Each minimises the mean class-weighted log loss plus penalty / 2 times the squared coefficients, without the intercept, from zero. Steps end early when
+    Each minimises the mean log loss, class-weighted if it is balanced, plus penalty / 2 times the squared coefficients, without the intercept, from zero. Steps end early when
     no coefficient moves by more than the tolerance. rows: (y, x, fold, inner) of finite numbers.
     """
     if len(models) * (dims + 1) ** 2 * 8 > MOST_BYTES:
@@ -125,8 +126,9 @@ def newton(rows: DataFrame, models: list[Cell], dims: int, steps: int = 8, toler
                         continue
                     at, c = _trains(s, *held), scale[s]
                     z = np.hstack([np.ones((int(at.sum()), 1)), (x[at] - c.mean) / c.deviation])
-                    weight = np.where(y[at] == 1, c.weights[1], c.weights[0])
+                    by_class = np.where(y[at] == 1, c.weights[1], c.weights[0])
                     for k in members:  # models of a split share its scaled rows
+                        weight = by_class if live[k].balanced else np.ones(len(z))
                         p = 1 / (1 + np.exp(-(z @ beta[k])))
                         g[k] += z.T @ (weight * (p - y[at]))
                         h[k] += (z * (weight * p * (1 - p))[:, None]).T @ z
@@ -206,3 +208,32 @@ def nested_selection(rows: DataFrame, penalties: list[float], dims: int, steps:
         rows.unpersist()
     table = [(c.outer, float(c.penalty), mean, n, outer.get(k)) for k, (c, mean, n) in enumerate(chosen)]
     return rows.sparkSession.createDataFrame(table, "outer int, penalty double, inner_score double, n_defined int, auroc double"), predicted
+
+
+def held_out_sources(rows: DataFrame, arms: dict[str, bool], penalty: float, dims: int, steps: int = 8) -> DataFrame:
+    """(arm, source, n, auroc, balanced_accuracy, change): every arm refitted without each source and judged on it; change of balanced accuracy is against the first arm.
+
+    rows: (subject_id, y of 0 and 1, x array<double>, source); arms: by name, whether classes weigh alike in training. All arms and sources are one lattice. A source
+    whose rest lacks a class has no row, one that lacks a class itself null metrics. Rows without a source are an error.
+    """
+    from cohortloom.operators.invariance import vocabulary
+
+    names = vocabulary(rows, 2)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("source")).cast("int") - 1
+    dealt = rows.select("subject_id", F.col("y").cast("double").alias("y"), "x", place.alias("fold"), F.array_repeat(F.lit(None).cast("int"), len(names)).alias("inner")).persist()
+    try:
+        models = [Cell(o, None, penalty, balanced) for balanced in dict.fromkeys(arms.values()) for o in range(len(names))]
+        predicted = predictions(dealt, newton(dealt, models, dims, steps)).withColumnRenamed("y", "y_true").persist()
+        at = metrics.at_threshold(predicted, 0.5, ["model"]).select("model", "n", ((F.col("sensitivity") + F.col("specificity")) / 2).alias("balanced_accuracy"))
+        found = {r["model"]: r for r in at.join(metrics.ranking_metrics(predicted, ["model"]), "model").collect()}  # a row a model
+        predicted.unpersist()
+    finally:
+        dealt.unpersist()
+    out, base = [], next(iter(arms.values()))
+    for arm, balanced in arms.items():
+        for o, name in enumerate(names):
+            r, first = (found.get(models.index(Cell(o, None, penalty, b))) for b in (balanced, base))
+            if r:
+                change = None if r["balanced_accuracy"] is None else r["balanced_accuracy"] - first["balanced_accuracy"]
+                out.append((arm, name, r["n"], r["auroc"], r["balanced_accuracy"], change))
+    return rows.sparkSession.createDataFrame(out, "arm string, source string, n long, auroc double, balanced_accuracy double, change double")

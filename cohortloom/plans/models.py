@@ -148,6 +148,25 @@ def r12_nested_selection(spark, d):
     return _rounded(lattice.nested_selection(_lattice_rows(spark, d), PENALTIES, 2, steps=2)[0].withColumnRenamed("outer", "outer_fold"))
 
 
+#: Arms as splits of every held-out source: -1 weighs classes alike, -2 does not. Labels under 3 are the rarer class.
+ABLATION = """nr as (select vec_id as subject_id, 'src' || (vec_id % 4) as source, (label < 3)::int::double as y, list_sum(list_transform(range(0, 32), lambda i: embedding[2 * i + 1]::double)) as a, list_sum(list_transform(range(0, 32), lambda i: embedding[2 * i + 2]::double)) as b from embeddings),
+os as (select distinct source as o from nr), ai as (select unnest([-1, -2])::int as i),
+tw as (select o, nr.* from os join nr on nr.source <> o),
+sc as (select o, avg(a) as ma, avg(b) as mb, stddev_samp(a) as da, stddev_samp(b) as db, count(*) / 2.0::double / sum(y) as w1, count(*) / 2.0::double / sum(1 - y) as w0 from tw group by 1),
+tr as (select o, i, y, (a - ma) / da as u, (b - mb) / db as v, case when i = -2 then 1 when y = 1 then w1 else w0 end as w from tw join sc using (o), ai),
+pn as (select 0 as pos, 0.1::double as pen), im as (select o, i, 0 as pos from os, ai), c0 as (select o, i, 0 as pos, 0::double as c0, 0::double as c1, 0::double as c2 from os, ai)"""
+
+
+@query(sql(ABLATION, _newton_sql(1, "im"), _newton_sql(2, "im"), "po as (select o, i, pos, y, 1 / (1 + exp(-(c0 + c1 * (a - ma) / da + c2 * (b - mb) / db))) as t from c2 join sc using (o) join nr on nr.source = o)",
+           f"ro as ({RANKED.format('po')})", "ba as (select o, i, count(*)::bigint as n, (avg((t >= 0.5)::int) filter (where y = 1) + avg((t < 0.5)::int) filter (where y = 0)) / 2 as bal from po group by 1, 2)",
+           then="select case i when -1 then 'balanced' else 'unweighted' end as arm, o as source, n, round(auroc, 6) as auroc, round(bal, 6) as balanced_accuracy, round(bal - (select x.bal from ba x where x.o = ba.o and x.i = -1), 6) as change from ba join ro using (o, i)"))
+def e6_refitted_arms(spark, d):
+    """Logistic models with and without class weights, refitted without each source and judged on it."""
+    half = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 2 == k), F.lit(0.0), lambda a, b: a + b.cast("double"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), F.concat(F.lit("src"), F.col("vec_id") % 4).alias("source"), (F.col("label") < 3).cast("double").alias("y"), F.array(half(0), half(1)).alias("x"))
+    return _rounded(lattice.held_out_sources(rows, {"balanced": True, "unweighted": False}, 0.1, 2, steps=2))
+
+
 @query()
 def n10_scaled_logistic(spark, d):
     """Out-of-fold probabilities of class-weighted logistic regression on all dimensions, its folds fitted together to convergence."""

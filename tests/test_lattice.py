@@ -98,3 +98,21 @@ def test_undefined_folds_stay_undefined(spark):
         L.nested_selection(rows.where("false"), PENALTIES, 2)
     with pytest.raises(ContractError):
         L.newton(rows, [L.Cell(0, i, p) for i, p in itertools.product(range(100), range(100))], 500)
+
+
+def test_arms_without_each_source(spark, data):
+    x, y, rows, _ = data
+    source = [f"src{k % 3}" for k in range(60)]
+    table = rows.withColumn("source", F.concat(F.lit("src"), F.substring("subject_id", 2, 9).cast("int") % 3))
+    got = {(r["arm"], r["source"]): r for r in L.held_out_sources(table, {"balanced": True, "unweighted": False}, 0.1, 3, steps=20).collect()}
+    assert len(got) == 6
+    for s in set(source):
+        held = np.array([q == s for q in source])
+        p = alone(x[~held], y[~held], 0.1)(x[held])
+        r = got["balanced", s]
+        assert r["n"] == held.sum() and np.isclose(r["auroc"], auroc(y[held], p)) and r["change"] == 0
+        assert np.isclose(r["balanced_accuracy"], ((p >= 0.5)[y[held] == 1].mean() + (p < 0.5)[y[held] == 0].mean()) / 2)
+        assert np.isclose(got["unweighted", s]["change"], got["unweighted", s]["balanced_accuracy"] - r["balanced_accuracy"])
+    assert any(got["unweighted", s]["change"] != 0 for s in set(source))
+    with pytest.raises(ContractError):
+        L.held_out_sources(table.withColumn("source", F.lit("one")), {"a": True}, 0.1, 3)
