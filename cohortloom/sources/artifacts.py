@@ -12,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.operators.cohorts import ContractError
-from cohortloom.operators.splits import fingerprint
+from cohortloom.operators.cohorts import ContractError, require_none
+from cohortloom.operators.splits import fingerprint, oof_problems
 from cohortloom.operators.texts import PROHIBITED_VALUES
 
 #: Parts of key names that a publication must not have (fixed values).
@@ -87,6 +87,17 @@ def verify_frame(spark: SparkSession, path: str, key: list[str], manifest: dict)
     return df
 
 
+def write_predictions(subjects: DataFrame, predictions: DataFrame, path: str) -> dict:
+    """Out-of-fold predictions (subject_id, p, fold, subject_fold, ...) written once, a row a subject; the manifest, after reading back.
+
+    A subject without a prediction, with two, not of the pool, predicted by a model that was trained on it, or with a p that is no number is an error before anything is written.
+    """
+    require_none(oof_problems(subjects, predictions), F.lit(True), "out-of-fold predictions that may not be kept")
+    manifest = write_frame(predictions, path, ["subject_id"])
+    verify_frame(predictions.sparkSession, path, ["subject_id"], manifest)
+    return manifest
+
+
 def prohibited_keys(value: object, at: str = "") -> list[str]:
     """Where a nested value has keys that must not be published."""
     if isinstance(value, dict):

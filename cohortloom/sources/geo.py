@@ -147,3 +147,34 @@ def require_columns(spark: SparkSession, path: str, needed: list[str]) -> None:
     """An error unless a table with a header is there and has the columns; its rows are not read."""
     if missing := [c for c in needed if c not in spark.read.csv(path, header=True).columns]:
         raise ContractError(f"{path} lacks {missing}")
+
+
+#: Columns of a per-cell disease table, and what a diagnosis stands for as a proxy (fixed values).
+DISEASE_COLUMNS = {"CellBarcode_Identity": "cell_id", "Subject_Identity": "subject_id", "Disease_Identity": "disease", "CellType_Category": "cell_type"}
+PROXY = {"disease": "COPD", "type": "COPD_diagnosis", "value": "cigarette"}
+
+
+def disease_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(cell_id, subject_id, disease, cell_type, smoke_type, smoke_type_known, weak_smoke_proxy_known, weak_smoke_proxy_type, weak_smoke_proxy_value) of a per-cell table.
+
+    A diagnosis is no record of exposure: nobody's smoking is known, and a COPD diagnosis, in whatever case, is a weak proxy that takes part only where it is asked
+    for. Controls are controls of the disease, not people who never smoked. A barcode that comes twice, or a missing column, is an error.
+    """
+    from cohortloom.operators.cohorts import require_none
+
+    table = spark.read.csv(path, header=True, sep="\t", quote='"')
+    if missing := [c for c in DISEASE_COLUMNS if c not in table.columns]:
+        raise ContractError(f"{path} lacks {missing}")
+    rows = table.select(*(F.col(c).alias(n) for c, n in DISEASE_COLUMNS.items()))
+    require_none(rows.groupBy("cell_id").agg(F.count("*").alias("n")), F.col("n") > 1, "barcodes that come twice")
+    proxy = F.coalesce(F.upper(F.trim("disease")) == PROXY["disease"], F.lit(False))
+    return rows.select("*", F.lit("unknown").alias("smoke_type"), F.lit(False).alias("smoke_type_known"), proxy.alias("weak_smoke_proxy_known"), F.when(proxy, PROXY["type"]).alias("weak_smoke_proxy_type"), F.when(proxy, PROXY["value"]).alias("weak_smoke_proxy_value"))
+
+
+def trial_outcomes(spark: SparkSession, path: str, subject: str = "pid", flag: str = "candx") -> DataFrame:
+    """(subject_id, outcome): 1 where the flag is 1, 0 where it is another number. A subject without one has no row, nor has any where the column is missing: unknown is never negative."""
+    table = spark.read.csv(path, header=True)
+    if subject not in table.columns:
+        raise ContractError(f"{path} lacks {subject}")
+    value = F.trim(F.col(flag)).try_cast("double") if flag in table.columns else F.lit(None).cast("double")
+    return table.select(F.col(subject).alias("subject_id"), value.alias("v")).where("v is not null").select("subject_id", (F.col("v") == 1).cast("int").alias("outcome"))

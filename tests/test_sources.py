@@ -281,3 +281,35 @@ def test_count_folder(spark, tmp_path, layout):
     with pytest.raises(ContractError, match="sample_type"):
         catalog.count_folder(spark, at)
     assert {"conditions", "three_fields"} <= set(catalog.READERS) == set(catalog.MAIN)
+
+
+def test_disease_metadata_and_trial_outcomes(spark, tmp_path):
+    table = tmp_path / "meta.txt.gz"
+    head = "CellBarcode_Identity\tSubject_Identity\tDisease_Identity\tCellType_Category\n"
+    table.write_bytes(gzip.compress((head + '"b1"\t"s1"\t" copd"\t"Epithelial"\nb2\ts2\tControl\tImmune\nb3\ts3\tIPF\tImmune\nb4\ts4\t\t\n').encode()))
+    got = {r["cell_id"]: r for r in geo.disease_metadata(spark, str(table)).collect()}
+    assert {k: (r["weak_smoke_proxy_known"], r["weak_smoke_proxy_type"], r["weak_smoke_proxy_value"]) for k, r in got.items()} == {"b1": (True, "COPD_diagnosis", "cigarette")} | {b: (False, None, None) for b in ("b2", "b3", "b4")}
+    assert all(r["smoke_type"] == "unknown" and r["smoke_type_known"] is False for r in got.values()) and got["b2"]["subject_id"] == "s2"
+    (tmp_path / "two.tsv").write_text(head + "b1\ts1\tCOPD\tx\nb1\ts2\tCOPD\tx\n")
+    (tmp_path / "bad.tsv").write_text("CellBarcode_Identity\tSubject_Identity\n")
+    for name in ("two.tsv", "bad.tsv"):
+        with pytest.raises(ContractError):
+            geo.disease_metadata(spark, str(tmp_path / name))
+    (tmp_path / "prsn.csv").write_text("pid,candx\n1,1\n2,0\n3,\n4,1.0\n5,x\n")
+    assert sorted(map(tuple, geo.trial_outcomes(spark, str(tmp_path / "prsn.csv")).collect())) == [("1", 1), ("2", 0), ("4", 1)]
+    (tmp_path / "prsn.csv").write_text("pid,other\n1,1\n")
+    assert geo.trial_outcomes(spark, str(tmp_path / "prsn.csv")).count() == 0
+
+
+def test_predictions_are_written_once_and_whole(spark, tmp_path):
+    subjects = spark.createDataFrame([("a",), ("b",)], "subject_id string")
+    schema = "subject_id string, p double, fold int, subject_fold int"
+    good = spark.createDataFrame([("a", 0.2, 0, 0), ("b", 0.9, 1, 1)], schema)
+    manifest = artifacts.write_predictions(subjects, good, str(tmp_path / "oof"))
+    assert artifacts.verify_frame(spark, str(tmp_path / "oof"), ["subject_id"], manifest).count() == 2
+    for rows in ([("a", 0.2, 0, 0)], [("a", 0.2, 0, 0)] * 2 + [("b", 0.9, 1, 1)], [("a", 0.2, 0, 0), ("b", 0.9, 0, 1)], [("a", 0.2, 0, 0), ("b", float("nan"), 1, 1)], [("a", 0.2, 0, 0), ("b", 0.9, 1, 1), ("c", 0.5, 0, 0)]):
+        with pytest.raises(ContractError):
+            artifacts.write_predictions(subjects, spark.createDataFrame(rows, schema), str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists()
+    with pytest.raises(Exception, match="exists"):
+        artifacts.write_predictions(subjects, good, str(tmp_path / "oof"))
