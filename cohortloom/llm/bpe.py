@@ -83,7 +83,11 @@ def token_ids(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what token_ids() gives, computed where the ids are."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what token_ids() gives, computed where the ids are.
+
+    Null text counts as empty, of which there are no ids; texts of any length are encoded whole, in pieces cut at safe boundaries; repeated rows, ties and null ids
+    pass through, other columns are ignored, an empty table gives none.
+    """
 
     def make():
         import numpy as np

@@ -86,7 +86,7 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id of each
     group is kept; of repeated rows with that id, one. Rows with a null doc_id are kept, one of them, only in a group
-    without other ids. An empty table gives an empty one.
+    without other ids. Texts of any length are cut into blocks and read whole. An empty table gives an empty one.
     """
     rows = identities(docs, block_chars)
     # equal rows are one with a count, so that the join below meets each (text, doc_id) once

@@ -232,7 +232,7 @@ class ArticleModel:
 
 
 def fit_articles(pages: int = 500, seed: int = 7) -> ArticleModel:
-    """Fit the field on so many labelled pages."""
+    """Fit the field on so many labelled pages of the seeded generator, on the driver: a constant amount, whatever the table; no given page takes part."""
     made = [b for k in range(pages) if (b := blocks(labelled_page(seed * 100_003 + k)))]
     x = np.vstack([features(b) for b in made])
     y = np.array([block[1].label == "1" for b in made for block in b], int)

@@ -15,47 +15,57 @@ def _predicted(scored: DataFrame, held_out: Column, least: float) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a grammar learned from labelled rows that are not held out; a null text is empty, rows without id are held out as their empty text says."""
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
     return _predicted(toxicity.score_toxicity(docs.select("doc_id", "text"), model), held_out, 0.7)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components of at most four differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with what it quotes and answers; nulls, ties and repeats as link_quotations() says."""
     return chat.link_quotations(table(spark, sf_dir, "conversations"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by a field fitted on generated pages."""
     return html_extract.main_text(table(spark, sf_dir, "pages"), html_extract.fit_articles())
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth; nulls, ties and repeats as exact_top_k() says."""
     vectors = vafile.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return vafile.exact_top_k(vectors, "vec_id % 50 = 0")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equals that stays."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1,024 tokens; an empty text is its end token alone."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a field over lines learned from labelled rows that are not held out; a null text is empty."""
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
     return _predicted(quality.score_quality(docs.select("doc_id", "text"), model), held_out, 0.3)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards of near equal size, equal texts together."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 

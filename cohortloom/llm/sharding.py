@@ -77,7 +77,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, atoms: int = ATOMS, cell_rows:
 
     size: UTF-8 bytes of the text plus 16, a null text none. Null and empty texts count as equal. slot numbers a shard's
     rows from 0 without gaps: by atom, then in cells of about cell_rows rows, so that no window holds a whole shard.
-    Repeated rows and null ids are rows like others; which of wholly equal rows comes first makes no difference. An empty
+    Texts of any length count whole. Repeated rows and null ids are rows like others; which of wholly equal rows comes first makes no difference. An empty
     table gives an empty one. The driver sees a sum for each atom.
     """
     spark = docs.sparkSession

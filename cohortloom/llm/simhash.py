@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, order: int | None = None)
 
     component_id: the least doc_id in reach over links of at most 4 differing bits. Null text counts as empty; texts
     without words have fingerprint zero, linked like any other. Repeated rows give repeated rows. A null doc_id never
-    becomes a component's id unless its component has no other. Memory: a cell of an anchor in a task.
+    becomes a component's id unless its component has no other. Texts of any length are read whole, one at a time. An empty table gives
+    none. Memory: a cell of an anchor in a task.
     """
     prints = materialize(fingerprints(docs, shingle))
     points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null").select(F.lit(0).cast("long").alias("print"), "fp", "node"))
