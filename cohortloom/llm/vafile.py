@@ -73,14 +73,33 @@ def integer_vectors(table: DataFrame, id_column: str, vector: str, scale: int =
         F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("long")).alias("v"))
 
 
-def approximation(rows: DataFrame, block_rows: int) -> DataFrame:
-    """FILE of rows (vec_id, row, v): blocks of one dimension each, of at most block_rows vectors, of a task's rows in their order."""
+def distinct_enough(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the k best of some query: of equal vectors, k rows of each of the k + 1 smallest ids.
+
+    A query ranks equal vectors by id and leaves out one id, its own, so the others have k before them whatever it asks for.
+    """
+    same = np.unique(vectors, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    s, i = same[order], ids[order]
+    new_vector = np.concatenate([[True], s[1:] != s[:-1]])
+    new_id = new_vector | np.concatenate([[True], i[1:] != i[:-1]])
+    starts = np.flatnonzero(new_id)
+    of_id = np.cumsum(new_id) - 1
+    within = np.arange(len(i)) - starts[of_id]
+    nth_id = of_id - of_id[np.flatnonzero(new_vector)][np.cumsum(new_vector) - 1]
+    return np.sort(order[(within < k) & (nth_id <= k)])
+
+
+def approximation(rows: DataFrame, block_rows: int, k: int) -> DataFrame:
+    """FILE of rows (vec_id, row, v): blocks of one dimension each, of at most block_rows vectors, of a task's rows in their order; see distinct_enough()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
 
         def block(d: int) -> pa.RecordBatch:
             ids, at, v = (np.concatenate(x) for x in zip(*waiting.pop(d), strict=True))
+            kept = distinct_enough(ids, v, k)
+            ids, at, v = ids[kept], at[kept], v[kept]
             low, width, cells = quantised(v)
             return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (ids, at, low, width)), pa.array([cells], pa.binary())], [c.split()[0] for c in FILE.split(", ")])
 
@@ -184,7 +203,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, wave: int | None
     wave = wave or max(1, min(WAVE, WAVE_BYTES // (8 * dims)))
     block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dims)))
     rows = materialize(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")))
-    file = materialize(approximation(rows, block_rows))
+    file = materialize(approximation(rows, block_rows, k))
     queries = materialize(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     waves = max(1, -(-queries.count() * 5 // (4 * wave)))
     while True:  # ids are dealt by hash, so a wave may come out larger than the average

@@ -591,10 +591,21 @@ def test_bounds_hold_on_packed_cells():
         assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
 
 
+def test_equal_vectors_are_kept_as_far_as_any_query_can_rank_them():
+    r = np.random.default_rng(2)
+    ids, v = r.integers(0, 12, 300), r.integers(0, 2, (300, 2))
+    kept = vafile.distinct_enough(ids, v, 2)
+    for query in range(13):
+        for value in np.unique(v, axis=0):
+            best = lambda at: sorted(ids[[k for k in at if (v[k] == value).all() and ids[k] != query]])[:2]
+            assert best(range(300)) == best(kept)
+    assert len(kept) <= 4 * 3 * 2
+
+
 def test_the_file_is_small_and_spares_exact_reading(spark, monkeypatch):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     vectors = vafile.integer_vectors(table, "vec_id", "embedding")
-    file = vafile.approximation(vectors.withColumn("row", F.monotonically_increasing_id()), 4096).collect()
+    file = vafile.approximation(vectors.withColumn("row", F.monotonically_increasing_id()), 4096, 5).collect()
     assert sum(len(b["cells"]) for b in file) < 4 * 64 * table.count() / 4 and sum(len(b["rows"]) for b in file) == table.count()
     assert all(w > 1 for b in file for w in b["width"])
     read = []
