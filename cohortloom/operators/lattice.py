@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.draws import draw
+from cohortloom.functions.layout import gathered_if_small
 from cohortloom.operators import metrics
 from cohortloom.operators.cohorts import ContractError
 from cohortloom.operators.invariance import array_sum, matrix
@@ -210,6 +211,22 @@ def nested_selection(rows: DataFrame, penalties: list[float], dims: int, steps:
     return rows.sparkSession.createDataFrame(table, "outer int, penalty double, inner_score double, n_defined int, auroc double"), predicted
 
 
+def out_of_fold(rows: DataFrame, penalty: float, dims: int, steps: int = 8) -> DataFrame:
+    """predictions() of rows (subject_id, y of 0 and 1, x array<double>, fold), each by the balanced model of the other folds; all folds are fitted together.
+
+    The rows are kept while the models are fitted, so how they came about is worked out once, not once a step. A fold whose rest lacks a class has no predictions.
+    """
+    dealt = rows.select("subject_id", F.col("y").cast("double").alias("y"), "x", "fold", F.array(F.lit(None).cast("int")).alias("inner"))
+    laid = dealt.persist()
+    try:
+        small = gathered_if_small(laid, 8 * (dims + 8))
+        folds = sorted(r["fold"] for r in small.select("fold").distinct().collect())  # a row a fold
+        fitted = newton(small, [Cell(k, None, penalty) for k in folds], dims, steps)
+    finally:
+        laid.unpersist()
+    return predictions(dealt, fitted)
+
+
 def held_out_sources(rows: DataFrame, arms: dict[str, bool], penalty: float, dims: int, steps: int = 8) -> DataFrame:
     """(arm, source, n, auroc, balanced_accuracy, change): every arm refitted without each source and judged on it; change of balanced accuracy is against the first arm.
 

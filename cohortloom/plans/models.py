@@ -171,6 +171,5 @@ def e6_refitted_arms(spark, d):
 def n10_scaled_logistic(spark, d):
     """Out-of-fold probabilities of class-weighted logistic regression on all dimensions, its folds fitted together to convergence."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("subject_id"), (F.col("label") >= 5).cast("double").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    rows = e.join(lattice.nested_folds(e.select("subject_id", F.col("y").alias("label")), 3, 3, 1), "subject_id")
-    fitted = lattice.newton(rows, [lattice.Cell(o, None, 0.1) for o in range(3)], 64)
-    return lattice.predictions(rows, fitted).select("subject_id", "fold", F.col("y").alias("y_true"), "y_prob")
+    folds = grouped_folds(e.select("subject_id", F.col("y").alias("label")), 3, 1).select("subject_id", "fold")
+    return lattice.out_of_fold(e.join(folds, "subject_id"), 0.1, 64).select("subject_id", "fold", F.col("y").alias("y_true"), "y_prob")

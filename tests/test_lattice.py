@@ -100,6 +100,15 @@ def test_undefined_folds_stay_undefined(spark):
         L.newton(rows, [L.Cell(0, i, p) for i, p in itertools.product(range(100), range(100))], 500)
 
 
+def test_folds_together_against_one_by_one(data):
+    x, y, rows, folds = data
+    got = {r["subject_id"]: r["y_prob"] for r in L.out_of_fold(rows.drop("inner"), 0.1, 3, steps=20).collect()}
+    fold = np.array([folds[f"s{k}"][0] for k in range(60)])
+    for o in range(3):
+        assert np.allclose([got[f"s{k}"] for k in np.flatnonzero(fold == o)], alone(x[fold != o], y[fold != o], 0.1)(x[fold == o]), atol=1e-7)
+    assert len(got) == 60
+
+
 def test_arms_without_each_source(spark, data):
     x, y, rows, _ = data
     source = [f"src{k % 3}" for k in range(60)]
