@@ -35,8 +35,8 @@ def array_sum(values: str) -> Column:
 
 def array_total(rows: DataFrame, values: str, size: int) -> np.ndarray:
     """The sum of an array column over all rows, zeros of that size where there are none."""
-    found = rows.where(F.col(values).isNotNull()).groupBy(F.lit(0).alias("_")).agg(array_sum(values).alias(values)).first()
-    return np.array(found[values]) if found else np.zeros(size)
+    nothing = rows.sparkSession.createDataFrame([([0.0] * size,)], f"{values} array<double>")  # a sum of no rows is an error
+    return np.array(rows.where(F.col(values).isNotNull()).select(values).unionAll(nothing).agg(array_sum(values).alias(values)).first()[values])
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.cohorts import ContractError
+from cohortloom.functions.layout import gathered_if_small
+from cohortloom.operators.cohorts import ContractError, require_none
 from cohortloom.operators.invariance import NoPenalty, Settings, array_sum, array_total, indices, matrix, penalty, vocabulary
 
 #: Places in which a subject's cells meet its representation, so that one with a third of all cells doesn't wait in one task.
@@ -95,8 +96,21 @@ class PathwayAttention:
         return replace(self, weights=x[0], bias=x[1], cell_gate=Gate(*x[2:5]), type_gate=Gate(*x[5:8]), c=x[8], b=float(x[9][0]), head=x[10], head_bias=x[11])
 
 
-def _cells(cells: DataFrame) -> DataFrame:
-    return cells.select(F.col("subject_id").cast("string").alias("subject_id"), F.coalesce(F.col("cell_type_id").cast("int"), F.lit(-1)).alias("cell_type_id"), "x")
+def _cells(cells: DataFrame, *carried: str) -> DataFrame:
+    return cells.select(F.col("subject_id").cast("string").alias("subject_id"), F.coalesce(F.col("cell_type_id").cast("int"), F.lit(-1)).alias("cell_type_id"), "x", *carried)
+
+
+def _prepared(cells: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Cells of subjects with an outcome row, with their y (NaN if unknown), source and salt, laid out as the way back meets them."""
+    rows = outcomes.select(F.col("subject_id").cast("string").alias("subject_id"), F.coalesce(F.col("y").cast("double"), F.lit(float("nan"))).alias("y"), F.coalesce("source", F.lit("")).alias("source"))
+    one = require_none(rows.groupBy("subject_id").agg(F.count("*").alias("n"), F.max("y").alias("y"), F.max("source").alias("source")), F.col("n") > 1, "subjects with several outcomes")
+    salt = F.pmod(F.xxhash64("subject_id", "x"), F.lit(SALTS)).cast("int")
+    return _cells(cells).join(one.drop("n"), "subject_id").withColumn("salt", salt).repartition("subject_id", "cell_type_id", "salt")
+
+
+def _known(prepared: DataFrame) -> dict[str, int]:
+    """Subjects with a known outcome by source."""
+    return {r["source"]: r["n"] for r in prepared.where("not isnan(y)").groupBy("source").agg(F.count_distinct("subject_id").alias("n")).collect()}  # a row a source
 
 
 def _inputs(batch: pd.DataFrame, genes: int) -> np.ndarray:
@@ -106,34 +120,37 @@ def _inputs(batch: pd.DataFrame, genes: int) -> np.ndarray:
     return x
 
 
-def type_vectors(cells: DataFrame, model: PathwayAttention) -> DataFrame:
-    """(subject_id, cell_type_id, norm, t): sums of exp(score) of a type's cells and their weighted mean; cells is (subject_id, cell_type_id, x array<double>).
+def type_vectors(cells: DataFrame, model: PathwayAttention, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(subject_id, cell_type_id, carried, norm, t): sums of exp(score) of a type's cells and their weighted mean; cells is (subject_id, cell_type_id, x array<double>).
 
     A null type is -1, a type of its own. Cells of another number of genes, or with values that are not finite, are an error.
+    carried are columns that depend on the subject alone.
     """
+    keys = ["subject_id", "cell_type_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = model.projection().T
         for batch in batches:
             h = np.tanh(_inputs(batch, model.genes) @ p + model.bias)
             e = model.cell_gate.weights(h)
-            keys = batch[["subject_id", "cell_type_id"]].drop_duplicates()
-            at = pd.MultiIndex.from_frame(keys).get_indexer(pd.MultiIndex.from_frame(batch[["subject_id", "cell_type_id"]]))
-            sums = np.zeros((len(keys), 1 + h.shape[1]))
-            np.add.at(sums, at, np.hstack([e[:, None], e[:, None] * h]))
-            yield pd.DataFrame({"subject_id": keys["subject_id"].to_numpy(), "cell_type_id": keys["cell_type_id"].to_numpy(), "s": list(sums)})
+            first = ~batch.duplicated(keys)
+            sums = np.zeros((int(first.sum()), 1 + h.shape[1]))
+            np.add.at(sums, batch.groupby(keys, sort=False).ngroup().to_numpy(), np.hstack([e[:, None], e[:, None] * h]))
+            yield batch.loc[first, [*keys, *carried]].assign(s=list(sums))
 
-    parts = _cells(cells).mapInPandas(run, "subject_id string, cell_type_id int, s array<double>")
-    summed = parts.groupBy("subject_id", "cell_type_id").agg(array_sum("s").alias("s"))
-    return summed.select("subject_id", "cell_type_id", F.col("s")[0].alias("norm"), F.transform(F.slice("s", 2, len(model.bias)), lambda x: x / F.col("s")[0]).alias("t"))
+    base = _cells(cells, *carried)
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    parts = base.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*keys, *carried)) + ", s array<double>")
+    summed = parts.groupBy(*keys, *carried).agg(array_sum("s").alias("s"))
+    return summed.select(*keys, *carried, F.col("s")[0].alias("norm"), F.transform(F.slice("s", 2, len(model.bias)), lambda x: x / F.col("s")[0]).alias("t"))
 
 
-def subject_vectors(cells: DataFrame, model: PathwayAttention) -> DataFrame:
-    """(subject_id, types, attention, z): types is an array of (cell_type_id, norm, t), attention what each weighs, z their weighted mean."""
+def subject_vectors(cells: DataFrame, model: PathwayAttention, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(subject_id, carried, types, attention, z): types is an array of (cell_type_id, norm, t), attention what each weighs, z their weighted mean."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = {"subject_id": batch["subject_id"], "types": batch["types"], "attention": [], "z": []}
+            out = {c: batch[c] for c in ("subject_id", *carried, "types")} | {"attention": [], "z": []}
             for types in batch["types"]:
                 t = np.array([x["t"] for x in types])
                 a = model.type_gate.weights(t)
@@ -142,8 +159,9 @@ def subject_vectors(cells: DataFrame, model: PathwayAttention) -> DataFrame:
                 out["z"].append(a @ t)
             yield pd.DataFrame(out)
 
-    types = type_vectors(cells, model).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("cell_type_id", "norm", "t"))).alias("types"))  # a row a type
-    return types.mapInPandas(run, "subject_id string, types array<struct<cell_type_id int, norm double, t array<double>>>, attention array<double>, z array<double>")
+    types = type_vectors(cells, model, carried).groupBy("subject_id", *carried).agg(F.array_sort(F.collect_list(F.struct("cell_type_id", "norm", "t"))).alias("types"))  # a row a type
+    kinds = {f.name: f.dataType.simpleString() for f in types.schema.fields}
+    return types.mapInPandas(run, "".join(f"{c} {kinds[c]}, " for c in ("subject_id", *carried)) + "types array<struct<cell_type_id int, norm double, t array<double>>>, attention array<double>, z array<double>")
 
 
 def predict(cells: DataFrame, model: PathwayAttention) -> DataFrame:
@@ -167,20 +185,23 @@ def gradient(cells: DataFrame, outcomes: DataFrame, model: PathwayAttention, set
     source_balanced weighs subjects so that each source counts alike: what draws of a source, then of a subject, expect.
     Subjects without an outcome row take no part. penalised is false during warm-up.
     """
-    rows = outcomes.select(F.col("subject_id").cast("string").alias("subject_id"), F.col("y").cast("double").alias("y"), F.coalesce("source", F.lit("")).alias("source"))
-    subjects = subject_vectors(cells, model).join(rows, "subject_id").persist()
+    prepared = _prepared(cells, outcomes)
+    return _step(prepared, _known(prepared), model, settings, penalised)
+
+
+def _step(prepared: DataFrame, known: dict[str, int], model: PathwayAttention, settings: Settings, penalised: bool) -> Step:
+    total, balanced = max(1, sum(known.values())), settings.strategy == "source_balanced"
+    share = {s: 1 / (len(known) * k) if balanced else 1 / total for s, k in known.items()}
+    weighted = settings.weight if penalised else 0.0
+    subjects = subject_vectors(prepared, model, ("y", "source")).persist()
     try:
-        n = {r["source"]: r["n"] for r in subjects.where("y is not null").groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
-        total, balanced = max(1, sum(n.values())), settings.strategy == "source_balanced"
-        share = {s: 1 / (len(n) * k) if balanced else 1 / total for s, k in n.items()}
-        weighted = settings.weight if penalised else 0.0
         found = penalty(settings, subjects, model.sources, len(model.c), model.head, model.head_bias) if weighted else NoPenalty()
-        return _backwards(cells, subjects, model, share, weighted, found)
+        return _backwards(prepared, subjects, model, share, weighted, found)
     finally:
         subjects.unpersist()
 
 
-def _backwards(cells: DataFrame, subjects: DataFrame, model: PathwayAttention, share: dict[str, float], weight: float, found: NoPenalty) -> Step:
+def _backwards(prepared: DataFrame, subjects: DataFrame, model: PathwayAttention, share: dict[str, float], weight: float, found: NoPenalty) -> Step:
     k, index = len(model.c), {s: i for i, s in enumerate(model.sources)}
     width = model.type_gate.size() + k + 2  # by the types' gate, c and b, and the loss
 
@@ -227,8 +248,7 @@ def _backwards(cells: DataFrame, subjects: DataFrame, model: PathwayAttention, s
     try:
         top = array_total(back, "g", width)
         met = back.where("g is null").drop("g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = _cells(cells).withColumn("salt", F.pmod(F.xxhash64("subject_id", "x"), F.lit(SALTS)).cast("int"))
-        parts = salted.join(met, ["subject_id", "cell_type_id", "salt"]).select("x", "norm", "t", "dt").mapInPandas(to_cells, "g array<double>")
+        parts = prepared.select("subject_id", "cell_type_id", "salt", "x").join(met, ["subject_id", "cell_type_id", "salt"]).select("x", "norm", "t", "dt").mapInPandas(to_cells, "g array<double>")
         below = array_total(parts, "g", len(model.weights) + k + model.cell_gate.size())
     finally:
         back.unpersist()
@@ -239,21 +259,23 @@ def _backwards(cells: DataFrame, subjects: DataFrame, model: PathwayAttention, s
 def fit(cells: DataFrame, outcomes: DataFrame, model: PathwayAttention, settings: Settings = Settings(), rounds: int = 20, rate: float = 0.05) -> tuple[PathwayAttention, list[dict]]:  # noqa: B008
     """(model, a dict of round, loss and penalty for each round before its step) by Adam on the whole data under the strategy.
 
-    Other strategies than plain training need every subject's source, of the model's vocabulary. Each round is two passes over the cells, which are kept in memory or on disk meanwhile.
+    Other strategies than plain training need every subject's source, of the model's vocabulary. Each round is two passes over the cells, which are laid out once and kept in memory or on disk meanwhile: a round shuffles sums alone.
     """
     if settings.strategy != "erm" and vocabulary(outcomes, 2) != sorted(model.sources):
         raise ContractError("sources of the outcomes are not the model's vocabulary")
-    cells = _cells(cells).persist()
+    laid = _prepared(cells, outcomes).persist()
     p, m, v, history = model.flat(), 0.0, 0.0, []
     try:
+        cells = gathered_if_small(laid, 8 * (model.genes + 8))
+        known = _known(cells)
         for k in range(1, rounds + 1):
-            step = gradient(cells, outcomes, model, settings, k > settings.warmup)
+            step = _step(cells, known, model, settings, k > settings.warmup)
             history.append({"round": k, "loss": step.loss, "penalty": step.penalty.loss})
             m, v = 0.9 * m + 0.1 * step.gradient, 0.999 * v + 0.001 * step.gradient**2
             p = p - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
             model = model.with_flat(p)
     finally:
-        cells.unpersist()
+        laid.unpersist()
     return model, history
 
 
