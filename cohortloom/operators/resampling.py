@@ -20,8 +20,8 @@ from cohortloom.operators.invariance import array_sum
 
 #: 2^32 times the distribution function of Poisson(1), as far as it is under 1.
 POISSON = [int(2**32 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(12)]
-#: Rows whose weights are in memory at once, groups whose sums are, ranges of probability, rows of a block of a permutation, values that count as frequent from this share on.
-CHUNK, GROUPS, RANGES, BLOCK, FREQUENT = 512, 256, 1024, 4096, 1 / 1024
+#: Rows whose weights are in memory at once, groups whose sums are, rows of a block of a permutation, the share of rows from which on a value counts as frequent.
+CHUNK, GROUPS, BLOCK, FREQUENT = 512, 256, 4096, 1 / 1024
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -109,9 +109,10 @@ def grouped_bootstrap(rows: DataFrame, key: str, value: Column, by: str, n_boot:
 def bootstrap_auroc(rows: DataFrame, key: str, n_boot: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """One row: percentile interval of the AUROC over resampled subjects, exactly, ties half; resamples of one class are undefined. Null probabilities take no part.
 
-    Rows are shuffled once, to ranges of probability, where a task goes up a range in order with running sums of all resamples; what lies below a range
-    comes from the sums of the ranges. A value that a large share of rows has is a range of its own, in which all pairs are ties, so it needs no order and its
-    rows are summed where they are. There are RANGES and as many values at most, whose sums meet in one task, in order.
+    Rows are shuffled once, to ranges of probability that hold about as many rows each, where a task goes up its range in order with running sums of all
+    resamples; what lies below a range comes from the sums of the ranges. A value that a large share of rows has is a range of its own, in which all pairs are
+    ties, so it needs no order and its rows are summed where they are. The sums of the ranges, of which a task has one and one more a frequent value, meet in
+    one task, in order.
     """
     base = keyed(rows.where("y_prob is not null"), key, (F.col("y_true") == 1).alias("y"), F.col("y_prob").cast("double").alias("p"))
     n = base.count()
@@ -120,11 +121,11 @@ def bootstrap_auroc(rows: DataFrame, key: str, n_boot: int, seed: int, alpha: fl
     if often:
         values = F.array(*map(F.lit, often))
         place = F.aggregate(values, F.lit(0), lambda k, v: k + F.when(v < F.col("p"), 2).when(v == F.col("p"), 1).otherwise(0))  # odd: at a frequent value
-    ranged = base.withColumn("k", place).withColumn("r", F.when(F.col("k") % 2 == 1, -1).otherwise(F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor(F.col("p") * RANGES)))).cast("int"))
+    ranged = base.withColumn("k", place)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sums (positives, negatives, pairs in order) of each range of rows that come in its order; tied rows may come apart only where all are tied."""
-        at, value, own, tied = None, None, np.zeros((3, n_boot)), np.zeros((2, n_boot))
+        """Sums (positives, negatives, pairs in order) of a task's rows of each k, in order of p where their order counts, and the least p."""
+        at, low, value, own, tied = None, None, None, np.zeros((3, n_boot)), np.zeros((2, n_boot))
 
         def close_value() -> None:
             own[2] += tied[0] * (own[1] + tied[1] / 2)
@@ -135,33 +136,36 @@ def bootstrap_auroc(rows: DataFrame, key: str, n_boot: int, seed: int, alpha: fl
             for lo in range(0, len(batch), CHUNK):
                 chunk = batch.iloc[lo : lo + CHUNK]
                 w = weights(chunk["high"].to_numpy(), chunk["low"].to_numpy(), n_boot, seed)
-                for k, r, p, y, v in zip(chunk["k"], chunk["r"], chunk["p"], chunk["y"], w, strict=True):
-                    if (k, r) != at or p != value:
+                for k, p, y, v in zip(chunk["k"], chunk["p"], chunk["y"], w, strict=True):
+                    if k != at or p != value:
                         close_value()
-                        if at is not None and (k, r) != at:
-                            yield pd.DataFrame({"k": [at[0]], "r": [at[1]], "v": [own.ravel()]})
-                            own[:] = 0
-                        at, value = (k, r), p
+                        if k != at:
+                            if at is not None:
+                                yield pd.DataFrame({"k": [at], "p": [low], "v": [own.ravel()]})
+                                own[:] = 0
+                            at, low = k, p
+                        value = p
                     tied[0 if y else 1] += v
         if at is not None:
             close_value()
-            yield pd.DataFrame({"k": [at[0]], "r": [at[1]], "v": [own.ravel()]})
+            yield pd.DataFrame({"k": [at], "p": [low], "v": [own.ravel()]})
 
-    columns, schema = ("k", "r", "p", "y", "high", "low"), "k int, r int, v array<double>"
-    apart = ranged.where("r >= 0").select(*columns).repartition("k", "r").sortWithinPartitions("k", "r", "p").mapInPandas(run, schema)
-    together = ranged.where("r < 0").select(*columns).mapInPandas(run, schema).groupBy("k", "r").agg(array_sum("v").alias("v"))
+    columns, schema = ("k", "p", "y", "high", "low"), "k int, p double, v array<double>"
+    apart = ranged.where("k % 2 = 0").select(*columns).repartitionByRange("k", "p").sortWithinPartitions("k", "p").mapInPandas(run, schema)
+    # a task may come upon several frequent values by turns; each turn gives sums of its own
+    together = ranged.where("k % 2 = 1").select(*columns).mapInPandas(run, schema).groupBy("k", "p").agg(array_sum("v").alias("v"))
 
     def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((3, n_boot))
         for batch in batches:
-            for r, v in zip(batch["r"], batch["v"], strict=True):
+            for k, v in zip(batch["k"], batch["v"], strict=True):
                 pos, neg, pairs = np.array(v).reshape(3, n_boot)
-                total[2] += (pos * neg / 2 if r < 0 else pairs) + pos * total[1]
+                total[2] += (pos * neg / 2 if k % 2 else pairs) + pos * total[1]
                 total[:2] += pos, neg
         pairs = total[0] * total[1]
         yield pd.DataFrame({"value": np.where(pairs > 0, total[2] / np.maximum(1.0, pairs), np.nan)})
 
-    values = apart.unionAll(together).repartition(1).sortWithinPartitions("k", "r").mapInPandas(up, "value double")  # a row a range
+    values = apart.unionAll(together).repartition(1).sortWithinPartitions("k", "p").mapInPandas(up, "value double")  # a row a range
     return interval(values.select(F.nanvl("value", F.lit(None)).alias("value")), alpha)
 
 
