@@ -163,3 +163,49 @@ def test_sources_of_one_subject_and_empty_tables(spark, data):
     assert I.Mmd(same, ["a", "b"], 2, 8, 0).loss == 0
     step = W.gradient(table.where("false"), known, start())
     assert step.loss == 0 and not step.gradient.any()
+
+
+def test_strategies_side_by_side_equal_those_trained_alone(spark, data):
+    _, _, table, known = data
+    kept, context = (table.persist(), known.persist()), spark.sparkContext
+
+    def jobs(name, run):
+        context.setJobGroup(name, name)
+        try:
+            return run(), [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(name)]
+        finally:
+            context.setJobGroup("", "")
+
+    def together(strategies):
+        with W.laid_out(table, known, GENES) as laid:
+            return W.fit_strategies(laid, start(), strategies, 3, 0.1)
+
+    settings = [replace(s, warmup=k % 2) for k, s in enumerate(STRATEGIES)]
+    _, one = jobs("one", lambda: together([settings[0]]))
+    got, all_ = jobs("all", lambda: together(settings))
+    assert len(all_) < 2.5 * len(one)  # penalties have jobs of their own over subjects; passes over cells are shared
+    for s, (model, history) in zip(settings, got, strict=True):
+        alone, rounds = W.fit(table, known, start(), s, 3, 0.1)
+        assert np.allclose(model.flat(), alone.flat()) and [(h["loss"], h["penalty"]) for h in history] == [pytest.approx((h["loss"], h["penalty"])) for h in rounds]
+    for x in kept:
+        x.unpersist()
+
+
+def test_partitions_follow_the_cells_and_long_groups_are_cut(spark, data):
+    """A pass over a few cells has a few tasks, whatever spark.sql.shuffle.partitions says; 600 like cells of one subject and type are three blocks. Representations are those of the plain pass."""
+    _, _, table, known = data
+    with W.laid_out(table, known, GENES) as laid:
+        assert laid.blocks.rdd.getNumPartitions() == 1
+    like = spark.createDataFrame([("s1", 0, [1.0] * GENES)] * 600 + [("s2", None, [0.5] * GENES)], "subject_id string, cell_type_id int, x array<double>").coalesce(1)
+    with W.laid_out(like, known, GENES) as laid:
+        assert sorted(len(r["x"]) // 8 // GENES for r in laid.blocks.collect()) == [1, 88, 256, 256] and laid.types == 2
+    with W.laid_out(table, known, GENES) as laid:
+        z = {r["subject_id"]: r["z"] for r in W._subjects(laid, [start(), start()]).collect()}
+    assert all(np.allclose(z[r["subject_id"]], [*r["z"], *r["z"]]) for r in W.subject_vectors(table, start()).collect())
+
+
+def test_values_that_are_missing_are_an_error_in_training(spark, data):
+    known = data[3]
+    for x in (None, [1.0, None, 1.0, 1.0, 1.0, 1.0], [1.0] * (GENES - 1), [float("nan")] * GENES):
+        with pytest.raises(Exception, match="finite values"):
+            W.gradient(spark.createDataFrame([("s1", 0, x)], "subject_id string, cell_type_id int, x array<double>"), known, start())
