@@ -47,14 +47,19 @@ def cross_validate(rows: DataFrame, kinds: list[str], folds: int, seeds: list[in
 def repeated_out_of_fold(rows: DataFrame, kind: str, folds: int, seeds: list[int]) -> DataFrame:
     """(seed, subject_id, source, fold, y_true, y_prob): every row of the development pool once a repeat, on folds of its own.
 
-    rows: subject_id, source, y_true, features; splits.oof_problems() tells whether a repeat misses a row or has it twice.
+    rows: subject_id, source, y_true, features; splits.oof_problems() tells whether a repeat misses a row or has it twice. Candidates
+    that are fitted from class means see all repeats at once: features are read twice, however many repeats and folds there are.
     """
-    out = None
+    subjects, dealt, out = rows.select("subject_id", F.col("y_true").alias("label")), None, None
     for seed in seeds:
-        fold = splits.grouped_folds(rows.select("subject_id", F.col("y_true").alias("label")), folds, seed).select("subject_id", "fold")
-        part = models.out_of_fold(rows.join(fold, "subject_id"), kind, seed).select(F.lit(seed).alias("seed"), "subject_id", "source", "fold", "y_true", "y_prob")
-        out = part if out is None else out.unionByName(part)
-    return out
+        fold = splits.grouped_folds(subjects, folds, seed).select(F.lit(seed).alias("seed"), "subject_id", "fold")
+        dealt = fold if dealt is None else dealt.unionByName(fold)
+        if kind not in models.BY_CLASS:
+            part = models.out_of_fold(rows.join(fold, "subject_id"), kind, seed)
+            out = part if out is None else out.unionByName(part)
+    if kind in models.BY_CLASS:
+        out = models.apart(rows.join(dealt, "subject_id"), kind, "fold", ("seed",))
+    return out.select("seed", "subject_id", "source", "fold", "y_true", "y_prob")
 
 
 def repeat_spread(repeats: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from cohortloom.functions.vectors import dot, softmax, total
 from cohortloom.operators.cohorts import ContractError, require_none
@@ -92,9 +94,7 @@ def _fit(base: DataFrame, kind: str, seed: int, features: str, params: dict) ->
 
 def _centroid(base: DataFrame, features: str) -> Fitted:
     """The nearest of two class means: the logistic of half the difference of squared distances. Deterministic and without search."""
-    x = base.select("label", F.posexplode(vector_to_array(features)).alias("k", "x"))
-    sums = x.groupBy("k").agg(F.avg(F.when(F.col("label") == 1, F.col("x"))).alias("a"), F.avg(F.when(F.col("label") != 1, F.col("x"))).alias("b")).orderBy("k").collect()  # a row a feature
-    w, c = [r["a"] - r["b"] for r in sums], sum(r["b"] ** 2 - r["a"] ** 2 for r in sums) / 2
+    w, c = _between(_class_means(base, [], "label", features))
 
     def predict(df: DataFrame) -> DataFrame:
         p = 1 / (1 + F.exp(-(dot(vector_to_array(features), F.array(*map(F.lit, w))) + F.lit(c))))
@@ -103,6 +103,51 @@ def _centroid(base: DataFrame, features: str) -> Fitted:
     return Fitted("centroid", predict)
 
 
+def _class_means(rows: DataFrame, by: list[str], label: str, features: str) -> list:
+    """Rows (by, label, n, m) of the classes' means in each group; groups are few."""
+    return rows.groupBy(*by, F.col(label).cast("double").alias("label")).agg(F.count("*").alias("n"), Summarizer.mean(F.col(features)).alias("m")).collect()
+
+
+def _between(means: list) -> tuple[list[float], float]:
+    """The weights and the constant of the logit between class 1 and the others."""
+    sides = []
+    for own in ([r for r in means if r["label"] == 1.0], [r for r in means if r["label"] != 1.0]):
+        if not own:
+            raise ContractError("centroid needs two classes, of which one is 1")
+        sides.append(sum(r["n"] * r["m"].toArray() for r in own) / sum(r["n"] for r in own))
+    a, b = sides
+    return (a - b).tolist(), float((b**2 - a**2).sum() / 2)
+
+
+#: Candidates that are fitted from counts and means of classes alone.
+BY_CLASS = ("majority", "prevalence", "centroid")
+
+
+def apart(rows: DataFrame, kind: str, by: str, within: tuple[str, ...] = (), label: str = "y_true", features: str = "features") -> DataFrame:
+    """Each row predicted once, by a model of BY_CLASS that is fitted to the other groups `by` of its own `within`; both are a small number of values.
+
+    What every model needs is sums over the groups it may see, so one pass sums up each group and one predicts, however many there are.
+    """
+    keys, found = [*within, by], _class_means(rows, [*within, by], label, features)
+    fitted = []
+    for at in dict.fromkeys(tuple(r[k] for k in keys) for r in found):
+        seen = [r for r in found if tuple(r[k] for k in within) == at[:-1] and r[by] != at[-1]]
+        if not seen:
+            raise ContractError("a group of all rows leaves none to fit on")
+        counts = {}
+        for r in seen:
+            counts[r["label"]] = counts.get(r["label"], 0) + r["n"]
+        top, share = min((-c, v) for v, c in counts.items())[1], counts.get(1.0, 0) / sum(counts.values())
+        if kind == "centroid" and len(counts) > 1:
+            fitted.append((*at, *_between(seen), None, None))
+        else:
+            fitted.append((*at, None, None, share if kind == "prevalence" and len(counts) > 1 else float(top == 1.0), top))
+    kinds = StructType([rows.schema[k] for k in keys] + [StructField("_w", ArrayType(DoubleType())), *(StructField(c, DoubleType()) for c in ("_c", "_prob", "_pred"))])
+    scored = rows.join(F.broadcast(rows.sparkSession.createDataFrame(fitted, kinds)), keys)
+    p = F.coalesce("_prob", 1 / (1 + F.exp(-(dot(vector_to_array(features), F.col("_w")) + F.col("_c")))))
+    return scored.withColumn("y_prob", p).withColumn("y_pred", F.coalesce("_pred", (F.col("y_prob") >= 0.5).cast("double"))).select(*rows.columns, "y_prob", "y_pred")
+
+
 CANDIDATES = ("majority", "prevalence", "centroid", "logistic", "random_forest", "gradient_boosting", "small_mlp", "attention", "module_attention")
 
 
@@ -137,6 +182,8 @@ def applied_strategies(runs: DataFrame) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, kind: str, seed: int = 0, **params) -> DataFrame:
     """Each row predicted once, by a model of the other folds; rows has `fold`, a small number of values."""
+    if kind in BY_CLASS:
+        return apart(rows, kind, "fold")
     out = None
     for k in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):
         part = fit_candidate(rows.where(F.col("fold") != k), kind, seed, **params).predict(rows.where(F.col("fold") == k))
@@ -160,10 +207,13 @@ def nested_selection(rows: DataFrame, kind: str, seed: int = 0) -> list[dict]:
 
 def leave_one_source_out(rows: DataFrame, kind: str, seed: int = 0) -> DataFrame:
     """(source, n, auroc, auprc): each source predicted by a model of the others."""
-    out = None
-    for s in sorted(r["source"] for r in rows.select("source").distinct().collect()):
-        part = fit_candidate(rows.where(F.col("source") != s), kind, seed).predict(rows.where(F.col("source") == s))
-        out = part if out is None else out.unionByName(part)
+    if kind in BY_CLASS:
+        out = apart(rows, kind, "source")
+    else:
+        out = None
+        for s in sorted(r["source"] for r in rows.select("source").distinct().collect()):
+            part = fit_candidate(rows.where(F.col("source") != s), kind, seed).predict(rows.where(F.col("source") == s))
+            out = part if out is None else out.unionByName(part)
     return ranking_metrics(out, ["source"]).join(out.groupBy("source").agg(F.count("*").alias("n")), "source")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import cohorts, experiments, inference, mil, models
 from cohortloom.plans.lookups import DIMENSIONS
 from cohortloom.plans.metrics import _rounded
-from cohortloom.plans.models import BY_FOLD, CENTROID, SJ, _subjects, folds_sql
+from cohortloom.plans.models import BY_FOLD, CENTROID, SJ, _vectors, folds_sql
 from cohortloom.plans.views import sql, table
 from cohortloom.registry import query
 
@@ -105,7 +105,7 @@ def e9_tracks(spark, d):
 
 
 def _repeats(spark, d):
-    return experiments.repeated_out_of_fold(_subjects(spark, d).drop("fold"), "centroid", 3, [1, 2])
+    return experiments.repeated_out_of_fold(_vectors(spark, d).where("y_true is not null"), "centroid", 3, [1, 2])
 
 
 @query(sql(SJ, folds_sql(3, "(1), (2)"), BY_FOLD, CENTROID, then="select seed, subject_id, source, held as fold, cp.y_true, round(y_prob, 6) as y_prob from cp join sj using (subject_id)"))

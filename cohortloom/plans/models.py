@@ -13,9 +13,14 @@ from cohortloom.plans.views import CELLS, EXPR, PREDS, cells, expr, preds, sql,
 from cohortloom.registry import query
 
 
-def _subjects(spark, d):
+def _vectors(spark, d):
     """A row for each vector, with class 1 for labels of 5 and more."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), (F.col("label") >= 5).cast("double").alias("y_true"), F.concat(F.lit("src"), F.col("vec_id") % 3).alias("source"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), (F.col("label") >= 5).cast("double").alias("y_true"), F.concat(F.lit("src"), F.col("vec_id") % 3).alias("source"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+
+
+def _subjects(spark, d):
+    """Vectors with their folds."""
+    e = _vectors(spark, d)
     return e.join(grouped_folds(e.select("subject_id", F.col("y_true").alias("label")), 3, 1).select("subject_id", "fold"), "subject_id")
 
 

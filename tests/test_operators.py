@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import parse, vectors
-from cohortloom.operators import calibration, cohorts, labels, matrix, metrics, models, resampling, shift, splits
+from cohortloom.operators import calibration, cohorts, experiments, labels, matrix, metrics, models, resampling, shift, splits
 from cohortloom.streaming.votes import windowed_counts
 
 
@@ -314,3 +315,44 @@ def test_numbers_by_ranges_equal_those_of_one_window(spark):
     assert sorted(r["k"] for r in splits.ordered(texts, "id", ["g"]).where("g = 'a'").collect()) == list(range(10))
     lone = spark.createDataFrame([("a", 7)], "g string, id long")
     assert rows(splits.ordered(lone, "id", ["g"]), "k") == [(0,)]
+
+
+@pytest.mark.parametrize("kind", models.BY_CLASS)
+def test_groups_apart_equal_one_model_each(spark, kind):
+    from pyspark.ml.functions import array_to_vector
+
+    r = np.random.default_rng(5)
+    rows = [(i, f"src{i % 3}", i % 2, i % 4 // 2 + i % 3, float(i % 3 == 2 or i % 5 == 0) if i % 2 else float(i % 3 == 0), r.normal(size=3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "subject_id int, source string, seed int, fold int, y_true double, x array<double>").withColumn("features", array_to_vector("x"))
+
+    def one_by_one(part, by):
+        out = {}
+        for at in sorted({row[by] for row in part.collect()}):
+            fitted = models.fit_candidate(part.where(F.col(by) != at), kind).predict(part.where(F.col(by) == at))
+            out |= {row["subject_id"]: (row["y_prob"], row["y_pred"]) for row in fitted.collect()}
+        return out
+
+    def same(got, want):
+        got = [(row["subject_id"], row["y_prob"], row["y_pred"]) for row in got.collect()]
+        assert len(got) == len(want) and all(p == pytest.approx(want[i][0], abs=1e-12) and q == want[i][1] for i, p, q in got)
+
+    same(models.apart(df, kind, "fold", ("seed",)), one_by_one(df.where("seed = 0"), "fold") | one_by_one(df.where("seed = 1"), "fold"))
+    same(models.apart(df, kind, "source"), one_by_one(df, "source"))
+    lone = df.where("source <> 'src1'").withColumn("y_true", (F.col("source") == "src0").cast("double"))  # what each may see is of one class
+    same(models.out_of_fold(lone.withColumn("fold", (F.col("source") == "src0").cast("int")), kind), one_by_one(lone, "source"))
+
+
+def test_repeats_read_features_once_to_predict(spark, tmp_path):
+    """However many repeats and folds: a union of as many joins had one task read its part of each."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(80).select(F.col("id").alias("subject_id"), F.lit("a").alias("source"), (F.col("id") % 2).cast("double").alias("y_true"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("x"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows").withColumn("features", array_to_vector("x"))
+    out = experiments.repeated_out_of_fold(rows, "centroid", 4, [1, 2, 3])
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert sum("FileScan" in line and "x#" in line.split("Batched")[0] for line in plan.splitlines()) == 1
+    got = out.groupBy("seed", "fold").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("d")).collect()
+    assert len(got) == 12 and all(r["n"] == r["d"] == 20 for r in got)
+    with pytest.raises(cohorts.ContractError):
+        models.out_of_fold(rows.withColumn("fold", F.lit(0)), "centroid")
